@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,28 @@ def make_session(name: str = "ledgerlake", master: str = "local[*]", **conf: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers, once a context, wherever the driver runs from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlake_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(root)
+    if home not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        at = tempfile.mkdtemp(prefix="ledgerlake-package-")  # the driver serves it from here
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        path = os.path.join(at, "ledgerlake.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, home))
+        sc.addPyFile(path)
+    sc._ledgerlake_shipped = True
     return spark
 
 
