@@ -14,6 +14,7 @@ from ledgerlake.operators.nested import flatten_documents
 from ledgerlake.operators.orphans import orphan_references
 from ledgerlake.operators.profile import column_profile
 from ledgerlake.operators.snapshots import snapshot_changes
+from ledgerlake.session import cut, spread
 from ledgerlake.sources.tables import table
 
 # --- 1 references to records that do not exist
@@ -182,9 +183,7 @@ UNION ALL SELECT load_date, column_name, 'not_finite' FROM p WHERE odd > 0
 def _raw(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         raw = table(spark, d, "sec_edgar_companyfacts_raw").select("json_text", "extract_date", "cik")
-        # Documents are few and heavy: even parts, one task each core and more.
-        parts = max(12, spark.sparkContext.defaultParallelism * 2)
-        return flatten_documents(raw.repartition(parts), kind, cik=X.ten_digits("cik"))
+        return flatten_documents(spread(raw), kind, cik=X.ten_digits("cik"))
 
     return query
 
@@ -234,8 +233,6 @@ def p5_known(spark: SparkSession, d: str) -> DataFrame:
         {"value_us": F.unix_micros("load_datetime"), "value_pk": F.col("sat_concept_value_hk"), "accession_number": F.col("accession_number")},
     )
     filings = table(spark, d, "sat_filing_metadata").select("accession_number", "load_datetime", "filed_date")
-    from ledgerlake.session import cut
-
     dated = known_at(
         cut(valued), filings, "accession_number", end, F.unix_micros("load_datetime"), {"filing_us": F.unix_micros("load_datetime"), "filed_date": F.col("filed_date")}
     )

@@ -1,7 +1,7 @@
 """The warehouse from raw documents to marts, parsed once.
 
-``Build`` holds every table as a lazy DataFrame; only the parsed facts are materialised, because
-all others read them. Each table's SQL is one link of a chain of common table expressions.
+``Build`` holds every table as a lazy DataFrame; the parsed facts, the annual panel and the trend
+mart, which several tables read, are materialised once each. Each table's SQL is one link of a chain of common table expressions.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ledgerlake.operators import marts as M
 from ledgerlake.operators.forecast import forecast
 from ledgerlake.operators.nested import flatten_documents
 from ledgerlake.operators.vault import asof_expand, collapse, latest_rows, load_hub, load_link, load_satellite
-from ledgerlake.session import cut
+from ledgerlake.session import cut, spread
 from ledgerlake.sources.tables import table
 
 LOAD_TS = datetime(2026, 6, 1)
@@ -53,7 +53,7 @@ class Build:
     def facts(self) -> DataFrame:
         """Typed entries of us-gaap tags in USD; one pass over the documents."""
         raw = table(self.spark, self.d, "sec_edgar_companyfacts_raw")
-        e = flatten_documents(raw.repartition(max(8, self.spark.sparkContext.defaultParallelism)), "entries", cik=X.ten_digits("cik"))
+        e = flatten_documents(spread(raw.select("json_text", "extract_date", "cik")), "entries", cik=X.ten_digits("cik"))
         typed = e.where("taxonomy = 'us-gaap' AND unit = 'USD'").select(
             "cik",
             F.col("extract_date").try_cast("date").alias("extract_date"),
@@ -171,7 +171,7 @@ class Build:
             .join(names, "hub_company_hk")
             .select("cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "accession_number", "period_end_date", "period_start_date", "value_numeric", "unit")
         )
-        return rows
+        return cut(rows)
 
     def deduped(self, *concepts: str, spanned: bool = False) -> DataFrame:
         rows = self.panel.where(F.col("canonical_concept").isin(*concepts))
@@ -193,10 +193,10 @@ class Build:
         grown = M.guarded_growth(rows, ["cik", "canonical_concept", "as_of_date"], "fiscal_year", "value_numeric")
         peers = Window.partitionBy("as_of_date", "fiscal_year", "canonical_concept").orderBy(F.col("yoy_pct").desc_nulls_last())
         flagged = grown.withColumn("yoy_rank", F.dense_rank().over(peers)).crossJoin(F.broadcast(self._complete(rows.where("canonical_concept = 'revenue'"))))  # one row
-        return flagged.select(
+        return cut(flagged.select(
             key_hash("cik", "as_of_date", "fiscal_year", "canonical_concept").alias("mart_pl_trend_hk"), "cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "value_numeric", "unit", "period_end_date",
             F.round("yoy_pct", 6).alias("yoy_pct"), F.col("yoy_rank").cast("int").alias("yoy_rank"), F.coalesce(F.col("fiscal_year") == F.col("latest_complete_fy"), F.lit(False)).alias("is_latest_complete_fy"),
-        )
+        ))
 
     @cached_property
     def peer_benchmark(self) -> DataFrame:

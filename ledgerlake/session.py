@@ -87,3 +87,12 @@ def buckets_for(*dfs: DataFrame, target_mb: float = 8.0, rows: int = 0, target_r
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = sum(plan_bytes(d) or 0 for d in dfs)
     return int(max(least, min(200_000, max(size / (target_mb * 1e6), rows / target_rows))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for work that is heavy per row, where the scan gives fewer than two a core.
+
+    Large inputs are split finely enough by the scan and are left as they are.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
