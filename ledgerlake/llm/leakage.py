@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import cut
+from ledgerlake.session import cut, spread
 
 N = 8
 #: Characters of item text in one broadcast block.
@@ -208,7 +208,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -
     or documents give a row each under their own ids; texts are read whole, however long.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")))
     its = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
     size = its.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))

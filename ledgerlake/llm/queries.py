@@ -11,6 +11,7 @@ from ledgerlake.llm.fusion import FILLED, Fusion
 from ledgerlake.llm.leakage import leaked_items
 from ledgerlake.llm.mixing import mix, token_count
 from ledgerlake.llm.spam import language, spam_share
+from ledgerlake.session import spread
 from ledgerlake.sources.tables import table
 
 # --- 7 best representative of each duplicate group
@@ -64,7 +65,7 @@ def source_key(c: Column | str) -> Column:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     source = source_key("source")
     records = docs.select(
         "doc_id",

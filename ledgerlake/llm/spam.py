@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import cut
+from ledgerlake.session import cut, spread
 
 #: Common function words of English, German, Spanish and French.
 FUNCTION_WORDS = frozenset(
@@ -198,7 +198,7 @@ def spam_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     a third of a block is one block; long texts are measured whole, block by block; equal texts get
     equal shares; extra columns are ignored.
     """
-    measured = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), language(F.col(lang)).alias("lang"), F.col(text).alias("text")).mapInPandas(_measure, BLOCK_SCHEMA))
+    measured = cut(spread(df.select(F.col(doc_id).cast("long").alias("doc_id"), language(F.col(lang)).alias("lang"), F.col(text).alias("text"))).mapInPandas(_measure, BLOCK_SCHEMA))
     usual = measured.groupBy("lang", "size").agg(F.percentile_approx("raw", 0.5, 1000).alias("usual_raw"), F.percentile_approx("shape", 0.5, 1000).alias("usual_shape"), F.count(F.lit(1)).alias("n"))
     anywhere = measured.groupBy("size").agg(F.percentile_approx("raw", 0.5, 1000).alias("any_raw"), F.percentile_approx("shape", 0.5, 1000).alias("any_shape"))
     few = F.col("n") < 100  # too few blocks for a median of their own
