@@ -10,7 +10,7 @@ of an exhibit list or of figures is loose. A text is spam if loose pieces in red
 up more than half of it.
 
 Scale: one pass over the texts; the second step reads the blocks' few numbers, not the texts. The
-medians are one row per language and length class (at most 677 x 4 rows), broadcast.
+medians are one row per language and length class (at most 677 x 3 rows), broadcast.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
     for pdf in batches:
         rows = [
-            (int(i), lang, min(3, chars // 160), raw, shape, loose, chars)
+            (int(i), lang, min(2, chars // 160), raw, shape, loose, chars)
             for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True)
             if isinstance(text, str)
             for chars, raw, shape, loose in blocks(text)
