@@ -56,7 +56,9 @@ class StructuralIndex:
         b = np.frombuffer(data, dtype=np.uint8)
         quote = b == _QUOTE
         back = b == _BACK
+        self.escapes = None
         if back.any():
+            self.escapes = np.cumsum(back, dtype=np.int32)
             # A quote is escaped when an odd run of backslashes ends before it.
             at = np.arange(b.size)
             run = at - np.maximum.accumulate(np.where(back, -1, at))
@@ -90,10 +92,27 @@ class StructuralIndex:
         start = self.next_solid[at + 1]
         return Members(at, end, self.bytes[start], start), owner
 
-    def key(self, colon: int) -> str:
-        """Name of the member whose colon stands at ``colon``."""
-        q = int(np.searchsorted(self.quotes, colon))
-        return self.string(int(self.quotes[q - 2]), int(self.quotes[q - 1]) + 1)
+    def key_spans(self, m: Members) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each member's name, with its quotes."""
+        q = np.searchsorted(self.quotes, m.at)
+        return self.quotes[q - 2], self.quotes[q - 1] + 1
+
+    def which(self, m: Members, wanted: tuple[str, ...]) -> np.ndarray:
+        """Index into ``wanted`` of each member's name, -1 for others; compares bytes, decodes only escaped names."""
+        start, end = self.key_spans(m)
+        size = end - start - 2
+        out = np.full(m.at.size, -1, dtype=np.int64)
+        for i, name in enumerate(wanted):
+            raw = np.frombuffer(name.encode(), dtype=np.uint8)
+            at = np.flatnonzero(size == raw.size)
+            if at.size:
+                same = (self.bytes[start[at, None] + 1 + np.arange(raw.size)] == raw).all(axis=1)
+                out[at[same]] = i
+        if self.escapes is not None:
+            for k in np.flatnonzero(self.escapes[end - 1] > self.escapes[start]):
+                name = self.string(int(start[k]), int(end[k]))
+                out[k] = wanted.index(name) if name in wanted else -1
+        return out
 
     def string(self, start: int, end: int) -> str:
         raw = self.data[start:end]
@@ -108,8 +127,9 @@ class StructuralIndex:
 
     def last_of_name(self, m: Members, owner: np.ndarray) -> tuple[Members, np.ndarray, list[str]]:
         """Where an object repeats a name, its last member counts."""
-        names = [self.key(int(c)) for c in m.at]
-        last = {(int(o), n): i for i, (o, n) in enumerate(zip(owner, names, strict=True))}
+        start, end = self.key_spans(m)
+        names = [self.string(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        last = {(o, n): i for i, (o, n) in enumerate(zip(owner.tolist(), names, strict=True))}
         if len(last) == len(names):
             return m, owner, names
         keep = np.array(sorted(last.values()))

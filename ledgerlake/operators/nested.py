@@ -30,7 +30,8 @@ ENTRY_SCHEMA = "doc_key string, cik string, extract_date string, taxonomy string
 class DocumentRows:
     """Documents, tags and entries of one valid document."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, fields: tuple[str, ...] = ENTRY_FIELDS):
+        self.fields = fields
         self.ix = ix = StructuralIndex(text.encode("utf-8", "replace"))
         self.cover: dict[str, str | None] = {}
         self.tags: list[list] = []
@@ -105,13 +106,17 @@ class DocumentRows:
             shut = closes[np.searchsorted(closes, opens)] + 1
             base = len(self.entries)
             self.entries += [[*self.tags[tag_of[own[k]]][:2], unit_names[own[k]], int(n), {}] for k, n in zip(o, place, strict=True)]
-            m, owner, names = ix.last_of_name(*ix.members(level, (opens, shut)))
-            for i, n in enumerate(names):
-                if n in ENTRY_FIELDS and m.first[i] not in (_OBJECT, _ARRAY):
-                    self.entries[base + owner[i]][4][n] = ix.scalar(int(m.open[i]), int(m.end[i]))
+            m, owner = ix.members(level, (opens, shut))
+            field = ix.which(m, self.fields)
+            for i in np.flatnonzero(field >= 0).tolist():
+                values, name = self.entries[base + owner[i]][4], self.fields[field[i]]
+                if m.first[i] in (_OBJECT, _ARRAY):
+                    values.pop(name, None)  # of repeated names the last counts
+                else:
+                    values[name] = ix.scalar(int(m.open[i]), int(m.end[i]))
 
 
-def _rows(kind: str):
+def _rows(kind: str, fields: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
@@ -121,7 +126,7 @@ def _rows(kind: str):
                     d = DocumentRows(text) if valid else None
                     out.append((key, cik, date, valid, d and d.cover.get("entityName"), d and d.cover.get("cik"), d.n_taxonomies if d else 0))
                 elif valid:
-                    d = DocumentRows(text)
+                    d = DocumentRows(text, fields)
                     if kind == "tags":
                         out += [(key, cik, date, *t) for t in d.tags]
                     else:
@@ -135,7 +140,7 @@ def _rows(kind: str):
 _SCHEMAS = {"documents": DOCUMENT_SCHEMA, "tags": TAG_SCHEMA, "entries": ENTRY_SCHEMA}
 
 
-def flatten_documents(df: DataFrame, kind: str, text: str = "json_text", cik: Column | None = None, extract_date: Column | None = None) -> DataFrame:
+def flatten_documents(df: DataFrame, kind: str, text: str = "json_text", cik: Column | None = None, extract_date: Column | None = None, fields: tuple[str, ...] = ENTRY_FIELDS) -> DataFrame:
     """One of the flat tables of nested documents: ``documents``, ``tags`` or ``entries``.
 
     ``doc_key`` is a hash of company, date and text and links the three tables; a repeated
@@ -144,11 +149,12 @@ def flatten_documents(df: DataFrame, kind: str, text: str = "json_text", cik: Co
     ``is_valid`` false). Missing levels and levels of another type give no rows. Where an object
     repeats a name its last member counts. An object in place of an array of entries counts as
     an array of one; NULL and non-object elements take a place but give no row. Values are text
-    as written; JSON null and absent fields are NULL.
+    as written; JSON null and absent fields are NULL. Only ``fields`` of the entries are read, the
+    others' columns are NULL.
     """
     one = df.select(
         (cik if cik is not None else F.col("cik")).alias("cik"),
         (extract_date if extract_date is not None else F.col("extract_date")).alias("extract_date"),
         F.col(text).alias("json_text"),
     ).select(F.sha2(F.concat_ws("|", "cik", "extract_date", "json_text"), 256).alias("doc_key"), "*")
-    return one.mapInPandas(_rows(kind), _SCHEMAS[kind])
+    return one.mapInPandas(_rows(kind, fields), _SCHEMAS[kind])

@@ -180,16 +180,16 @@ UNION ALL SELECT load_date, column_name, 'not_finite' FROM p WHERE odd > 0
 # --- 4 deeply nested semi-structured records
 
 
-def _raw(kind: str):
+def _raw(kind: str, **options):
     def query(spark: SparkSession, d: str) -> DataFrame:
         raw = table(spark, d, "sec_edgar_companyfacts_raw").select("json_text", "extract_date", "cik")
-        return flatten_documents(spread(raw), kind, cik=X.ten_digits("cik"))
+        return flatten_documents(spread(raw), kind, cik=X.ten_digits("cik"), **options)
 
     return query
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    entries = _raw("entries")(spark, d)
+    entries = _raw("entries", fields=("accn",))(spark, d)
     return entries.select("cik", "extract_date", "taxonomy", "concept_name", "unit", "entry_no", F.coalesce("accn", F.lit("")).alias("accn")).distinct()
 
 

@@ -13,7 +13,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents below ``extract_date=/cik=`` folders, one row per file."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "json_text")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json_text")
 
 
 def read_cover(spark: SparkSession, path: str) -> DataFrame:
