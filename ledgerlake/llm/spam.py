@@ -51,8 +51,8 @@ DISTINCT_SHARE = 0.67
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*|\b\.html?\b\S*)", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\[\]\n]{0,80}\]\([^()\s]+\)", re.I)
 _TAG = re.compile(r"(?<!\w)[#@][^\W_][\w-]*|(?<!\w)\$[A-Z]{1,6}\b")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d_]+")
+_SHAPED = re.compile(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d]|[\"'(\[<#¿¡])|\n+")
 _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
 _RUN = re.compile(rf"({_ITEM}(?:[\s|,;>*–-]+{_ITEM})+)", re.I)
@@ -70,7 +70,7 @@ def pieces(text: str) -> list[str]:
     """
     out: list[str] = []
     for piece in _SPLIT.split(text):
-        for part in _RUN.split(piece) if "#" in piece or "." in piece else (piece,):
+        for part in _RUN.split(piece) if "#" in piece or "@" in piece or "/" in piece or "www." in piece or ".htm" in piece or ("$" in piece and _TAG.search(piece)) else (piece,):
             words = part.split()
             if len(words) <= LONG_WORDS:
                 if words:
@@ -80,46 +80,46 @@ def pieces(text: str) -> list[str]:
     return [q for p in out for q in _even(p)]
 
 
-def shape_of(piece: str) -> str:
+def masked(piece: str) -> str:
+    """The piece with each link as one mark and each tag as another."""
+    s = piece
+    if "<" in s or "](" in s:
+        s = _ANCHOR.sub(" \x01 ", s)
+    if "/" in s or "www." in s or ".htm" in s:
+        s = _LINK.sub(" \x01 ", s)
+    if "#" in s or "@" in s or "$" in s:
+        s = _TAG.sub(" \x02 ", s)
+    return s
+
+
+def _shape(token: str) -> str:
+    if token[0].isdigit():
+        return "9"
+    if token[0].isalpha():
+        low = token.lower()
+        return low if low in FUNCTION_WORDS else "x"
+    return {"\x01": "L", "\x02": "H"}.get(token, token)
+
+
+def shape_of(piece: str, mask: str | None = None) -> str:
     """Token shapes: function words and marks as they are, everything else by kind."""
-    s = _ANCHOR.sub(" \x01 ", piece)
-    s = _LINK.sub(" \x01 ", s)
-    s = _TAG.sub(" \x02 ", s)
-    out = []
-    for t in re.findall(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]", s):
-        if t in "\x01\x02":
-            out.append("L" if t == "\x01" else "H")
-        elif t[0].isdigit():
-            out.append("9")
-        elif t.lower() in FUNCTION_WORDS:
-            out.append(t.lower())
-        elif t[0].isalpha():
-            out.append("x")
-        else:
-            out.append(t)
-    return " ".join(out)
-
-
-def is_loose(piece: str) -> bool:
+    return " ".join(map(_shape, _SHAPED.findall(masked(piece) if mask is None else mask)))
+
+
+def is_loose(piece: str, mask: str | None = None) -> bool:
     """Neither a sentence nor a row of an exhibit list or of figures."""
-    bare = _ANCHOR.sub(" ", piece)
-    bare = _LINK.sub(" ", bare)
-    bare = _TAG.sub(" ", bare)
-    words = [w.lower() for w in _WORD.findall(bare)]
-    if len(bare) < 0.6 * len(piece) and len(words) < 8:
+    mask = masked(piece) if mask is None else mask
+    words = _WORD.findall(mask.lower())
+    if mask is not piece and len(mask.replace("\x01", "").replace("\x02", "")) < 0.6 * len(piece) and len(words) < 8:
         return True
     if _LISTED.match(piece):
         return False
-    parts = piece.split()
-    if sum(bool(_FIGURE.fullmatch(p)) for p in parts) >= 0.4 * len(parts):
-        return False
-    if not words:
-        return False
-    glue = sum(w in FUNCTION_WORDS for w in words)
     content = [w for w in words if w not in FUNCTION_WORDS]
-    if glue < FUNCTION_SHARE * len(words):
-        return True
-    return len(content) >= 3 and len(set(content)) <= DISTINCT_SHARE * len(content)
+    sentence = len(words) - len(content) >= FUNCTION_SHARE * len(words) and not (len(content) >= 3 and len(set(content)) <= DISTINCT_SHARE * len(content))
+    if sentence or not words:
+        return False
+    parts = piece.split()
+    return sum(map(bool, map(_FIGURE.fullmatch, parts))) < 0.4 * len(parts)
 
 
 def ratio(text: str, of: int | None = None) -> float:
@@ -136,25 +136,27 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
     do not hide how redundant the list is.
     """
     parts = pieces(text)
-    marks = [is_loose(p) for p in parts]
+    masks = [masked(p) for p in parts]
+    marks = [is_loose(p, m) for p, m in zip(parts, masks, strict=True)]
     for i, part in enumerate(parts):
         if not marks[i] and len(part.split()) < SHORT_WORDS and not _LISTED.match(part) and all(marks[max(0, i - 1) : i] + marks[i + 1 : i + 2] or [False]):
             marks[i] = True
     out: list[tuple[int, float, float, int]] = []
     for mark in (True, False):
-        held: list[str] = []
+        held: list[int] = []
         size, before = 0, len(out)
-        own = [p for p, m in zip(parts, marks, strict=True) if m == mark]
-        for i, part in enumerate(own):
-            held.append(part)
+        own = [i for i, m in enumerate(marks) if m == mark]
+        for k, i in enumerate(own):
+            part = parts[i]
+            held.append(i)
             size += len(part)
-            last = i + 1 == len(own)
+            last = k + 1 == len(own)
             if last and size < BLOCK_CHARS // 3 and len(out) > before:  # too short an end for a ratio of its own
                 c, raw, shape, loose = out[-1]
                 out[-1] = (c + size, raw, shape, loose + size * mark)
             elif last or size >= BLOCK_CHARS:
-                block = "\n".join(held)
-                out.append((size, ratio(block), ratio("\n".join(map(shape_of, held)), len(block)), size * mark))
+                block = "\n".join(parts[h] for h in held)
+                out.append((size, ratio(block), ratio("\n".join(shape_of(parts[h], masks[h]) for h in held), len(block)), size * mark))
                 held, size = [], 0
     return out
 
