@@ -42,9 +42,13 @@ PAIR_SCHEMA = "doc_id long, item_id long, item_words int, covered_words int, cov
 
 def words(text: str) -> list[str]:
     """Words whatever their case, punctuation, blanks, line marks or mark-up."""
-    s = _MARKUP.sub(" ", text)
-    s = _IN_NUMBER.sub("", s.casefold())
-    return _WORD.findall(_APOSTROPHE.sub("", s))
+    s = _MARKUP.sub(" ", text) if any(c in text for c in "<&*_`~") else text
+    s = s.casefold()
+    if "," in s:
+        s = _IN_NUMBER.sub("", s)
+    if "'" in s or "’" in s:
+        s = _APOSTROPHE.sub("", s)
+    return _WORD.findall(s)
 
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(N)], dtype=np.uint64)
@@ -123,44 +127,65 @@ def covered(starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def align(a: np.ndarray, b: np.ndarray) -> int:
-    """Smith-Waterman score of two word sequences; each row is one vector operation."""
-    if not a.size or not b.size:
-        return 0
-    shift = np.arange(b.size + 1) * -GAP
-    row = np.zeros(b.size + 1, dtype=np.int64)
-    best = 0
-    for x in a:
-        up = np.maximum(row + GAP, 0)
-        up[1:] = np.maximum(up[1:], row[:-1] + np.where(b == x, MATCH, MISMATCH))
-        row = np.maximum.accumulate(up + shift) - shift
-        best = max(best, int(row.max()))
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 128) -> np.ndarray:
+    """Smith-Waterman score of each pair of word sequences.
+
+    Pairs of about the same size are scored together: each row of their tables is one vector
+    operation over all of them (a gap run in the row is a running maximum).
+    """
+    best = np.zeros(len(pairs), dtype=np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: (pairs[k][1].size, pairs[k][0].size))
+    for at in range(0, len(order), together):
+        part = order[at : at + together]
+        rows, width = max(pairs[k][0].size for k in part), max(pairs[k][1].size for k in part)
+        a = np.full((len(part), rows), -1, dtype=np.int32)
+        b = np.full((len(part), width), -2, dtype=np.int32)  # padding matches nothing, so it adds no score
+        for i, k in enumerate(part):
+            a[i, : pairs[k][0].size], b[i, : pairs[k][1].size] = pairs[k]
+        shift = np.arange(width + 1, dtype=np.int32) * np.int32(-GAP)
+        row = np.zeros((len(part), width + 1), dtype=np.int32)
+        top = np.zeros(len(part), dtype=np.int32)
+        for x in range(rows):
+            up = np.maximum(row + np.int32(GAP), 0)
+            np.maximum(up[:, 1:], row[:, :-1] + np.where(b == a[:, x : x + 1], np.int32(MATCH), np.int32(MISMATCH)), out=up[:, 1:])
+            up += shift
+            row = np.maximum.accumulate(up, axis=1) - shift
+            np.maximum(top, row.max(axis=1), out=top)
+        best[part] = top
     return best
 
 
-def pair_row(ix: ItemIndex, i: int, ids: np.ndarray, codes: np.ndarray) -> tuple | None:
-    """Coverage and alignment of item number ``i`` in a document."""
+def pair_row(ix: ItemIndex, i: int, ids: np.ndarray, codes: np.ndarray) -> tuple[tuple, list[np.ndarray]] | None:
+    """Coverage of item number ``i`` in a document, and the windows in which to align it."""
     item, own = ix.ids[i], ix.codes[i]
     order = np.argsort(codes, kind="stable")
     at = np.minimum(np.searchsorted(codes[order], own), codes.size - 1)
     place = order[at]
     same = np.flatnonzero(codes[place] == own)
-    same = same[[bool((item[p : p + N] == ids[place[p] : place[p] + N]).all()) for p in same]] if same.size else same
+    if same.size:
+        span = np.arange(N)
+        same = same[(item[same[:, None] + span] == ids[place[same][:, None] + span]).all(axis=1)]
     if not same.size:
         return None
     mask = covered(same, item.size)
     stretches = int((mask & ~np.r_[False, mask[:-1]]).sum())
     # Where any of the item's n-grams stand, with room for the item's other words on both sides.
-    there = np.flatnonzero(np.isin(codes, own[same]))
-    best = 0
-    window_end = -1
-    for s in there:
-        if s < window_end:
-            continue
-        lo, hi = max(0, s - item.size), min(ids.size, s + 2 * item.size)
-        best, window_end = max(best, align(item, ids[lo:hi])), hi - N
+    windows, end = [], -1
+    for s in np.flatnonzero(np.isin(codes, own[same])):
+        if s >= end:
+            lo, hi = max(0, s - item.size), min(ids.size, s + 2 * item.size)
+            windows.append(ids[lo:hi])
+            end = hi - N
     n = int(mask.sum())
-    return (ix.item_ids[i], int(item.size), n, n / item.size, stretches, best, best / (MATCH * item.size))
+    return (ix.item_ids[i], int(item.size), n, n / item.size, stretches), windows
+
+
+def score(rows: list[tuple[tuple, np.ndarray, list[np.ndarray]]]) -> list[tuple]:
+    """Rows with the best alignment score of their windows, and its share of a full copy's."""
+    owner = [k for k, (_, _, windows) in enumerate(rows) for _ in windows]
+    best = np.zeros(len(rows), dtype=np.int64)
+    np.maximum.at(best, owner, align([(item, w) for _, item, windows in rows for w in windows]))
+    return [(*row, int(x), float(x / (MATCH * item.size))) for (row, item, _), x in zip(rows, best, strict=True)]
 
 
 def _count_seeds(shared):
@@ -181,17 +206,17 @@ def _pairs(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix: ItemIndex = shared.value
         for pdf in batches:
-            out = []
+            found = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if not isinstance(text, str):
                     continue
                 ids, codes = ix.read(text)
                 seeds = ix.hits(codes)
                 for i in np.unique(np.concatenate([ix.seed_items[s] for s in seeds])) if seeds.size else ():
-                    row = pair_row(ix, int(i), ids, codes)
-                    if row:
-                        out.append((int(doc_id), *row))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
+                    pair = pair_row(ix, int(i), ids, codes)
+                    if pair:
+                        found.append(((int(doc_id), *pair[0]), ix.ids[i], pair[1]))
+            yield pd.DataFrame(score(found), columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
 
     return run
 

@@ -33,7 +33,8 @@ def plain_align(a, b):
 @given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(0, 4), max_size=15))
 @settings(max_examples=200, deadline=None)
 def test_alignment_matches_the_full_table(a, b):
-    assert align(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) == plain_align(a, b)
+    pairs = [(np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)) for x, y in ((a, b), (a[:3], b), (a, a), ([], b))]
+    assert align(pairs, together=3).tolist() == [plain_align(x.tolist(), y.tolist()) for x, y in pairs]
 
 
 def test_words_ignore_marks():
@@ -95,5 +96,5 @@ def test_edited_copy_scores_high():
     ix = ItemIndex.of([(1, " ".join(f"a{i}" for i in range(40)))])
     edited = " ".join("zz" if i % 9 == 8 else f"a{i}" for i in range(40))
     ids, codes = ix.read(edited)
-    row = L.pair_row(ix, 0, ids, codes)
-    assert row[6] > 0.7  # alignment over the edits
+    row, windows = L.pair_row(ix, 0, ids, codes)
+    assert L.score([(row, ix.ids[0], windows)])[0][6] > 0.7  # alignment over the edits
