@@ -33,7 +33,7 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 P7_SQL = r"""
-WITH pref AS (SELECT canonical_concept, lower(trim(concept_name)) AS tag, any_value(trim(concept_name)) AS name, min(preference_rank) AS rank, any_value(collapse_rule) AS rule
+WITH pref AS (SELECT canonical_concept, lower(trim(concept_name)) AS tag, any_value(concept_name) AS name, min(preference_rank) AS rank, any_value(collapse_rule) AS rule
   FROM canonical_concept_tag_preference GROUP BY 1, 2),
 r AS (SELECT sat_concept_value_hk AS hk, value, canonical_concept, regexp_replace(lower(trim(concept_name, E' \t\r\n')), '^us-gaap[:_]', '') AS tag FROM sat_concept_value),
 big AS (SELECT hk FROM r WHERE hk IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
