@@ -129,14 +129,17 @@ def mix(records: DataFrame, record_id: str, path: list[str], tokens: str, target
 
     Sources without a target, and records without tokens or source, are never drawn; targets
     without records get nothing and their share goes to siblings, then up the tree. No record is
-    taken more than ``max_repeats`` times. Repeated targets: the first by share counts. Ties in
+    taken more than ``max_repeats`` times. Of repeated targets the greatest share counts. Ties in
     the seeded order are settled by id. Empty inputs give empty results.
     """
     spark = records.sparkSession
     rows = cut(
         records.select(F.col(record_id).alias("record_id"), *[F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in path], F.col(tokens).cast("long").alias("n_tokens")).where("n_tokens > 0")
     )
-    wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.where(F.col(share_of).isNotNull()).select(share_of, "target_share", "max_repeats").orderBy(share_of, F.desc("target_share")).limit(LEAF_LIMIT).collect()}
+    goals = targets.where(F.col(share_of).isNotNull()).select(share_of, "target_share", "max_repeats").limit(LEAF_LIMIT + 1).collect()
+    if len(goals) > LEAF_LIMIT:
+        raise ValueError(f"more than {LEAF_LIMIT} targets")
+    wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in sorted(goals, key=lambda r: (r[1] or 0, r[2] or 0))}
     found = rows.groupBy(*path).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col(share_of).isin(list(wanted)) if wanted else F.lit(False))
     sizes = found.limit(LEAF_LIMIT + 1).collect()
     if len(sizes) > LEAF_LIMIT:
