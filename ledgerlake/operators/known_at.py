@@ -15,6 +15,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlake.session import buckets_for
 
@@ -23,7 +25,10 @@ DAY_US = 86_400_000_000
 HOT_ROWS = 200_000
 
 
-def _asof(schema: pa.Schema, event_columns: list[str], carry: list[str]):
+def _asof(schema: pa.Schema, event_columns: list[str], carry: list[str], k: str, before: str):
+    picked = ", ".join([f'e."{c}"' for c in event_columns] + [f'v."{c}"' for c in carry])
+    sql = f'SELECT {picked} FROM events e ASOF LEFT JOIN versions v ON e."{k}" = v."{k}" AND e."{before}" > v.since_'
+
     def run(events: pa.Table, versions: pa.Table) -> pa.Table:
         import duckdb
 
@@ -33,14 +38,19 @@ def _asof(schema: pa.Schema, event_columns: list[str], carry: list[str]):
             con.execute("SET memory_limit = '600MB'")
             con.register("events", events)
             con.register("versions", versions)
-            picked = ", ".join([f'e."{c}"' for c in event_columns] + [f'v."{c}"' for c in carry])
-            return con.sql(f"SELECT {picked} FROM events e ASOF LEFT JOIN versions v ON e.k_ = v.k_ AND e.before_us_ > v.since_us_").to_arrow_table().cast(schema)
+            return con.sql(sql).to_arrow_table().cast(schema)
         finally:
             con.close()
 
     return run
 
 
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column, since_us: Column, carry: dict[str, Column], tick_us: int = DAY_US) -> DataFrame:
     """Each event with the version of its entity that was the latest available before it.
 
@@ -51,36 +61,33 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
 
     Ties at one instant go to the greatest carried values (NULL lowest). Events with a NULL key
     or time, and events before the first version, carry NULLs. Versions with a NULL key or time
-    are never known. Repeated events are kept; empty inputs are fine.
+    are never known. Repeated events are kept; empty inputs are fine. An event column of the
+    name of a carried one gives way to it.
     """
     names = list(carry)
-    if clash := {*names, "k_", "before_us_", "since_us_", "salt_", "bucket_"} & {*events.columns}:
-        raise ValueError(f"names taken by the events: {sorted(clash)}")
-    e = events.withColumns({"k_": F.col(key).cast("string"), "before_us_": before_us})
-    tick = F.floor(F.col("since_us_") / F.lit(tick_us))
+    kept = [c for c in events.columns if c not in names]
+    taken = {*events.columns, *names, "since_", "tick_", "v_"}
+    k, before, salt, bucket, copies = (_free(n, taken) for n in ("k_", "before_", "salt_", "bucket_", "copies_"))
+    e = events.withColumns({k: F.col(key).cast("string"), before: before_us}).select(*kept, k, before)
     v = (
-        versions.select(F.col(key).cast("string").alias("k_"), since_us.alias("since_us_"), *[c.alias(n) for n, c in carry.items()])
-        .where("k_ IS NOT NULL AND since_us_ IS NOT NULL")
-        .groupBy("k_", tick.alias("tick_"))
-        .agg(F.max(F.struct("since_us_", *names)).alias("v"))
-        .select("k_", "v.*")
+        versions.select(F.col(key).cast("string").alias(k), since_us.alias("since_"), *[c.alias(n) for n, c in carry.items()])
+        .where(F.col(k).isNotNull() & F.col("since_").isNotNull())
+        .groupBy(k, F.floor(F.col("since_") / F.lit(tick_us)).alias("tick_"))
+        .agg(F.max(F.struct("since_", *names)).alias("v_"))
+        .select(k, "v_.*")
     )
     total = events.count()
     hot_rows = max(HOT_ROWS, total // 1000)
-    hot = e.groupBy("k_").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
+    hot = e.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
     n = buckets_for(versions, rows=total)
     if hot:
-        spread = F.broadcast(events.sparkSession.createDataFrame([(r.k_, -(-r.n // hot_rows)) for r in hot], "k_ string, copies_ int"))
-        e = e.join(spread, "k_", "left").withColumn("salt_", F.pmod(F.xxhash64(*events.columns, F.monotonically_increasing_id()), F.coalesce("copies_", F.lit(1))).cast("int")).drop("copies_")
-        v = v.join(spread, "k_", "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("copies_", F.lit(1)) - 1))).drop("copies_")
+        spread = F.broadcast(events.sparkSession.createDataFrame([(r[k], -(-r.n // hot_rows)) for r in hot], f"{k} string, {copies} int"))
+        e = e.join(spread, k, "left").withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in kept], F.monotonically_increasing_id()), F.coalesce(copies, F.lit(1))).cast("int")).drop(copies)
+        v = v.join(spread, k, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
     else:
-        e, v = e.withColumn("salt_", F.lit(0)), v.withColumn("salt_", F.lit(0))
-    bucket = F.pmod(F.xxhash64("k_", "salt_"), F.lit(n)).cast("int")
-    e, v = e.withColumn("bucket_", bucket), v.withColumn("bucket_", bucket)
-    kinds = [*events.schema.fields, *[f for f in v.schema.fields if f.name in names]]
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in kinds])
-    plain = to_arrow_schema(out)
-    return e.drop("salt_").groupBy("bucket_").cogroup(v.drop("salt_").groupBy("bucket_")).applyInArrow(_asof(plain, events.columns, names), out)
+        e, v = e.withColumn(salt, F.lit(0)), v.withColumn(salt, F.lit(0))
+    place = F.pmod(F.xxhash64(k, salt), F.lit(n)).cast("int")
+    e, v = e.withColumn(bucket, place).drop(salt), v.withColumn(bucket, place).drop(salt)
+    of = {f.name: f.dataType for f in (*v.schema.fields, *events.schema.fields) if f.name in kept or f.name in names} | {f.name: f.dataType for f in v.schema.fields if f.name in names}
+    out = T.StructType([T.StructField(c, of[c], True) for c in (*kept, *names)])
+    return e.groupBy(bucket).cogroup(v.groupBy(bucket)).applyInArrow(_asof(to_arrow_schema(out), kept, names, k, before), out)

@@ -87,7 +87,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     )
     marks = r.groupBy("relation", "ref_key", "period").agg(F.lit(None).cast("long").alias("parent_us"))
     events = marks.withColumn("is_parent", F.lit(False)).unionByName(p.withColumn("is_parent", F.lit(True)))
-    n = buckets_for(refs, parents)
+    n = buckets_for(refs, parents, each=4)  # several a partition, so that partitions come out even
     suspects = (
         events.withColumn("bucket", F.pmod(F.xxhash64("relation", "ref_key"), F.lit(n)).cast("int"))
         .groupBy("bucket")

@@ -49,12 +49,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(companies.select(F.lit("sp100_company_sector.cik").alias("relation"), X.ten_digits("cik").alias("ref_key"), F.lit(None).cast("timestamp").alias("parent_ts")))
     )
     found = orphan_references(links.unionByName(sectors), parents)
+    # A row key has one reference time here, so the distinct references are distinct cases.
     return found.select(
         F.substring_index("relation", ".", 1).alias("table_name"),
         F.substring_index("relation", ".", -1).alias("column_name"),
         "row_key",
         F.coalesce(F.date_format("ref_ts", "yyyy-MM"), F.lit("all")).alias("period"),
-    ).distinct()
+    )
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -80,11 +80,11 @@ def plan_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
-def buckets_for(*dfs: DataFrame, target_mb: float = 8.0, rows: int = 0, target_rows: int = 100_000) -> int:
+def buckets_for(*dfs: DataFrame, target_mb: float = 8.0, rows: int = 0, target_rows: int = 100_000, each: int = 1) -> int:
     """Number of hash buckets so that one holds about ``target_mb`` of estimated input, or
-    ``target_rows`` of ``rows`` already counted."""
+    ``target_rows`` of ``rows`` already counted. At least ``each`` a shuffle partition."""
     spark = dfs[0].sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    least = each * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = sum(plan_bytes(d) or 0 for d in dfs)
     return int(max(least, min(200_000, max(size / (target_mb * 1e6), rows / target_rows))))
 
