@@ -45,3 +45,24 @@ def iso_day(c: Column | str) -> Column:
     digits = F.regexp_replace(F.regexp_extract(trim_blanks(c), r"^(\d{4}-?\d{2}-?\d{2})", 1), "-", "")
     day = F.try_to_date(digits, "yyyyMMdd")
     return F.date_format(day, "yyyy-MM-dd")
+
+
+_HEX64 = "^[0-9A-F]{64}$"
+
+
+def pack_key(c: Column | str) -> Column:
+    """A key in half the bytes: upper-case SHA-256 hex as its 32 bytes, any other text as UTF-8.
+
+    Equal keys have equal packed forms and different keys different ones; hex digits do not
+    compress in shuffles, so hash keys move in this form.
+    """
+    c = col(c)
+    whole = F.concat(F.lit(bytearray(b"\x01")), F.unhex(c))
+    return F.when(c.rlike(_HEX64), whole).when(c.isNotNull(), F.concat(F.lit(bytearray(b"\x00")), F.encode(c, "UTF-8")))
+
+
+def unpack_key(c: Column | str) -> Column:
+    """The key as it was before ``pack_key``."""
+    c = col(c)
+    rest = F.substring(c, 2, 2**31 - 1)
+    return F.when(F.substring(c, 1, 1) == F.lit(bytearray(b"\x01")), F.hex(rest)).when(c.isNotNull(), F.decode(rest, "UTF-8"))

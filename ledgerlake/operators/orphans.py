@@ -25,8 +25,6 @@ from ledgerlake.session import buckets_for
 #: Period of references that are checked against parents "whenever loaded".
 ANY_TIME = 1 << 30
 
-_SUSPECTS = "relation string, ref_key string, period int, parent_us long"
-
 
 def month_index(ts: str) -> F.Column:
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
@@ -68,7 +66,7 @@ def suspects_in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """Every reference without a parent, or with a parent that arrived only later.
 
-    ``refs``: relation, row_key, ref_key (already normalised), ref_ts (timestamp; NULL means
+    ``refs``: relation, row_key, ref_key (already normalised; text or binary), ref_ts (timestamp; NULL means
     "whenever loaded"). ``parents``: relation, ref_key, parent_ts. Result: relation, row_key,
     ref_key, ref_ts, parent_ts (NULL: never arrived), distinct.
 
@@ -85,13 +83,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .agg(F.min(F.coalesce(F.unix_micros("parent_ts"), F.lit(-(1 << 62)))).alias("parent_us"))
         .withColumn("period", _period_of_us("parent_us"))
     )
+    kind = dict(refs.dtypes)["ref_key"]
     marks = r.groupBy("relation", "ref_key", "period").agg(F.lit(None).cast("long").alias("parent_us"))
     events = marks.withColumn("is_parent", F.lit(False)).unionByName(p.withColumn("is_parent", F.lit(True)))
     n = buckets_for(refs, parents, each=4)  # several a partition, so that partitions come out even
     suspects = (
         events.withColumn("bucket", F.pmod(F.xxhash64("relation", "ref_key"), F.lit(n)).cast("int"))
         .groupBy("bucket")
-        .applyInPandas(suspects_in_bucket, _SUSPECTS)
+        .applyInPandas(suspects_in_bucket, f"relation string, ref_key {kind}, period int, parent_us long")
     )
     late = F.col("parent_us").isNull() | (F.col("ref_ts").isNotNull() & (F.col("parent_us") > F.unix_micros("ref_ts")))
     return (

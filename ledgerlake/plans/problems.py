@@ -21,39 +21,44 @@ from ledgerlake.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = table(spark, d, "link_company_filing").select(
+        X.pack_key("link_company_filing_hk").alias("row_key"),
+        "load_datetime",
+        X.pack_key(X.key_text("hub_company_hk")).alias("company"),
+        X.pack_key(X.key_text("hub_filing_hk")).alias("filing"),
+    )
     links = (
-        table(spark, d, "link_company_filing")
-        .groupBy("link_company_filing_hk")
-        .agg(F.min(F.struct("load_datetime", "hub_company_hk", "hub_filing_hk")).alias("first"))
+        packed.groupBy("row_key")
+        .agg(F.min(F.struct("load_datetime", "company", "filing")).alias("first"))
         .select(
-            F.col("link_company_filing_hk").alias("row_key"),
+            "row_key",
             F.col("first.load_datetime").alias("ref_ts"),
             F.explode(
                 F.create_map(
-                    F.lit("link_company_filing.hub_company_hk"), X.key_text("first.hub_company_hk"),
-                    F.lit("link_company_filing.hub_filing_hk"), X.key_text("first.hub_filing_hk"),
+                    F.lit("link_company_filing.hub_company_hk"), F.col("first.company"),
+                    F.lit("link_company_filing.hub_filing_hk"), F.col("first.filing"),
                 )
             ).alias("relation", "ref_key"),
         )
     )
     sectors = table(spark, d, "sp100_company_sector").select(
-        X.ten_digits("cik").alias("row_key"),
+        X.pack_key(X.ten_digits("cik")).alias("row_key"),
         F.lit(None).cast("timestamp").alias("ref_ts"),
         F.lit("sp100_company_sector.cik").alias("relation"),
-        X.ten_digits("cik").alias("ref_key"),
+        X.pack_key(X.ten_digits("cik")).alias("ref_key"),
     )
     companies, filings = table(spark, d, "hub_company"), table(spark, d, "hub_filing")
     parents = (
-        companies.select(F.lit("link_company_filing.hub_company_hk").alias("relation"), X.key_text("hub_company_hk").alias("ref_key"), F.col("load_datetime").alias("parent_ts"))
-        .unionByName(filings.select(F.lit("link_company_filing.hub_filing_hk").alias("relation"), X.key_text("hub_filing_hk").alias("ref_key"), F.col("load_datetime").alias("parent_ts")))
-        .unionByName(companies.select(F.lit("sp100_company_sector.cik").alias("relation"), X.ten_digits("cik").alias("ref_key"), F.lit(None).cast("timestamp").alias("parent_ts")))
+        companies.select(F.lit("link_company_filing.hub_company_hk").alias("relation"), X.pack_key(X.key_text("hub_company_hk")).alias("ref_key"), F.col("load_datetime").alias("parent_ts"))
+        .unionByName(filings.select(F.lit("link_company_filing.hub_filing_hk").alias("relation"), X.pack_key(X.key_text("hub_filing_hk")).alias("ref_key"), F.col("load_datetime").alias("parent_ts")))
+        .unionByName(companies.select(F.lit("sp100_company_sector.cik").alias("relation"), X.pack_key(X.ten_digits("cik")).alias("ref_key"), F.lit(None).cast("timestamp").alias("parent_ts")))
     )
     found = orphan_references(links.unionByName(sectors), parents)
     # A row key has one reference time here, so the distinct references are distinct cases.
     return found.select(
         F.substring_index("relation", ".", 1).alias("table_name"),
         F.substring_index("relation", ".", -1).alias("column_name"),
-        "row_key",
+        X.unpack_key("row_key").alias("row_key"),
         F.coalesce(F.date_format("ref_ts", "yyyy-MM"), F.lit("all")).alias("period"),
     )
 
