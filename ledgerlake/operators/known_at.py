@@ -54,7 +54,7 @@ def _free(name: str, taken: set[str]) -> str:
 def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column, since_us: Column, carry: dict[str, Column], tick_us: int = DAY_US) -> DataFrame:
     """Each event with the version of its entity that was the latest available before it.
 
-    ``before_us`` (over events) and ``since_us`` (over versions) are microseconds since 1970; a
+    ``key`` is a column of one type on both sides. ``before_us`` (over events) and ``since_us`` (over versions) are microseconds since 1970; a
     version counts if ``since_us < before_us``. ``before_us`` must lie on multiples of
     ``tick_us``. ``carry`` names what is taken from the version. Result: all columns of
     ``events`` and those of ``carry``, one row per event row.
@@ -68,9 +68,9 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
     kept = [c for c in events.columns if c not in names]
     taken = {*events.columns, *names, "since_", "tick_", "v_"}
     k, before, salt, bucket, copies = (_free(n, taken) for n in ("k_", "before_", "salt_", "bucket_", "copies_"))
-    e = events.withColumns({k: F.col(key).cast("string"), before: before_us}).select(*kept, k, before)
+    e = events.withColumns({k: F.col(key), before: before_us}).select(*kept, k, before)
     v = (
-        versions.select(F.col(key).cast("string").alias(k), since_us.alias("since_"), *[c.alias(n) for n, c in carry.items()])
+        versions.select(F.col(key).alias(k), since_us.alias("since_"), *[c.alias(n) for n, c in carry.items()])
         .where(F.col(k).isNotNull() & F.col("since_").isNotNull())
         .groupBy(k, F.floor(F.col("since_") / F.lit(tick_us)).alias("tick_"))
         .agg(F.max(F.struct("since_", *names)).alias("v_"))
@@ -81,7 +81,7 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
     hot = e.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
     n = buckets_for(versions, rows=total)
     if hot:
-        spread = F.broadcast(events.sparkSession.createDataFrame([(r[k], -(-r.n // hot_rows)) for r in hot], f"{k} string, {copies} int"))
+        spread = F.broadcast(events.sparkSession.createDataFrame([(r[k], -(-r.n // hot_rows)) for r in hot], f"{k} {dict(e.dtypes)[k]}, {copies} int"))
         e = e.join(spread, k, "left").withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in kept], F.monotonically_increasing_id()), F.coalesce(copies, F.lit(1))).cast("int")).drop(copies)
         v = v.join(spread, k, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
     else:

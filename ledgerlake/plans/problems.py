@@ -227,16 +227,25 @@ SELECT DISTINCT cik, extract_date, taxonomy, concept_name, unit, entry_no, coale
 
 def p5_known(spark: SparkSession, d: str) -> DataFrame:
     """Every PIT row with the value version known by its as_of_date (NULL if none)."""
+    out = _known(spark, d)
+    return out.withColumns({c: X.unpack_key(c) for c in (*_PIT_KEYS, "value_pk", "known_pk")})
+
+
+_PIT_KEYS = ("pit_link_filing_concept_period_hk", "link_filing_concept_period_hk", "sat_concept_value_pk")
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_known`` with packed keys."""
     pit = (
         table(spark, d, "pit_link_filing_concept_period")
-        .select("pit_link_filing_concept_period_hk", "link_filing_concept_period_hk", "as_of_date", "sat_concept_value_pk", F.unix_micros("sat_concept_value_ldts").alias("stored_us"))
+        .select(*[X.pack_key(c).alias(c) for c in _PIT_KEYS], "as_of_date", F.unix_micros("sat_concept_value_ldts").alias("stored_us"))
         .distinct()
     )
     end = (F.unix_date("as_of_date").cast("long") + 1) * F.lit(DAY_US)
-    values = table(spark, d, "sat_concept_value").select("link_filing_concept_period_hk", "load_datetime", "sat_concept_value_hk", "accession_number")
+    values = table(spark, d, "sat_concept_value").select(X.pack_key("link_filing_concept_period_hk").alias("link_filing_concept_period_hk"), "load_datetime", "sat_concept_value_hk", "accession_number")
     valued = known_at(
         pit, values, "link_filing_concept_period_hk", end, F.unix_micros("load_datetime"),
-        {"value_us": F.unix_micros("load_datetime"), "value_pk": F.col("sat_concept_value_hk"), "accession_number": F.col("accession_number")},
+        {"value_us": F.unix_micros("load_datetime"), "value_pk": X.pack_key("sat_concept_value_hk"), "accession_number": F.col("accession_number")},
     )
     filings = table(spark, d, "sat_filing_metadata").select("accession_number", "load_datetime", "filed_date")
     dated = known_at(
@@ -248,7 +257,8 @@ def p5_known(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     differs = ~F.col("sat_concept_value_pk").eqNullSafe(F.col("known_pk")) | ~F.col("stored_us").eqNullSafe(F.col("known_us"))
-    return p5_known(spark, d).where(differs).select("pit_link_filing_concept_period_hk", F.coalesce("known_pk", F.lit("none")).alias("known_sat_concept_value_pk")).distinct()
+    found = _known(spark, d).where(differs).select("pit_link_filing_concept_period_hk", "known_pk").distinct()
+    return found.select(X.unpack_key("pit_link_filing_concept_period_hk").alias("pit_link_filing_concept_period_hk"), F.coalesce(X.unpack_key("known_pk"), F.lit("none")).alias("known_sat_concept_value_pk"))
 
 
 P5_SQL = """
@@ -297,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_tags": p4_tags,
     "p4_entries": p4_entries,
     "p5_found": p5_found,
+    "p5_known": p5_known,
     "p6_found": p6_found,
     "p6_history": p6_history,
 }
