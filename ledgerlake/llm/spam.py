@@ -44,9 +44,9 @@ SHORT_WORDS = 6
 #: A block is redundant if its ratio is below this share of the median for its language and length.
 REDUNDANT_BELOW = 0.80
 #: A sentence has at least this share of function words ...
-FUNCTION_SHARE = 0.12
-#: ... and its content words repeat no more than this.
-DISTINCT_SHARE = 0.67
+FUNCTION_SHARE = 0.10
+#: ... and its content words repeat no more than this: so many are distinct, and no one makes up so many.
+DISTINCT_SHARE, TOP_SHARE = 0.67, 0.4
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*|\b\.html?\b\S*)", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\[\]\n]{0,80}\]\([^()\s]+\)", re.I)
@@ -56,7 +56,7 @@ _SHAPED = re.compile(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d]|[\"'(\[<#¿¡])|\n+")
 _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
 _RUN = re.compile(rf"({_ITEM}(?:[\s|,;>*–-]+{_ITEM})+)", re.I)
-_LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:\d{1,3}\.\d{1,3}|\(?[ivx\d]{1,4}[.)])\s+\S")
+_LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:\d{1,3}\.\d{1,3}|[ivx\d]{1,3}\.|\([ivx\d]{1,4}\))\s+\S")
 _FIGURE = re.compile(r"[$€£]?\(?\d[\d.,]*\)?%?")
 
 BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, loose int, chars int"
@@ -115,13 +115,20 @@ def is_loose(piece: str, mask: str | None = None) -> bool:
     if _LISTED.match(piece):
         return False
     content = [w for w in words if w not in FUNCTION_WORDS]
-    sentence = len(words) - len(content) >= FUNCTION_SHARE * len(words) and not (len(content) >= 3 and len(set(content)) <= DISTINCT_SHARE * len(content))
-    if sentence or not words:
+    if not words or len(words) - len(content) >= FUNCTION_SHARE * len(words) and not _repeats(content):
         return False
     parts = piece.split()
     return sum(map(bool, map(_FIGURE.fullmatch, parts))) < 0.4 * len(parts)
 
 
+def _repeats(content: list[str]) -> bool:
+    """Whether a sentence says the same words again and again."""
+    own = set(content)
+    if len(content) < 3 or len(own) == len(content):
+        return False
+    return len(own) <= DISTINCT_SHARE * len(content) or max(map(content.count, own)) >= TOP_SHARE * len(content)
+
+
 def ratio(text: str, of: int | None = None) -> float:
     """Deflated bytes of ``text`` by its own bytes, or by ``of`` bytes it stands for."""
     data = text.encode("utf-8", "replace")
