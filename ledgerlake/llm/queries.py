@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.text import pack_key, unpack_key
 from ledgerlake.llm.fusion import FILLED, Fusion
 from ledgerlake.llm.leakage import leaked_items
 from ledgerlake.llm.mixing import mix, token_count
@@ -18,18 +19,18 @@ from ledgerlake.sources.tables import table
 
 
 def _fusion(spark: SparkSession, d: str, *fields: str) -> Fusion:
-    values = table(spark, d, "sat_concept_value").select("sat_concept_value_hk", "canonical_concept", "concept_name", "value", *fields)
+    values = table(spark, d, "sat_concept_value").select(pack_key("sat_concept_value_hk").alias("sat_concept_value_hk"), "canonical_concept", "concept_name", "value", *fields)
     return Fusion(values, table(spark, d, "canonical_concept_tag_preference"), "sat_concept_value_hk")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     won = _fusion(spark, d).survivors()
-    return won.select(F.col("g").alias("sat_concept_value_hk"), "concept_name", (F.col("value") * 100).cast("long").alias("value_cents"))
+    return won.select(unpack_key("g").alias("sat_concept_value_hk"), "concept_name", (F.col("value") * 100).cast("long").alias("value_cents"))
 
 
 def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Whole surviving records with filled fields and the posterior of their figure."""
-    return _fusion(spark, d, *FILLED).filled()
+    return _fusion(spark, d, *FILLED).filled().withColumn("sat_concept_value_hk", unpack_key("sat_concept_value_hk"))
 
 
 P7_SQL = r"""
