@@ -226,7 +226,7 @@ SELECT DISTINCT cik, extract_date, taxonomy, concept_name, unit, entry_no, coale
 
 
 def p5_known(spark: SparkSession, d: str) -> DataFrame:
-    """Every PIT row with the value version known by its as_of_date (NULL if none)."""
+    """Every delivered PIT row with the value version known by its as_of_date (NULL if none)."""
     out = _known(spark, d)
     return out.withColumns({c: X.unpack_key(c) for c in (*_PIT_KEYS, "value_pk", "known_pk")})
 
@@ -236,11 +236,7 @@ _PIT_KEYS = ("pit_link_filing_concept_period_hk", "link_filing_concept_period_hk
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
     """``p5_known`` with packed keys."""
-    pit = (
-        table(spark, d, "pit_link_filing_concept_period")
-        .select(*[X.pack_key(c).alias(c) for c in _PIT_KEYS], "as_of_date", F.unix_micros("sat_concept_value_ldts").alias("stored_us"))
-        .distinct()
-    )
+    pit = table(spark, d, "pit_link_filing_concept_period").select(*[X.pack_key(c).alias(c) for c in _PIT_KEYS], "as_of_date", F.unix_micros("sat_concept_value_ldts").alias("stored_us"))
     end = (F.unix_date("as_of_date").cast("long") + 1) * F.lit(DAY_US)
     values = table(spark, d, "sat_concept_value").select(X.pack_key("link_filing_concept_period_hk").alias("link_filing_concept_period_hk"), "load_datetime", "sat_concept_value_hk", "accession_number")
     valued = known_at(
