@@ -222,13 +222,14 @@ entry AS (
 SELECT DISTINCT cik, extract_date, taxonomy, concept_name, unit, entry_no, coalesce(json_extract_string(e, '$.accn'), '') AS accn FROM entry WHERE json_type(e) = 'OBJECT'
 """
 
+P4_ENTRIES_SQL = P4_SQL[: P4_SQL.index("SELECT DISTINCT")].replace("AS cik, extract_date, CAST", "AS cik, extract_date, sha256(concat_ws('|', lpad(ltrim(regexp_extract(cik, '(\\d+)', 1), '0'), 10, '0'), extract_date, json_text)) AS doc_key, CAST").replace("SELECT cik, extract_date", "SELECT doc_key, cik, extract_date")
+
 # --- 5 attributes as known at event time
 
 
 def p5_known(spark: SparkSession, d: str) -> DataFrame:
     """Every delivered PIT row with the value version known by its as_of_date (NULL if none)."""
-    out = _known(spark, d)
-    return out.withColumns({c: X.unpack_key(c) for c in (*_PIT_KEYS, "value_pk", "known_pk")})
+    return _known(spark, d).select(X.unpack_key("pit_link_filing_concept_period_hk").alias("pit_link_filing_concept_period_hk"), "as_of_date", X.unpack_key("known_pk").alias("known_pk"), "known_us")
 
 
 _PIT_KEYS = ("pit_link_filing_concept_period_hk", "link_filing_concept_period_hk", "sat_concept_value_pk")
@@ -292,6 +293,13 @@ s AS (SELECT *, lag(name) OVER (PARTITION BY hub_company_hk ORDER BY us, name) A
 SELECT hub_company_hk, us AS valid_from_us, coalesce(lead(us) OVER (PARTITION BY hub_company_hk ORDER BY us, name), -1) AS valid_to_us FROM s WHERE before IS NULL OR before <> name
 """
 
+P5_KNOWN_SQL = P5_SQL[: P5_SQL.index("SELECT DISTINCT hk AS")].replace("SELECT DISTINCT pit_link", "SELECT pit_link") + "SELECT hk AS pit_link_filing_concept_period_hk, as_of_date, kpk AS known_pk, epoch_us(kts) AS known_us FROM b"
+
+P6_HISTORY_SQL = P6_SQL.replace("SELECT DISTINCT hub_company_hk, epoch_us(load_datetime) AS us,", "SELECT hub_company_hk, epoch_us(load_datetime) AS us, min(entity_name) AS entity_name,").replace(
+    "AND load_datetime IS NOT NULL)", "AND load_datetime IS NOT NULL GROUP BY 1, 2, 4)"
+).replace("SELECT hub_company_hk, us AS valid_from_us", "SELECT hub_company_hk, entity_name, us AS valid_from_us")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -314,6 +322,12 @@ ORACLE_SQL: dict[str, str] = {
     "p2_found": P2_SQL,
     "p3_found": P3_SQL,
     "p4_found": P4_SQL,
+    "p4_entries": P4_ENTRIES_SQL
+    + "SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, unit, entry_no, "
+    + ", ".join(f"json_extract_string(e, '$.{f}') AS \"{f}\"" for f in ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame"))
+    + " FROM entry WHERE json_type(e) = 'OBJECT'",
     "p5_found": P5_SQL,
+    "p5_known": P5_KNOWN_SQL,
     "p6_found": P6_SQL,
+    "p6_history": P6_HISTORY_SQL,
 }
