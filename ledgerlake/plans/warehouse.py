@@ -33,8 +33,8 @@ COMPLETE_SHARE = 0.5
 class Build:
     """All tables of the warehouse for one directory of raw tables."""
 
-    def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
+    def __init__(self, spark: SparkSession, d: str, load_ts: datetime = LOAD_TS, existing: Callable[[str], DataFrame | None] = lambda name: None):
+        self.spark, self.d, self.load_ts, self.existing = spark, d, load_ts, existing
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -81,42 +81,42 @@ class Build:
 
     @cached_property
     def hub_company(self) -> DataFrame:
-        return load_hub(self.cover, None, "cik", "hub_company_hk", LOAD_TS, "sec_edgar.companyfacts")
+        return load_hub(self.cover, self.existing("hub_company"), "cik", "hub_company_hk", self.load_ts, "sec_edgar.companyfacts")
 
     @cached_property
     def hub_concept(self) -> DataFrame:
-        return load_hub(self.concepts, None, "canonical_concept", "hub_concept_hk", LOAD_TS, "sec_edgar.companyfacts")
+        return load_hub(self.concepts, self.existing("hub_concept"), "canonical_concept", "hub_concept_hk", self.load_ts, "sec_edgar.companyfacts")
 
     @cached_property
     def hub_filing(self) -> DataFrame:
-        return load_hub(self.concepts, None, "accession_number", "hub_filing_hk", LOAD_TS, "sec_edgar.companyfacts")
+        return load_hub(self.concepts, self.existing("hub_filing"), "accession_number", "hub_filing_hk", self.load_ts, "sec_edgar.companyfacts")
 
     @cached_property
     def link_company_filing(self) -> DataFrame:
         rows = self.concepts.where("accession_number IS NOT NULL")
-        return load_link(rows, None, ["cik", "accession_number"], "link_company_filing_hk", {"hub_company_hk": "cik", "hub_filing_hk": "accession_number"}, LOAD_TS, "sec_edgar.companyfacts")
+        return load_link(rows, self.existing("link_company_filing"), ["cik", "accession_number"], "link_company_filing_hk", {"hub_company_hk": "cik", "hub_filing_hk": "accession_number"}, self.load_ts, "sec_edgar.companyfacts")
 
     @cached_property
     def link_filing_concept_period(self) -> DataFrame:
         rows = self.concepts.where("accession_number IS NOT NULL")
         parents = {"hub_company_hk": "cik", "hub_filing_hk": "accession_number", "hub_concept_hk": "canonical_concept"}
-        return load_link(rows, None, LINK_PARTS, "link_filing_concept_period_hk", parents, LOAD_TS, "sec_edgar.companyfacts", nullable=("period_start_date", "fiscal_year", "fiscal_period"))
+        return load_link(rows, self.existing("link_filing_concept_period"), LINK_PARTS, "link_filing_concept_period_hk", parents, self.load_ts, "sec_edgar.companyfacts", nullable=("period_start_date", "fiscal_year", "fiscal_period"))
 
     @cached_property
     def sat_filing_metadata(self) -> DataFrame:
         rows = self.concepts.where("accession_number IS NOT NULL").withColumn("hub_filing_hk", key_hash("accession_number"))
-        return load_satellite(rows, None, "hub_filing_hk", ["form_type", "filed_date"], "sat_filing_metadata_hk", LOAD_TS, "sec_edgar.companyfacts", keep=("accession_number",))
+        return load_satellite(rows, self.existing("sat_filing_metadata"), "hub_filing_hk", ["form_type", "filed_date"], "sat_filing_metadata_hk", self.load_ts, "sec_edgar.companyfacts", keep=("accession_number",))
 
     @cached_property
     def sat_company_metadata(self) -> DataFrame:
         """The name on the latest snapshot of each company."""
         last = self.cover.groupBy("cik").agg(F.max(F.struct("day", "entity_name")).alias("x")).select("cik", "x.entity_name").withColumn("hub_company_hk", key_hash("cik"))
-        return load_satellite(last, None, "hub_company_hk", ["entity_name"], "sat_company_metadata_hk", LOAD_TS, "sec_edgar.companyfacts", keep=("cik",))
+        return load_satellite(last, self.existing("sat_company_metadata"), "hub_company_hk", ["entity_name"], "sat_company_metadata_hk", self.load_ts, "sec_edgar.companyfacts", keep=("cik",))
 
     @cached_property
     def sat_concept_canonical(self) -> DataFrame:
         rows = self.concepts.select("canonical_concept", "concept_name").distinct().withColumns({"hub_concept_hk": key_hash("canonical_concept"), "sub_sequence_key": key_hash("concept_name")})
-        return load_satellite(rows, None, "hub_concept_hk", ["concept_name"], "sat_concept_canonical_hk", LOAD_TS, "sec_edgar.companyfacts", child_key="sub_sequence_key", keep=("canonical_concept",))
+        return load_satellite(rows, self.existing("sat_concept_canonical"), "hub_concept_hk", ["concept_name"], "sat_concept_canonical_hk", self.load_ts, "sec_edgar.companyfacts", child_key="sub_sequence_key", keep=("canonical_concept",))
 
     @cached_property
     def collapsed(self) -> DataFrame:
@@ -126,7 +126,11 @@ class Build:
     @cached_property
     def sat_concept_value(self) -> DataFrame:
         rows = self.collapsed.withColumns({"link_filing_concept_period_hk": key_hash(*LINK_PARTS, nullable=(3, 5, 6)), "unit": F.lit("USD")})
-        return load_satellite(rows, None, "link_filing_concept_period_hk", ["value", "unit"], "sat_concept_value_hk", LOAD_TS, "sec_edgar.companyfacts", keep=tuple(LINK_PARTS))
+        return load_satellite(rows, self.existing("sat_concept_value"), "link_filing_concept_period_hk", ["value", "unit"], "sat_concept_value_hk", self.load_ts, "sec_edgar.companyfacts", keep=tuple(LINK_PARTS))
+
+    @cached_property
+    def current_names(self) -> DataFrame:
+        return latest_rows(self.sat_company_metadata.select("hub_company_hk", "cik", "load_datetime", "entity_name"), ["hub_company_hk"])
 
     @cached_property
     def filed(self) -> DataFrame:
@@ -163,7 +167,7 @@ class Build:
         p = self.pit.where("sat_concept_value_pk IS NOT NULL").select("link_filing_concept_period_hk", "as_of_date", F.col("sat_concept_value_ldts").alias("load_datetime"))
         s = self.sat_concept_value.select("link_filing_concept_period_hk", "load_datetime", "accession_number", "canonical_concept", "period_start_date", "period_end_date", F.col("value").alias("value_numeric"), "unit")
         annual = F.col("canonical_concept").isin(*M.POINT_IN_TIME) | M.annual_span()
-        names = self.hub_company.select("hub_company_hk", "cik").join(self.sat_company_metadata.select("hub_company_hk", "entity_name"), "hub_company_hk")
+        names = self.hub_company.select("hub_company_hk", "cik").join(self.current_names.select("hub_company_hk", "entity_name"), "hub_company_hk")
         rows = (
             b.join(p, ["link_filing_concept_period_hk", "as_of_date"]).join(s, ["link_filing_concept_period_hk", "load_datetime"])
             .where(F.col("canonical_concept").isin(*PANEL_CONCEPTS) & annual)
@@ -231,7 +235,7 @@ class Build:
     def growth_forecast(self) -> DataFrame:
         """The historical leg and, aligned with typed NULLs, the forecast leg."""
         past = self.pl_trend.where("canonical_concept = 'revenue'").select("cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "value_numeric").withColumn("row_kind", F.lit("historical"))
-        names = self.sat_company_metadata.select("cik", "entity_name")
+        names = self.current_names.select("cik", "entity_name")
         ahead = self.forecasts.join(names, "cik").withColumn("canonical_concept", F.lit("revenue")).withColumn("row_kind", F.lit("forecast")).withColumnRenamed("forecast_year", "fiscal_year")
         both = past.unionByName(ahead, allowMissingColumns=True)
         return both.select(key_hash("cik", "canonical_concept", "fiscal_year", "as_of_date", "row_kind").alias("mart_growth_forecast_hk"), "*")
