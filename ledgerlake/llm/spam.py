@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,7 @@ def masked(piece: str) -> str:
     return s
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(token: str) -> str:
     if token[0].isdigit():
         return "9"
