@@ -102,3 +102,12 @@ class HistoryStore:
             self.raw().unionByName(late).write.parquet(f"{at}/raw")
         self._publish(new)
         return self
+
+    def vacuum(self) -> int:
+        """Remove all states but the current one; returns how many. No reader may hold an old state."""
+        fs, path = self._fs()
+        keep = {self.state(), "CURRENT"}
+        old = [f.getPath() for f in fs.listStatus(path(self.path)) if f.getPath().getName() not in keep] if fs.exists(path(self.path)) else []
+        for p in old:
+            fs.delete(p, True)
+        return len(old)

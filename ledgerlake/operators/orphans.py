@@ -84,7 +84,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .withColumn("period", _period_of_us("parent_us"))
     )
     kind = dict(refs.dtypes)["ref_key"]
-    marks = r.groupBy("relation", "ref_key", "period").agg(F.lit(None).cast("long").alias("parent_us"))
+    marks = r.groupBy("relation", "ref_key", "period").agg(F.lit(0).cast("long").alias("parent_us"))
     events = marks.withColumn("is_parent", F.lit(False)).unionByName(p.withColumn("is_parent", F.lit(True)))
     n = buckets_for(refs, parents, each=4)  # several a partition, so that partitions come out even
     suspects = (

@@ -121,6 +121,10 @@ PROFILED = ["revenue", "net_income", "gross_margin", "as_of_date"]
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of every column and load of mart_financial_health."""
+    return _profile(spark, d).withColumn("ks_distance", F.round("ks_distance", 9))
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
     loads = F.date_format("load_datetime", "yyyy-MM-dd")
     v = F.col("v")
     too_late = v > F.unix_date(F.to_date("load_key")).cast("double")
@@ -139,7 +143,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     null_share = F.col("nulls") / F.col("rows")
     valued = F.col("rows") - F.col("nulls") - F.col("nans")
     top_share = F.try_divide(F.col("top_rows"), valued)
-    p = p3_profile(spark, d).withColumns({"null_share": null_share, "top_share": top_share})
+    p = _profile(spark, d).withColumns({"null_share": null_share, "top_share": top_share})
     p = p.withColumns({f"last_{c}": F.lag(c).over(step) for c in ("null_share", "top_share", "q50")})
     ratio = F.try_divide("q50", "last_q50")
     has_last = F.col("last_null_share").isNotNull()
@@ -183,6 +187,24 @@ UNION ALL SELECT load_date, column_name, 'out_of_range' FROM p WHERE bad > 0
 UNION ALL SELECT load_date, column_name, 'not_finite' FROM p WHERE odd > 0
 """
 
+P3_PROFILE_SQL = P3_SQL[: P3_SQL.index("tops AS")].replace("AS load_date", "AS load_key", 1) + """
+f AS (SELECT column_name, load_key, v, count(*) AS n FROM cells WHERE isfinite(v) GROUP BY 1, 2, 3),
+tot AS (SELECT column_name, load_key, CAST(sum(n) AS BIGINT) AS total, lag(CAST(sum(n) AS BIGINT)) OVER (PARTITION BY column_name ORDER BY load_key) AS last_total, lag(load_key) OVER (PARTITION BY column_name ORDER BY load_key) AS last_key FROM f GROUP BY 1, 2),
+pairing AS (SELECT t.column_name, t.load_key, t.total, t.last_total, f.v, sum(CASE WHEN f.load_key = t.load_key THEN f.n ELSE 0 END) AS a, sum(CASE WHEN f.load_key = t.last_key THEN f.n ELSE 0 END) AS b
+  FROM tot t JOIN f ON f.column_name = t.column_name AND f.load_key IN (t.load_key, t.last_key) WHERE t.last_key IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+ks AS (SELECT column_name, load_key, max(abs(ca / total - cb / last_total)) AS ks FROM (SELECT *, CAST(sum(a) OVER w AS DOUBLE) AS ca, CAST(sum(b) OVER w AS DOUBLE) AS cb FROM pairing WINDOW w AS (PARTITION BY column_name, load_key ORDER BY v)) GROUP BY 1, 2),
+q AS (SELECT column_name, load_key, list_sort(list(v)) AS l, count(*) AS n FROM cells WHERE isfinite(v) GROUP BY 1, 2),
+tops AS (SELECT column_name, load_key, max(n) AS top_rows, count(*) AS vals FROM (SELECT column_name, load_key, v, count(*) AS n FROM cells WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+base AS (SELECT column_name, load_key, count(*) AS rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(*) FILTER (WHERE isnan(v)) AS nans, count(*) FILTER (WHERE isinf(v)) AS infinite,
+  min(v) FILTER (WHERE isfinite(v)) AS min_value, max(v) FILTER (WHERE isfinite(v)) AS max_value,
+  count(*) FILTER (WHERE isfinite(v) AND ((column_name = 'revenue' AND v < 0) OR (column_name = 'gross_margin' AND (v > 1 OR v < -10)) OR (column_name = 'as_of_date' AND (v > date_diff('day', DATE '1970-01-01', CAST(load_key AS DATE)) OR v < 10957)))) AS violations
+  FROM cells GROUP BY 1, 2)
+SELECT base.*, coalesce(vals, 0) AS distinct_values, coalesce(top_rows, 0) AS top_rows,
+  (l[CAST(floor((n - 1) * 0.25) AS BIGINT) + 1] + l[CAST(ceil((n - 1) * 0.25) AS BIGINT) + 1]) / 2 AS q25, (l[CAST(floor((n - 1) * 0.5) AS BIGINT) + 1] + l[CAST(ceil((n - 1) * 0.5) AS BIGINT) + 1]) / 2 AS q50, (l[CAST(floor((n - 1) * 0.75) AS BIGINT) + 1] + l[CAST(ceil((n - 1) * 0.75) AS BIGINT) + 1]) / 2 AS q75,
+  round(ks, 9) AS ks_distance, lag(base.load_key) OVER (PARTITION BY base.column_name ORDER BY base.load_key) AS previous_load
+FROM base LEFT JOIN tops USING (column_name, load_key) LEFT JOIN q USING (column_name, load_key) LEFT JOIN ks USING (column_name, load_key)
+"""
+
 # --- 4 deeply nested semi-structured records
 
 
@@ -321,6 +343,7 @@ ORACLE_SQL: dict[str, str] = {
     "p1_counts": P1_SQL + "SELECT table_name, column_name, period, CAST(count(*) AS BIGINT) AS orphans FROM found GROUP BY 1, 2, 3",
     "p2_found": P2_SQL,
     "p3_found": P3_SQL,
+    "p3_profile": P3_PROFILE_SQL,
     "p4_found": P4_SQL,
     "p4_entries": P4_ENTRIES_SQL
     + "SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, unit, entry_no, "

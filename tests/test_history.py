@@ -53,3 +53,5 @@ def test_late_updates_rebuild_only_touched_chains(spark):
     assert chains(store.chains()) == brute(rows)
     assert [c for c in chains(store.chains()) if c in set(untouched)] == untouched
     assert chains(old) == brute(rows[:400])  # a reader keeps the state it opened
+    assert store.vacuum() == 3 and store.vacuum() == 0
+    assert chains(store.chains()) == brute(rows)

@@ -50,3 +50,12 @@ def test_clashing_names(spark):
     out = known_at(e, v, "k", F.lit(DAY_US), F.col("us"), {"value": F.col("value")})
     assert out.columns == ["event_id", "k", "day", "k_", "since_", "value"]
     assert tuple(out.first()) == (1, "a", 1, 7, 8, "theirs")
+
+
+def test_other_types_pass_through(spark):
+    e = spark.sql("SELECT 'a' AS k, TIMESTAMP '2020-01-02 03:04:05.678901' AS t, DATE '2020-01-02' AS d, CAST(1.5 AS decimal(28,2)) AS m, array(1, 2) AS l, CAST(NULL AS double) AS x")
+    v = spark.sql("SELECT 'a' AS k, TIMESTAMP '2020-01-01 00:00:00' AS since, CAST(2.25 AS decimal(10,2)) AS amount, DATE '2019-01-01' AS day")
+    end = (F.unix_date("d").cast("long") + 1) * F.lit(DAY_US)
+    out = known_at(e, v, "k", end, F.unix_micros("since"), {"amount": F.col("amount"), "day": F.col("day"), "since": F.col("since")}).first()
+    assert (out.t, out.d, out.m, out.l, out.x) == tuple(e.first()[1:])
+    assert (out.amount, out.day, out.since) == (v.first().amount, v.first().day, v.first().since)
