@@ -49,8 +49,9 @@ FUNCTION_SHARE = 0.10
 #: ... and its content words repeat no more than this: so many are distinct, and no one makes up so many.
 DISTINCT_SHARE, TOP_SHARE = 0.67, 0.4
 
-_LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*|\b\.html?\b\S*)", re.I)
-_ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\[\]\n]{0,80}\]\([^()\s]+\)", re.I)
+# Starts are tied to the first character of a run and spans are bounded, so no text takes quadratic time.
+_LINK = re.compile(r"(?<![\w./-])(?:(?:https?://|www\.)\S++|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*+|\b\.html?\b\S*+))", re.I)
+_ANCHOR = re.compile(r"<a\b[^<>]{0,400}>[^<]{0,200}</a>|\[[^\[\]\n]{0,80}\]\([^()\s]{1,400}\)", re.I)
 _TAG = re.compile(r"(?<!\w)[#@][^\W_][\w-]*|(?<!\w)\$[A-Z]{1,6}\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _SHAPED = re.compile(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")

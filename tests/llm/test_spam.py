@@ -86,3 +86,13 @@ def test_measures():
 
 def test_empty_table(spark):
     assert spam_share(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_text_takes_quadratic_time():
+    import time
+
+    n = 200_000
+    began = time.process_time()
+    for unit in ("a", "a-", "a.", "<a>", "[", "#a ", "$A", "http://", "www.", "\n", " ", ". ", "x/ ", "é"):
+        blocks(unit * (n // len(unit)))
+    assert time.process_time() - began < 20
