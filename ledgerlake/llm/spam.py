@@ -53,7 +53,6 @@ DISTINCT_SHARE, TOP_SHARE = 0.67, 0.4
 _LINK = re.compile(r"(?<![\w./-])(?:(?:https?://|www\.)\S++|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*+|\b\.html?\b\S*+))", re.I)
 _ANCHOR = re.compile(r"<a\b[^<>]{0,400}>[^<]{0,200}</a>|\[[^\[\]\n]{0,80}\]\([^()\s]{1,400}\)", re.I)
 _TAG = re.compile(r"(?<!\w)[#@][^\W_][\w-]*|(?<!\w)\$[A-Z]{1,6}\b")
-_WORD = re.compile(r"[^\W\d_]+")
 _SHAPED = re.compile(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d]|[\"'(\[<#¿¡])|\n+")
 _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
@@ -104,21 +103,31 @@ def _shape(token: str) -> str:
     return {"\x01": "L", "\x02": "H"}.get(token, token)
 
 
-def shape_of(piece: str, mask: str | None = None) -> str:
-    """Token shapes: function words and marks as they are, everything else by kind."""
-    return " ".join(map(_shape, _SHAPED.findall(masked(piece) if mask is None else mask)))
+def shapes(mask: str) -> tuple[list[str], list[str]]:
+    """Tokens of a masked piece, and their shapes: function words and marks as they are, all else by kind."""
+    tokens = _SHAPED.findall(mask)
+    return tokens, list(map(_shape, tokens))
 
 
-def is_loose(piece: str, mask: str | None = None) -> bool:
+def shape_of(piece: str) -> str:
+    return " ".join(shapes(masked(piece))[1])
+
+
+def is_loose(piece: str) -> bool:
     """Neither a sentence nor a row of an exhibit list or of figures."""
-    mask = masked(piece) if mask is None else mask
-    words = _WORD.findall(mask.lower())
-    if mask is not piece and len(mask.replace("\x01", "").replace("\x02", "")) < 0.6 * len(piece) and len(words) < 8:
+    mask = masked(piece)
+    return _is_loose(piece, mask, *shapes(mask))
+
+
+def _is_loose(piece: str, mask: str, tokens: list[str], kinds: list[str]) -> bool:
+    content = [t.lower() for t, k in zip(tokens, kinds, strict=True) if k == "x"]
+    glue = sum(map(FUNCTION_WORDS.__contains__, kinds))
+    words = len(content) + glue
+    if mask is not piece and words < 8 and len(mask.replace("\x01", "").replace("\x02", "")) < 0.6 * len(piece):
         return True
     if _LISTED.match(piece):
         return False
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    if not words or len(words) - len(content) >= FUNCTION_SHARE * len(words) and not _repeats(content):
+    if not words or glue >= FUNCTION_SHARE * words and not _repeats(content):
         return False
     parts = piece.split()
     return sum(map(bool, map(_FIGURE.fullmatch, parts))) < 0.4 * len(parts)
@@ -146,8 +155,12 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
     do not hide how redundant the list is.
     """
     parts = pieces(text)
-    masks = [masked(p) for p in parts]
-    marks = [is_loose(p, m) for p, m in zip(parts, masks, strict=True)]
+    marks, kinds = [], []
+    for part in parts:
+        mask = masked(part)
+        tokens, own = shapes(mask)
+        kinds.append(" ".join(own))
+        marks.append(_is_loose(part, mask, tokens, own))
     for i, part in enumerate(parts):
         if not marks[i] and len(part.split()) < SHORT_WORDS and not _LISTED.match(part) and all(marks[max(0, i - 1) : i] + marks[i + 1 : i + 2] or [False]):
             marks[i] = True
@@ -166,7 +179,7 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
                 out[-1] = (c + size, raw, shape, loose + size * mark)
             elif last or size >= BLOCK_CHARS:
                 block = "\n".join(parts[h] for h in held)
-                out.append((size, ratio(block), ratio("\n".join(shape_of(parts[h], masks[h]) for h in held), len(block)), size * mark))
+                out.append((size, ratio(block), ratio("\n".join(kinds[h] for h in held), len(block)), size * mark))
                 held, size = [], 0
     return out
 
