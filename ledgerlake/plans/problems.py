@@ -230,7 +230,8 @@ def p4_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
-    return _raw("entries")(spark, d).distinct()
+    """All entry fields; the operator gives ``val`` as written, here it is a number (NULL if it is none)."""
+    return _raw("entries")(spark, d).withColumn("val", F.col("val").try_cast("double")).distinct()
 
 
 P4_SQL = r"""
@@ -347,7 +348,8 @@ ORACLE_SQL: dict[str, str] = {
     "p4_found": P4_SQL,
     "p4_entries": P4_ENTRIES_SQL
     + "SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, unit, entry_no, "
-    + ", ".join(f"json_extract_string(e, '$.{f}') AS \"{f}\"" for f in ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame"))
+    + ", ".join(f"json_extract_string(e, '$.{f}') AS \"{f}\"" for f in ("start", "end", "accn", "fy", "fp", "form", "filed", "frame"))
+    + ", TRY_CAST(json_extract_string(e, '$.val') AS DOUBLE) AS val"
     + " FROM entry WHERE json_type(e) = 'OBJECT'",
     "p5_found": P5_SQL,
     "p5_known": P5_KNOWN_SQL,

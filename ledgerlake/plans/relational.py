@@ -418,11 +418,11 @@ def _(t):
 @query(
     "w6_peer_statistics",
     """WITH x AS (SELECT c_custkey, c_nationkey, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer), s AS (SELECT c_nationkey, count(*) AS peer_count, round(avg(CAST(v AS DOUBLE)), 4) AS peer_mean, quantile_disc(v, 0.5) AS peer_median, round(stddev_samp(CAST(v AS DOUBLE)), 4) AS peer_stddev, min(v) AS peer_min, max(v) AS peer_max FROM x GROUP BY 1)
-    SELECT c_custkey, peer_count, peer_mean, peer_median, peer_stddev, peer_min, peer_max, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS INTEGER) AS peer_rank, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY v), 6) AS peer_percentile FROM x JOIN s USING (c_nationkey)""",
+    SELECT c_custkey, peer_count, peer_mean, peer_median, peer_stddev, peer_min, peer_max, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS INTEGER) AS peer_rank, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY v), 12) AS peer_percentile FROM x JOIN s USING (c_nationkey)""",
 )
 def _(t):
     p = peer_statistics(t("customer").select("c_custkey", "c_nationkey", money("c_acctbal").alias("v")), ["c_nationkey"], "v")
-    return p.select("c_custkey", "peer_count", F.round("peer_mean", 4).alias("peer_mean"), "peer_median", F.round("peer_stddev", 4).alias("peer_stddev"), "peer_min", "peer_max", "peer_rank", F.round("peer_percentile", 6).alias("peer_percentile"))
+    return p.select("c_custkey", "peer_count", F.round("peer_mean", 4).alias("peer_mean"), "peer_median", F.round("peer_stddev", 4).alias("peer_stddev"), "peer_min", "peer_max", "peer_rank", F.round("peer_percentile", 12).alias("peer_percentile"))
 
 
 # --- top-k and set operations

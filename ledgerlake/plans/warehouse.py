@@ -209,7 +209,7 @@ class Build:
         p = M.peer_statistics(rows, ["as_of_date", "fiscal_year", "canonical_concept", "gics_sector"], "value_numeric")
         return p.select(
             key_hash("cik", "as_of_date", "fiscal_year", "canonical_concept").alias("mart_peer_benchmark_hk"), "cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "gics_sector", "gics_industry_group", "value_numeric", "unit",
-            "peer_count", F.round("peer_mean", 0).alias("peer_mean"), "peer_median", F.round("peer_stddev", 0).alias("peer_stddev"), "peer_min", "peer_max", "peer_rank", F.round("peer_percentile", 6).alias("peer_percentile"), "period_end_date",
+            "peer_count", F.round("peer_mean", 0).alias("peer_mean"), "peer_median", F.round("peer_stddev", 0).alias("peer_stddev"), "peer_min", "peer_max", "peer_rank", F.round("peer_percentile", 12).alias("peer_percentile"), "period_end_date",
         )
 
     @cached_property
@@ -306,7 +306,7 @@ pl_trend AS (SELECT upper(sha256(cik || '||' || as_of_date::VARCHAR || '||' || f
 peer0 AS (SELECT o.*, coalesce(s.gics_sector, 'UNCATEGORIZED') AS gics_sector, coalesce(s.gics_industry_group, 'UNCATEGORIZED') AS gics_industry_group FROM one o LEFT JOIN sectors s ON o.cik = s.cik WHERE canonical_concept IN ('revenue', 'net_income', 'assets')),
 stats AS (SELECT as_of_date, fiscal_year, canonical_concept, gics_sector, count(*) AS peer_count, round(avg(CAST(value_numeric AS DOUBLE)), 0) AS peer_mean, quantile_disc(value_numeric, 0.5) AS peer_median, round(stddev_samp(CAST(value_numeric AS DOUBLE)), 0) AS peer_stddev, min(value_numeric) AS peer_min, max(value_numeric) AS peer_max FROM peer0 GROUP BY 1, 2, 3, 4),
 peer AS (SELECT upper(sha256(cik || '||' || as_of_date::VARCHAR || '||' || fiscal_year::VARCHAR || '||' || canonical_concept)) AS mart_peer_benchmark_hk, cik, entity_name, as_of_date, fiscal_year, canonical_concept, gics_sector, gics_industry_group, value_numeric, unit, peer_count, peer_mean, peer_median, peer_stddev, peer_min, peer_max,
-    CAST(rank() OVER (PARTITION BY as_of_date, fiscal_year, canonical_concept, gics_sector ORDER BY value_numeric DESC) AS INTEGER) AS peer_rank, round(cume_dist() OVER (PARTITION BY as_of_date, fiscal_year, canonical_concept, gics_sector ORDER BY value_numeric), 6) AS peer_percentile, period_end_date
+    CAST(rank() OVER (PARTITION BY as_of_date, fiscal_year, canonical_concept, gics_sector ORDER BY value_numeric DESC) AS INTEGER) AS peer_rank, round(cume_dist() OVER (PARTITION BY as_of_date, fiscal_year, canonical_concept, gics_sector ORDER BY value_numeric), 12) AS peer_percentile, period_end_date
   FROM peer0 JOIN stats USING (as_of_date, fiscal_year, canonical_concept, gics_sector)),
 wide AS (SELECT cik, entity_name, as_of_date, fiscal_year, max(period_end_date) AS period_end_date, @PIVOT@ FROM one GROUP BY 1, 2, 3, 4),
 derived AS (SELECT cik, entity_name, as_of_date, fiscal_year, period_end_date, revenue, coalesce(gross_profit, revenue - cost_of_revenue) AS gross_profit, operating_income, net_income, assets,
