@@ -4,13 +4,17 @@ Method: every text is cut into blocks of whole pieces (sentences or lines). A bl
 ratio is measured twice, on its characters (phrases said again and again) and on its token
 shapes (links, tags, numbers and content words each as one symbol, so a list of different links
 or names is as redundant as one repeated phrase). Both are normalised by the corpus median of
-blocks of the same language and length; a block far below it is extremely redundant. Redundant
+blocks of the same language and length; a block far below it is extremely redundant. The median is
+that of sentences only, equal blocks counted once, so that spam does not set its own norm however
+much of a language it makes up; the fewer such blocks a language has, the more the whole corpus'
+median and fixed usual ratios weigh. Redundant
 blocks are confirmed piece by piece by low sentence density: what is neither a sentence nor a row
 of an exhibit list or of figures is loose. A text is spam if loose pieces in redundant blocks make
 up more than half of it.
 
 Scale: one pass over the texts; the second step reads the blocks' few numbers, not the texts. The
-medians are one row per language and length class (at most 677 x 3 rows), broadcast.
+medians are one row per language and length class (at most 677 x 3 rows), broadcast; equal blocks
+are made one by a shuffle of their few numbers.
 """
 
 from __future__ import annotations
@@ -44,6 +48,13 @@ LONG_WORDS, PART_WORDS = 24, 12
 SHORT_WORDS = 6
 #: A block is redundant if its ratio is below this share of the median for its language and length.
 REDUNDANT_BELOW = 0.80
+#: Ratios of sentences by length class, where the corpus has too few of its own; they weigh as so many blocks.
+USUAL = {"raw": (0.80, 0.72, 0.67), "shape": (0.29, 0.26, 0.23)}
+USUAL_BLOCKS = 100
+#: No norm lies below this share of the usual ratio.
+LEAST_SHARE = 0.75
+#: The languages of FUNCTION_WORDS; in others no piece is known to be a sentence.
+KNOWN = ("en", "de", "es", "fr", "und")
 #: A sentence has at least this share of function words ...
 FUNCTION_SHARE = 0.10
 #: ... and its content words repeat no more than this: so many are distinct, and no one makes up so many.
@@ -216,6 +227,30 @@ def language(c: Column) -> Column:
     return F.when(code != "", code).otherwise("und")
 
 
+def _norms(measured: DataFrame) -> DataFrame:
+    """norm_raw and norm_shape of each language and length class.
+
+    A language without known function words has no sentences to go by: all its blocks count, its
+    shapes are compared with each other only (its prose is all content words, as lists are
+    elsewhere), and the fixed bound does not hold for it.
+    """
+    known = F.col("lang").isin(*KNOWN)
+    counts = ~known | (F.col("loose") == 0)
+    prose = measured.groupBy("lang", "size", "chars", "loose", "raw", "shape").agg(F.lit(1).alias("one"))  # copies count once
+    own = prose.groupBy("lang", "size").agg(*[F.percentile_approx(F.when(counts, F.col(c)), 0.5, 1000).alias(f"own_{c}") for c in USUAL], F.count_if(counts).alias("n"))
+    anywhere = prose.where(known & counts).groupBy("size").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"any_{c}") for c in USUAL], F.count(F.lit(1)).alias("any_n"))
+
+    def blend(median: Column, n: Column, rest: Column) -> Column:
+        return (F.coalesce(median * n, F.lit(0.0)) + USUAL_BLOCKS * rest) / (F.coalesce(n, F.lit(0)) + USUAL_BLOCKS)
+
+    both = own.join(F.broadcast(anywhere), "size", "left")
+    for c, usual in USUAL.items():
+        fixed = F.element_at(F.array(*map(F.lit, usual)), F.col("size") + 1)
+        norm = blend(F.col(f"own_{c}"), F.col("n"), blend(F.col(f"any_{c}"), F.col("any_n"), fixed))
+        both = both.withColumn(f"norm_{c}", F.when(known, F.greatest(norm, LEAST_SHARE * fixed)).otherwise(norm if c == "raw" else F.col(f"own_{c}")))
+    return both.select("lang", "size", "norm_raw", "norm_shape")
+
+
 def spam_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, chars, spam_share, redundant_blocks, blocks, least_raw, least_shape of each text.
 
@@ -224,14 +259,8 @@ def spam_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     equal shares; extra columns are ignored.
     """
     measured = cut(spread(df.select(F.col(doc_id).cast("long").alias("doc_id"), language(F.col(lang)).alias("lang"), F.col(text).alias("text"))).mapInPandas(_measure, BLOCK_SCHEMA))
-    usual = measured.groupBy("lang", "size").agg(F.percentile_approx("raw", 0.5, 1000).alias("usual_raw"), F.percentile_approx("shape", 0.5, 1000).alias("usual_shape"), F.count(F.lit(1)).alias("n"))
-    anywhere = measured.groupBy("size").agg(F.percentile_approx("raw", 0.5, 1000).alias("any_raw"), F.percentile_approx("shape", 0.5, 1000).alias("any_shape"))
-    few = F.col("n") < 100  # too few blocks for a median of their own
-    b = measured.join(F.broadcast(usual), ["lang", "size"]).join(F.broadcast(anywhere), "size")
-    b = b.withColumns({
-        "rel_raw": F.col("raw") / F.when(few, F.col("any_raw")).otherwise(F.col("usual_raw")),
-        "rel_shape": F.col("shape") / F.when(few, F.col("any_shape")).otherwise(F.col("usual_shape")),
-    })
+    norms = _norms(measured)
+    b = measured.join(F.broadcast(norms), ["lang", "size"]).withColumns({f"rel_{c}": F.col(c) / F.col(f"norm_{c}") for c in USUAL})
     redundant = (F.col("rel_raw") < REDUNDANT_BELOW) | (F.col("rel_shape") < REDUNDANT_BELOW)
     return b.groupBy("doc_id").agg(
         F.sum("chars").alias("chars"),

@@ -96,3 +96,34 @@ def test_no_text_takes_quadratic_time():
     for unit in ("a", "a-", "a.", "<a>", "[", "#a ", "$A", "http://", "www.", "\n", " ", ". ", "x/ ", "é"):
         blocks(unit * (n // len(unit)))
     assert time.process_time() - began < 20
+
+
+def test_spam_majority_of_a_language(spark):
+    for n in (99, 100, 400):  # whatever the number of its blocks
+        rnd = random.Random(n)
+        rows = [(i, prose(rnd, rnd.randrange(4, 16)), "en", 1, 0.0) for i in range(200)]
+        page = tags(random.Random(1))
+        k = len(blocks(page))
+        want = set(range(1000, 1000 + -(-n // k)))
+        rows += [(i, page, "de", 1, 0.0) for i in want]  # copies of one page
+        more = set(range(5000, 5030))
+        rows += [(i, links(rnd), "fr", 1, 0.0) for i in more] + [(6000 + i, prose(rnd, 9), "fr", 1, 0.0) for i in range(5)]
+        got = {r.doc_id for r in spam_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == want | more, n
+
+
+def test_block_count_of_a_language_is_no_switch(spark):
+    rnd = random.Random(4)
+    page = keywords(rnd)
+    k = len(blocks(page))
+    for n in (99 // k, -(-100 // k)):  # nothing but spam, on both sides of 100 blocks
+        got = spam_documents(spark.createDataFrame([(i, page, "es", 1, 0.0) for i in range(n)], SCHEMA)).count()
+        assert got == n
+
+
+def test_prose_of_other_languages_is_kept(spark):
+    rnd = random.Random(5)
+    words = "azienda ricavi debito mercato vendite costi utile banca tasso anno".split()
+    italian = [" ".join(f"Gli {rnd.choice(words)} della {rnd.choice(words)} sono cresciuti nel {rnd.choice(words)} dopo {rnd.randrange(99)} {rnd.choice(words)}." for _ in range(12)) for _ in range(200)]
+    rows = [(i, t, "it", 1, 0.0) for i, t in enumerate(italian)] + [(1000 + i, prose(rnd, 9), "en", 1, 0.0) for i in range(300)]
+    assert spam_documents(spark.createDataFrame(rows, SCHEMA)).count() == 0
