@@ -61,6 +61,12 @@ class TableChecks:
         self.parts.append(_rows(e.crossJoin(F.broadcast(a)), [(name, F.col("e"), "a")]))  # one row each
         return self
 
+    def counted(self, name: str, stored: str, *by: str) -> TableChecks:
+        """Groups in which a row's stored count is not the number of the group's rows."""
+        n = self.df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.count_if(F.col(stored).isNull()).alias("none_"), F.min(stored).alias("low_"), F.max(stored).alias("high_"))
+        self.parts.append(_rows(n.where("none_ > 0 OR low_ <> n_ OR high_ <> n_").agg(F.count(F.lit(1)).alias("a")), [(name, "0", "a")]))
+        return self
+
     def report(self) -> DataFrame:
         parts = list(self.parts)
         if self.aggregates:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as X
-from ledgerlake.functions.hashing import key_hash
+from ledgerlake.functions.hashing import hashdiff, key_hash, ts_text
 from ledgerlake.operators.quality import TableChecks, completeness, divergence, drift
-from ledgerlake.plans.warehouse import AS_OF_DATES, CHAIN_SQL, Build
+from ledgerlake.plans.warehouse import AS_OF_DATES, CHAIN_SQL, LINK_PARTS, Build
+from ledgerlake.session import cut
 from ledgerlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,59 @@ for _name, (_parent, _hub) in _SATS.items():
     query(f"q3_verify_{_name}", report_sql(*_checks))(_sat_checks(_name, _parent, _hub))
 
 
+#: Payload of each satellite's hashdiff.
+_PAYLOAD = {"sat_filing_metadata": ("form_type", "filed_date"), "sat_company_metadata": ("entity_name",), "sat_concept_value": ("value", "unit")}
+_SOURCE = "sec_edgar.companyfacts"
+
+
+def _hash_checks(df: DataFrame, hk: str, keys: tuple[str, ...], payload: tuple[str, ...]) -> TableChecks:
+    own = key_hash(*keys, ts_text("load_datetime"))
+    return TableChecks(df).reproducible("09_sat_hk_reproducible", hk, own).reproducible("10_hashdiff_reproducible", "hashdiff", hashdiff(*payload)).none("11_record_source_constant", ~F.col("record_source").eqNullSafe(F.lit(_SOURCE)))
+
+
+for _name, (_parent, _hub) in _SATS.items():
+    _own = f"upper(sha256({_parent} || '||' || strftime(load_datetime AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f')))"
+    _diff = "upper(sha256(" + " || '||' || ".join(f"coalesce(CAST({c} AS VARCHAR), '^^')" for c in _PAYLOAD[_name]) + "))"
+    query(
+        f"q3_verify_{_name}_hashes",
+        report_sql(
+            ("09_sat_hk_reproducible", "0", bad(_name, f"{_name}_hk IS DISTINCT FROM {_own}")),
+            ("10_hashdiff_reproducible", "0", bad(_name, f"hashdiff IS DISTINCT FROM {_diff}")),
+            ("11_record_source_constant", "0", bad(_name, f"record_source IS DISTINCT FROM '{_SOURCE}'")),
+        ),
+    )(lambda spark, d, n=_name, p=_parent: _hash_checks(table(spark, d, n), f"{n}_hk", (p,), _PAYLOAD[n]).report())
+
+
+@query(
+    "q3_verify_hub_filing",
+    report_sql(
+        ("01_hubf_hk_unique", "0", repeated("hub_filing", "hub_filing_hk")),
+        ("02_hubf_hk_not_null", "0", bad("hub_filing", "hub_filing_hk IS NULL")),
+        ("03_hubf_hk_length_64", "0", bad("hub_filing", "length(hub_filing_hk) <> 64")),
+        ("04_hubf_accn_unique", "0", repeated("hub_filing", "accession_number")),
+        ("hubf_hash_reproducible", "0", bad("hub_filing", "hub_filing_hk IS DISTINCT FROM upper(sha256(accession_number))")),
+        ("hubf_record_source_constant", "0", bad("hub_filing", f"record_source IS DISTINCT FROM '{_SOURCE}'")),
+    ),
+)
+def _(spark, d):
+    h = TableChecks(table(spark, d, "hub_filing")).not_null("02_hubf_hk_not_null", "hub_filing_hk").length("03_hubf_hk_length_64", "hub_filing_hk", 64)
+    h = h.reproducible("hubf_hash_reproducible", "hub_filing_hk", key_hash("accession_number")).none("hubf_record_source_constant", ~F.col("record_source").eqNullSafe(F.lit(_SOURCE)))
+    return h.unique("01_hubf_hk_unique", "hub_filing_hk").unique("04_hubf_accn_unique", "accession_number").report()
+
+
+@query(
+    "q3_verify_link_company_filing_keys",
+    report_sql(
+        ("13_link_company_key_matches_hub", "0", bad("link_company_filing", "hub_company_hk IS DISTINCT FROM upper(sha256(cik))")),
+        ("13_link_filing_key_matches_hub", "0", bad("link_company_filing", "hub_filing_hk IS DISTINCT FROM upper(sha256(accession_number))")),
+        ("link_record_source_constant", "0", bad("link_company_filing", f"record_source IS DISTINCT FROM '{_SOURCE}'")),
+    ),
+)
+def _(spark, d):
+    c = TableChecks(table(spark, d, "link_company_filing")).reproducible("13_link_company_key_matches_hub", "hub_company_hk", key_hash("cik")).reproducible("13_link_filing_key_matches_hub", "hub_filing_hk", key_hash("accession_number"))
+    return c.none("link_record_source_constant", ~F.col("record_source").eqNullSafe(F.lit(_SOURCE))).report()
+
+
 @query(
     "q3_verify_pit",
     report_sql(
@@ -172,7 +226,10 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    b = Build(spark, d)
+    return _built_marts(Build(spark, d))
+
+
+def _built_marts(b: Build) -> DataFrame:
     pl = TableChecks(b.pl_trend).accepted("pl_09_canonical_concept_accepted_values", "canonical_concept", ["revenue", "net_income"]).unique("pl_01_mart_hk_unique", "mart_pl_trend_hk").unique("pl_07_mart_composite_pk_unique", "cik", "as_of_date", "fiscal_year", "canonical_concept").report()
     pb = TableChecks(b.peer_benchmark).none("pb_13_peer_rank_within_bounds", ~F.col("peer_rank").between(1, F.col("peer_count"))).none("pb_14_peer_percentile_within_bounds", (F.col("peer_percentile") <= 0) | (F.col("peer_percentile") > 1)).report()
     fh = TableChecks(b.financial_health).unique("fh_06_mart_composite_pk_unique", "cik", "as_of_date", "fiscal_year").report()
@@ -180,6 +237,83 @@ def _(spark, d):
     return pl.unionByName(pb).unionByName(fh).unionByName(br)
 
 
+def _hk(df: DataFrame, hk: str, *parts: str, nullable: tuple[int, ...] = ()) -> TableChecks:
+    """Checks of the key of a built table, which is computed once for all of them."""
+    c = TableChecks(cut(df)).not_null("hk_not_null", hk).length("hk_length_64", hk, 64).unique("hk_unique", hk)
+    return c.reproducible("hk_reproducible", hk, key_hash(*parts, nullable=nullable)) if parts else c
+
+
+def _from_source(c: TableChecks) -> TableChecks:
+    return c.none("record_source_constant", ~F.col("record_source").eqNullSafe(F.lit(_SOURCE)))
+
+
+def _dates(c: TableChecks) -> TableChecks:
+    return c.none("fk_closure_dim_as_of", ~F.coalesce(F.col("as_of_date").cast("string").isin(*AS_OF_DATES), F.lit(False)))
+
+
+def built_hub_concept(b: Build) -> DataFrame:
+    c = _from_source(_hk(b.hub_concept, "hub_concept_hk", "canonical_concept")).not_null("bk_not_null", "canonical_concept").unique("bk_unique", "canonical_concept")
+    return c.same_count("source_coverage_parity", b.concepts.select("canonical_concept").where("canonical_concept IS NOT NULL"), b.hub_concept.select("canonical_concept")).report()
+
+
+def built_link_filing_concept_period(b: Build) -> DataFrame:
+    c = _from_source(_hk(b.link_filing_concept_period, "link_filing_concept_period_hk", *LINK_PARTS, nullable=(3, 5, 6))).not_null("period_end_date_not_null", "period_end_date").not_null("bks_not_null", "cik", "accession_number", "canonical_concept")
+    c = c.reproducible("fk_company_hash_reproducible", "hub_company_hk", key_hash("cik"))
+    for h, parent in (("hub_company_hk", b.hub_company), ("hub_filing_hk", b.hub_filing), ("hub_concept_hk", b.hub_concept)):
+        c = c.relationship(f"fk_closure_{h[4:-3]}", h, parent, h)
+    grain = c.df.groupBy(*LINK_PARTS).agg(F.count(F.lit(1)).alias("n"))  # with NULL parts
+    return c.report().unionByName(TableChecks(grain).none("composite_grain_unique", F.col("n") > 1).report())
+
+
+def built_sat_concept_canonical(b: Build) -> DataFrame:
+    c = _hk(b.sat_concept_canonical, "sat_concept_canonical_hk", "hub_concept_hk", "sub_sequence_key", ts_text("load_datetime"))
+    c = _from_source(c).reproducible("hashdiff_reproducible", "hashdiff", hashdiff("concept_name")).not_null("hashdiff_not_null", "hashdiff").length("hashdiff_length_64", "hashdiff", 64)
+    c = c.not_null("sub_sequence_key_not_null", "sub_sequence_key").length("sub_sequence_key_length_64", "sub_sequence_key", 64).unique("composite_pk_unique", "hub_concept_hk", "sub_sequence_key", "load_datetime")
+    return c.relationship("fk_closure_hub_concept", "hub_concept_hk", b.hub_concept, "hub_concept_hk").same_count("parent_coverage", b.hub_concept.select("hub_concept_hk"), c.df.select("hub_concept_hk")).report()
+
+
+def built_bridge(b: Build) -> DataFrame:
+    c = _dates(_hk(b.bridge, "bridge_company_concept_period_hk", "hub_company_hk", "link_company_filing_hk", "link_filing_concept_period_hk", "as_of_date"))
+    for h, parent in (("hub_company_hk", b.hub_company), ("hub_filing_hk", b.hub_filing), ("hub_concept_hk", b.hub_concept), ("link_company_filing_hk", b.link_company_filing), ("link_filing_concept_period_hk", b.link_filing_concept_period)):
+        c = c.relationship(f"fk_closure_{h[:-3]}", h, parent, h)
+    return c.report()
+
+
+def _mart(c: TableChecks, b: Build, concepts: list[str]) -> TableChecks:
+    c = _dates(c).none("canonical_concept_accepted_values", ~F.coalesce(F.col("canonical_concept").isin(*concepts), F.lit(False))).not_null("keys_not_null", "cik", "as_of_date", "fiscal_year", "canonical_concept")
+    return c.relationship("fk_closure_hub_company", "cik", b.hub_company, "cik").relationship("fk_closure_hub_concept", "canonical_concept", b.hub_concept, "canonical_concept")
+
+
+_MART_KEY = ("cik", "as_of_date", "fiscal_year", "canonical_concept")
+
+
+def built_pl_trend(b: Build) -> DataFrame:
+    c = _mart(_hk(b.pl_trend, "mart_pl_trend_hk", *_MART_KEY), b, ["revenue", "net_income"])
+    return c.not_null("value_numeric_not_null", "value_numeric").none("unit_constant_usd", ~F.col("unit").eqNullSafe(F.lit("USD"))).report()
+
+
+def built_peer_benchmark(b: Build) -> DataFrame:
+    c = _mart(_hk(b.peer_benchmark, "mart_peer_benchmark_hk", *_MART_KEY), b, ["revenue", "net_income", "assets"]).unique("composite_pk_unique", *_MART_KEY)
+    return c.not_null("value_numeric_not_null", "value_numeric").counted("peer_count_consistent_per_partition", "peer_count", "as_of_date", "fiscal_year", "canonical_concept", "gics_sector").report()
+
+
+def built_growth_forecast(b: Build) -> DataFrame:
+    c = _mart(_hk(b.growth_forecast, "mart_growth_forecast_hk", "cik", "canonical_concept", "fiscal_year", "as_of_date", "row_kind"), b, ["revenue"])
+    past, ahead = F.col("row_kind") == "historical", F.col("row_kind") == "forecast"
+    model = ["forecast_value", "lower_ci_95", "upper_ci_95", "model_name"]
+    no_model, no_part = F.coalesce(*[F.col(m).cast("string") for m in model]).isNull(), F.greatest(*[F.col(m).isNull() for m in model])
+    c = c.none("row_kind_accepted_values", ~F.coalesce(past | ahead, F.lit(False))).not_null("entity_name_not_null", "entity_name").unique("composite_pk_unique", "cik", "canonical_concept", "fiscal_year", "as_of_date", "row_kind")
+    c = c.none("historical_leg_columns_populated", past & (F.col("value_numeric").isNull() | ~no_model)).none("forecast_leg_columns_populated", ahead & (no_part | F.col("value_numeric").isNotNull()))
+    c = c.none("forecast_ci_coherent", ahead & ~F.coalesce((F.col("lower_ci_95") <= F.col("forecast_value")) & (F.col("forecast_value") <= F.col("upper_ci_95")), F.lit(False)))
+    years = c.df.where(ahead).groupBy("cik").agg(F.count_distinct("fiscal_year").alias("n"))
+    return c.report().unionByName(TableChecks(years).none("forecast_horizon_3_years_per_company", F.col("n") != 3).report())
+
+
+_BUILT = {f.__name__: f for f in (built_hub_concept, built_link_filing_concept_period, built_sat_concept_canonical, built_bridge, built_pl_trend, built_peer_benchmark, built_growth_forecast)}
+for _name, _f in _BUILT.items():
+    query(f"q3_verify_{_name}")(lambda spark, d, f=_f: f(Build(spark, d)))
+
+
 @query("q4_monotonic_visibility", CHAIN_SQL + f"SELECT CAST(count(*) FILTER (WHERE as_of_date = DATE '{AS_OF_DATES[0]}') AS BIGINT) AS at_first, CAST(count(*) FILTER (WHERE as_of_date = DATE '{AS_OF_DATES[-1]}') AS BIGINT) AS at_last FROM pit")
 def _(spark, d):
     at = F.col("as_of_date")
@@ -326,12 +460,17 @@ def _(spark, d):
 
 @query("q19_sign_off")
 def _(spark, d):
-    """All structural reports of the delivered tables in one."""
+    """All structural reports of the delivered and the built tables in one, and the audits across them."""
+    b = Build(spark, d)
+    built = {"q3_verify_built_marts": _built_marts} | {f"q3_verify_{n}": f for n, f in _BUILT.items()}
+    parts = {n: built[n](b) if n in built else QUERIES[n](spark, d) for n in sorted(QUERIES) if n.startswith("q3_verify_")}
+    apart = divergence(b.pl_trend.where("canonical_concept = 'net_income'"), b.financial_health, ["cik", "as_of_date", "fiscal_year"], "value_numeric", "net_income")
+    parts["q13_cross_mart_divergence"] = TableChecks(apart).none("net_income_same_in_both_marts", F.lit(True)).report()
+    parts["q14_snapshot_drift"] = TableChecks(drift(table(spark, d, "mart_financial_health"), ["cik", "fiscal_year"], "revenue")).none("revenue_stable_over_snapshots", F.col("stability") != "STABLE").report()
     out = None
-    for name in sorted(QUERIES):
-        if name.startswith("q3_verify_") and name != "q3_verify_built_marts":
-            part = QUERIES[name](spark, d).withColumn("pack", F.lit(name))
-            out = part if out is None else out.unionByName(part)
+    for name, part in parts.items():
+        part = part.withColumn("pack", F.lit(name))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
