@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as X
@@ -458,6 +458,52 @@ def _(spark, d):
     return y.agg(F.count(F.lit(1)).alias("years"), F.array_join(failing, ", ").alias("failing_years"))
 
 
+#: The reference's gates: a year is complete with 80 of 107 companies; the bar is 95 % of the universe; the revenue of the latest complete year.
+COMPLETE_COMPANIES, COVERAGE_BAR, REVENUE_FLOOR = 80 / 107, 0.95, 9.5e12
+
+
+def coverage_gate(trend: DataFrame, universe: DataFrame, floor: float = REVENUE_FLOOR) -> DataFrame:
+    """Report rows on the latest complete year and the two years before it, at the latest as_of_date.
+
+    ``trend``: cik, as_of_date, fiscal_year, canonical_concept, value_numeric; ``universe``: distinct
+    cik. Companies and years that ``trend`` lacks count as not covered; companies outside the
+    universe don't count. Without a complete year every row is FAIL.
+    """
+    last = trend.agg(F.max("as_of_date").alias("as_of_date"))
+    m = trend.where("canonical_concept IN ('revenue', 'net_income')").join(F.broadcast(last), "as_of_date").join(universe, "cik", "left_semi")  # one row
+    held = F.col("value_numeric").isNotNull()
+    of = lambda c: F.count_distinct(F.when(held & (F.col("canonical_concept") == c), F.col("cik")))
+    years = m.groupBy("fiscal_year").agg(of("revenue").alias("revenue"), of("net_income").alias("net_income"), F.sum(F.when(F.col("canonical_concept") == "revenue", F.col("value_numeric").cast("decimal(28,2)"))).cast("double").alias("total"))
+    bars = universe.agg(F.ceil(F.count(F.lit(1)) * F.lit(COVERAGE_BAR)).alias("bar"), F.ceil(F.count(F.lit(1)) * F.lit(COMPLETE_COMPANIES)).alias("least"))
+    # one row each: the bars, the latest complete year, its window's figures
+    fy = years.crossJoin(F.broadcast(bars)).agg(F.max(F.when((F.col("revenue") >= F.col("least")) & (F.col("least") > 0), F.col("fiscal_year"))).alias("fy"))
+    window = fy.select("fy", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("back")).withColumn("fiscal_year", F.col("fy") - F.col("back"))
+    rows = window.join(years, "fiscal_year", "left").crossJoin(F.broadcast(bars))
+    at = lambda c: F.max(F.when((F.col("back") == 0) & F.col("fy").isNotNull(), F.coalesce(F.col(c), F.lit(0))))
+    failing = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("revenue"), F.lit(0)) < F.col("bar"), F.col("fiscal_year"))))  # three at most
+    one = rows.agg(F.max("fy").alias("fy"), F.max("bar").alias("bar"), at("revenue").alias("revenue"), at("net_income").alias("net_income"), at("total").alias("total"), failing.alias("failing"))
+    none, fy_seen = F.lit("no complete year"), F.col("fy").isNotNull()
+
+    def row(no: int, name: str, expected: Column, actual: Column, passed: Column) -> Column:
+        said = F.when(fy_seen, actual.cast("string")).otherwise(none)
+        return F.struct(F.lit(no).alias("check_no"), F.lit(name).alias("check_name"), F.col("fy").alias("fiscal_year"), expected.cast("string").alias("expected"), said.alias("actual"), F.when(fy_seen & passed, "PASS").otherwise("FAIL").alias("result"))
+
+    checks = F.array(
+        row(1, "latest_complete_fy_revenue_coverage", F.col("bar"), F.col("revenue"), F.col("revenue") >= F.col("bar")),
+        row(2, "latest_complete_fy_net_income_coverage", F.col("bar"), F.col("net_income"), F.col("net_income") >= F.col("bar")),
+        row(3, "recent_3_fys_below_revenue_bar", F.lit(""), F.array_join("failing", ", "), F.size("failing") == 0),
+        row(4, "latest_complete_fy_revenue_floor", F.lit(floor).cast("decimal(38,2)"), F.col("total").cast("decimal(38,2)"), F.col("total") >= F.lit(floor)),
+    )
+    return one.select(F.explode(checks).alias("c")).select("c.*")
+
+
+@query("q18_coverage_of_universe")
+def _(spark, d):
+    """Q18 whole, on the built trend mart as in the reference; the SQL of q18_coverage_gate is fixed and narrower."""
+    b = Build(spark, d)
+    return coverage_gate(b.pl_trend, b.universe)
+
+
 @query("q19_sign_off")
 def _(spark, d):
     """All structural reports of the delivered and the built tables in one, and the audits across them."""

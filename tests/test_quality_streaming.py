@@ -63,3 +63,23 @@ def test_sign_off_is_whole(spark, tmp_path):
     assert found["q3_verify_sat_company_metadata_hashes", "10_hashdiff_reproducible"] == "FAIL"  # TESTDATA: not to be trusted
     assert found["q3_verify_built_peer_benchmark", "peer_count_consistent_per_partition"] == "PASS"
     assert all(r.result == "PASS" for r in rows if r.pack.startswith("q3_verify_built_")), [r for r in rows if r.pack.startswith("q3_verify_built_") and r.result != "PASS"]
+
+
+def test_coverage_gate_counts_absent_companies(spark):
+    from ledgerlake.plans.quality import coverage_gate
+
+    universe = spark.createDataFrame([(f"c{i:02}",) for i in range(20)], "cik string")
+    schema = "cik string, as_of_date string, fiscal_year int, canonical_concept string, value_numeric double"
+
+    def years(counts, at="2024-12-31", concepts=("revenue", "net_income")):
+        return [(f"c{i:02}", at, y, c, 1.0) for y, n in counts.items() for i in range(n) for c in concepts]
+
+    def gate(rows, floor=20.0):
+        return [(r.fiscal_year, r.actual, r.result) for r in coverage_gate(spark.createDataFrame(rows, schema), universe, floor).collect()]
+
+    assert gate(years({2022: 19, 2023: 20, 2024: 20})) == [(2024, "20", "PASS"), (2024, "20", "PASS"), (2024, "", "PASS"), (2024, "20.00", "PASS")]
+    # few present rows that all have revenue, a year away altogether, no net income, a floor not met, an older snapshot, a stranger
+    rows = years({2024: 16}, concepts=("revenue",)) + years({2022: 5}) + years({2023: 20, 2024: 20}, at="2023-12-31") + [("x", "2024-12-31", 2024, "revenue", 99.0)]
+    assert gate(rows) == [(2024, "16", "FAIL"), (2024, "0", "FAIL"), (2024, "2022, 2023, 2024", "FAIL"), (2024, "16.00", "FAIL")]
+    assert {x for r in gate(years({2024: 5})) for x in r} == {None, "no complete year", "FAIL"}
+    assert [r[2] for r in gate([])] == ["FAIL"] * 4
