@@ -7,7 +7,8 @@ that became available at the same instant) are resolved to one before the join.
 Scale: versions are reduced to the last one per entity and tick (by default a day, events being
 dated by days) before the bucket shuffle, so an entity has at most one version a day. An entity
 with more than a thousandth of all events (there are fewer than 1,000 such entities) has its
-events spread over several buckets, each with a copy of that entity's versions.
+events spread over several buckets, each with a copy of that entity's versions. Events with a NULL
+key meet no version, so they are spread over all buckets.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
     )
     total = events.count()
     hot_rows = max(HOT_ROWS, total // 1000)
-    hot = e.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
+    hot = e.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
     n = buckets_for(versions, rows=total)
     if hot:
         spread = F.broadcast(events.sparkSession.createDataFrame([(r[k], -(-r.n // hot_rows)) for r in hot], f"{k} {dict(e.dtypes)[k]}, {copies} int"))
@@ -86,8 +87,10 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
         v = v.join(spread, k, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
     else:
         e, v = e.withColumn(salt, F.lit(0)), v.withColumn(salt, F.lit(0))
-    place = F.pmod(F.xxhash64(k, salt), F.lit(n)).cast("int")
-    e, v = e.withColumn(bucket, place).drop(salt), v.withColumn(bucket, place).drop(salt)
+    by_key = F.xxhash64(k, salt)
+    by_row = F.xxhash64(*[F.col(c) for c, kind in e.select(*kept).dtypes if "map<" not in kind], F.monotonically_increasing_id())
+    e = e.withColumn(bucket, F.pmod(F.when(F.col(k).isNull(), by_row).otherwise(by_key), F.lit(n)).cast("int")).drop(salt)
+    v = v.withColumn(bucket, F.pmod(by_key, F.lit(n)).cast("int")).drop(salt)
     of = {f.name: f.dataType for f in (*v.schema.fields, *events.schema.fields) if f.name in kept or f.name in names} | {f.name: f.dataType for f in v.schema.fields if f.name in names}
     out = T.StructType([T.StructField(c, of[c], True) for c in (*kept, *names)])
     return e.groupBy(bucket).cogroup(v.groupBy(bucket)).applyInArrow(_asof(to_arrow_schema(out), kept, names, k, before), out)

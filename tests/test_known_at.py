@@ -59,3 +59,23 @@ def test_other_types_pass_through(spark):
     out = known_at(e, v, "k", end, F.unix_micros("since"), {"amount": F.col("amount"), "day": F.col("day"), "since": F.col("since")}).first()
     assert (out.t, out.d, out.m, out.l, out.x) == tuple(e.first()[1:])
     assert (out.amount, out.day, out.since) == (v.first().amount, v.first().day, v.first().since)
+
+
+def test_events_without_a_key_are_spread(spark, monkeypatch):
+    true = K._asof
+
+    def watched(*a):
+        run = true(*a)
+
+        def small(events, versions):
+            assert events.num_rows < 800, "one bucket holds all events without a key"
+            return run(events, versions)
+
+        return small
+
+    monkeypatch.setattr(K, "_asof", watched)
+    events = [(i, None if i % 5 else "a", i % 100) for i in range(1500)]
+    versions = [("a", d * DAY_US, f"v{d}") for d in range(0, 100, 7)] + [(None, 1, "none")]
+    for rows in (K.HOT_ROWS, 50):
+        monkeypatch.setattr(K, "HOT_ROWS", rows)
+        assert run(spark, events, versions) == brute(events, versions)
