@@ -9,6 +9,7 @@ the sorted positions of one depth, without building a tree.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +26,46 @@ def _refuse(name: str) -> None:
 
 
 def is_valid(text: str) -> bool:
-    """Whether the text is one JSON value (NaN and Infinity are none)."""
+    """Whether the text is one JSON value (NaN and Infinity are none), however long its numbers and deep its brackets."""
     try:
-        json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+        json.loads(text, parse_int=str, parse_constant=_refuse)
+    except RecursionError:
+        return _is_valid_deep(text)
+    except ValueError:
         return False
     return True
 
 
+_TOKEN = re.compile(r'''[ \t\n\r]*+(?:([{}\[\],:])|("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+")|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)''')
+
+
+def _is_valid_deep(text: str) -> bool:
+    """The same without recursion; a stack of the open brackets instead."""
+    opened: list[str] = []
+    wanted, at, end = "value", 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            return False
+        mark, string, at = m[1], m[2], m.end()
+        if wanted in ("value", "value or end") and (mark is None or mark in "{["):
+            if mark:
+                opened.append(mark)
+            wanted = "after" if mark is None else "key or end" if mark == "{" else "value or end"
+        elif wanted in ("key", "key or end") and string:
+            wanted = "colon"
+        elif wanted == "colon" and mark == ":":
+            wanted = "value"
+        elif wanted == "after" and opened and mark == ",":
+            wanted = "key" if opened[-1] == "{" else "value"
+        elif wanted in ("after", "key or end", "value or end") and opened and mark == ("}" if opened[-1] == "{" else "]"):
+            opened.pop()
+            wanted = "after"
+        else:
+            return False
+    return wanted == "after" and not opened
+
+
 def clean(text: str) -> str:
     """Lone surrogates, which no UTF-8 column can hold, become replacement characters."""
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")

@@ -74,3 +74,28 @@ def test_tables_link_and_bad_rows_do_not_crash(spark):
 def test_a_very_long_document():
     text = json.dumps({"facts": {"t": {f"T{i}": {"units": {"USD": [{"accn": str(j)} for j in range(50)]}} for i in range(400)}}})
     assert len(DocumentRows(text).entries) == 20_000
+
+
+def test_long_numbers_and_deep_brackets_are_json():
+    import random
+
+    from ledgerlake.functions.jsonindex import _is_valid_deep
+
+    deep = "[" * 100_000 + "]" * 100_000
+    body = '"units":{"USD":[{"accn":"a1","val":%s}]}'
+    for value in ("9" * 5_000, deep, '{"a":' * 50_000 + "1" + "}" * 50_000):
+        text = '{"facts":{"us-gaap":{"T":{' + body % value + "}}}}"
+        assert is_valid(text)
+        assert [(*e[:4], e[4]["accn"]) for e in DocumentRows(text).entries] == [("us-gaap", "T", "USD", 0, "a1")]
+    for bad in (deep[:-1], deep + "]", deep[:-1] + "}", "[" * 100_000 + "1,]" + "]" * 99_999, deep + " 1"):
+        assert not is_valid(bad)
+    rnd = random.Random(3)
+    base = '{"a": [1, -2.5e+3, "x\\u00e9\\n", {"b": null, "c": []}, true], "d": {}}'
+    for _ in range(3000):
+        t = list(base)
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(t))
+            t[i] = rnd.choice(["", rnd.choice('{}[],:"\\0e-. \x01\n'), t[i] * 2])
+        t = "".join(t)
+        assert _is_valid_deep(t) == is_valid(t), t
+    assert not any(map(_is_valid_deep, ("", " ", "01", "NaN", "-", "1 2", "{,}", "[1 2]", '{"a"}', "\ufeff1")))
