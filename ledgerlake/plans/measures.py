@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import text as X
 from ledgerlake.operators.marts import RATIOS, latest_complete_year
 from ledgerlake.operators.vault import latest_rows
+from ledgerlake.plans.warehouse import CHAIN_SQL, Build
 from ledgerlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +88,19 @@ def _(spark, d):
     return at_latest(with_sector(spark, d)).groupBy("sector").agg(total("revenue").alias("revenue"))
 
 
+@query("b5_revenue_yoy_rank")
+def _(spark, d):
+    """Rank and percentage of the growth of revenue, from the built trend mart at its latest date and complete year."""
+    t = Build(spark, d).pl_trend
+    last = t.agg(F.max("as_of_date").alias("as_of_date"))  # one row
+    rows = t.where("canonical_concept = 'revenue' AND is_latest_complete_fy").join(F.broadcast(last), "as_of_date")
+    return rows.groupBy("cik").agg(F.max("yoy_rank").alias("revenue_yoy_rank"), F.round(F.avg("yoy_pct"), 6).alias("revenue_yoy_pct"))
+
+
+ORACLE_SQL["b5_revenue_yoy_rank"] = CHAIN_SQL + """SELECT cik, CAST(max(yoy_rank) AS INTEGER) AS revenue_yoy_rank, round(avg(yoy_pct), 6) AS revenue_yoy_pct FROM pl_trend
+    WHERE canonical_concept = 'revenue' AND is_latest_complete_fy AND as_of_date = (SELECT max(as_of_date) FROM pl_trend) GROUP BY 1"""  # the chain instead of the base of the others
+
+
 @query("b5_revenue_rank", "SELECT cik, CAST(rank() OVER (ORDER BY revenue DESC) AS INTEGER) AS revenue_rank FROM base, latest WHERE fiscal_year = fy AND revenue IS NOT NULL")
 def _(spark, d):
     """Rank over the whole universe, without one global window: ranks of distinct values come from
