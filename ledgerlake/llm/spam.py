@@ -2,15 +2,20 @@
 
 Method: every text is cut into blocks of whole pieces (sentences or lines). A block's deflate
 ratio is measured twice, on its characters (phrases said again and again) and on its token
-shapes (links, tags, numbers and content words each as one symbol, so a list of different links
+shapes (links, tags, codes, names and long words each as one symbol, so a list of different links
 or names is as redundant as one repeated phrase). Both are normalised by the corpus median of
-blocks of the same language and length; a block far below it is extremely redundant. The median is
-that of sentences only, equal blocks counted once, so that spam does not set its own norm however
-much of a language it makes up; the fewer such blocks a language has, the more the whole corpus'
-median and fixed usual ratios weigh. Redundant
-blocks are confirmed piece by piece by low sentence density: what is neither a sentence nor a row
-of an exhibit list or of figures is loose. A text is spam if loose pieces in redundant blocks make
-up more than half of it.
+sentence blocks of the same language and length; a block far below it is extremely redundant.
+Redundant blocks are confirmed by low sentence-punctuation density: a sentence mark vouches for
+the few words before it, and what no mark vouches for, or what only says again words or sentences
+said before, is loose, unless it is a row of an exhibit list or of figures. A text is spam if loose
+pieces in redundant blocks make up more than half of it.
+
+Nothing here knows a language: sentences are told by their marks, and shapes keep only short
+lower-case words, which are the varied glue of prose in every script with two cases.
+
+The norm is the median of sentence blocks only, equal blocks counted once, so that spam does not
+set its own norm however much of a language it makes up. It is drawn towards the whole corpus'
+median, and that towards fixed usual ratios, by the number of blocks: one formula for every count.
 
 Scale: one pass over the texts; the second step reads the blocks' few numbers, not the texts. The
 medians are one row per language and length class (at most 677 x 3 rows), broadcast; equal blocks
@@ -30,66 +35,88 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import cut, spread
 
-#: Common function words of English, German, Spanish and French.
-FUNCTION_WORDS = frozenset(
-    """
-    a an the of in on to for from by with at as and or that which is are was were be been has have had will would could may not no
-    its our their this these those it we than under over into after before because if when during against per also still only how what
-    der die das des dem den ein eine einer eines und oder von zu zum zur im bei wegen gegenüber um auf für ist sind war waren wird wir nicht mit
-    el la los las un una del de en por para con y o que se es son fue fueron más al nosotros
-    le les une du et ou par pour avec qui est sont sur à au aux nous ne pas dans
-    """.split()
-)
-
 BLOCK_CHARS = 320
 #: A piece of more words is cut into parts of so many.
 LONG_WORDS, PART_WORDS = 24, 12
+#: A sentence mark vouches for so many words before it.
+VOUCHED_WORDS = 24
 #: A piece of fewer words goes with its neighbours.
 SHORT_WORDS = 6
 #: A block is redundant if its ratio is below this share of the median for its language and length.
-REDUNDANT_BELOW = 0.80
+REDUNDANT_BELOW = 0.85
 #: Ratios of sentences by length class, where the corpus has too few of its own; they weigh as so many blocks.
-USUAL = {"raw": (0.80, 0.72, 0.67), "shape": (0.29, 0.26, 0.23)}
+USUAL = {"raw": (0.80, 0.72, 0.67), "shape": (0.33, 0.30, 0.27)}
 USUAL_BLOCKS = 100
 #: No norm lies below this share of the usual ratio.
-LEAST_SHARE = 0.75
-#: The languages of FUNCTION_WORDS; in others no piece is known to be a sentence.
-KNOWN = ("en", "de", "es", "fr", "und")
-#: A sentence has at least this share of function words ...
-FUNCTION_SHARE = 0.10
-#: ... and its content words repeat no more than this: so many are distinct, and no one makes up so many.
+LEAST_SHARE = 0.9
+#: Lower-case words up to so many letters keep their shape; words of so many or more tell what a sentence is about.
+GLUE_LETTERS = 4
+#: A sentence's longer words repeat no more than this: so many are distinct, and no one makes up so many.
 DISTINCT_SHARE, TOP_SHARE = 0.67, 0.4
 
-# Starts are tied to the first character of a run and spans are bounded, so no text takes quadratic time.
+# Spans end at the next mark of their own kind, so no text takes quadratic time.
 _LINK = re.compile(r"(?<![\w./-])(?:(?:https?://|www\.)\S++|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*+|\b\.html?\b\S*+))", re.I)
-_ANCHOR = re.compile(r"<a\b[^<>]{0,400}>[^<]{0,200}</a>|\[[^\[\]\n]{0,80}\]\([^()\s]{1,400}\)", re.I)
+_ANCHOR = re.compile(r"<a\b[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^()\s]++\)", re.I)
 _TAG = re.compile(r"(?<!\w)[#@][^\W_][\w-]*|(?<!\w)\$[A-Z]{1,6}\b")
-_SHAPED = re.compile(r"[\x01\x02]|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]")
-_SPLIT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d]|[\"'(\[<#¿¡])|\n+")
+_TOKEN = re.compile(r"[\x01\x02]|\w+|[^\w\s]")
+#: Lower-case letters of the Latin, Greek and Cyrillic scripts.
+_LOWER = "a-zß-öø-ÿα-ώа-џ"
+_SPLIT = re.compile(rf"(?<=[.!?…])\s+(?=[^\W\d_{_LOWER}]|[\"'(\[<#¿¡«„“])|(?<=[。！？])|\n+")
+_MARK = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*\s*$")
 _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
 _RUN = re.compile(rf"({_ITEM}(?:[\s|,;>*–-]+{_ITEM})+)", re.I)
 _LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:\d{1,3}\.\d{1,3}|[ivx\d]{1,3}\.|\([ivx\d]{1,4}\))\s+\S")
 _FIGURE = re.compile(r"[$€£]?\(?\d[\d.,]*\)?%?")
+_HAS_DIGIT = re.compile(r"\d")
 
 BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, loose int, chars int"
 
 
-def pieces(text: str) -> list[str]:
-    """Sentences, or lines where lines end before a sentence does.
+def _shortened(text: str, start: int, end: int) -> bool:
+    """Whether the text ends, at ``end``, in a shortened word: initials, or a short capitalised word with a full stop."""
+    if text[end - 1] != ".":
+        return False
+    word = text[max(start, end - 12) : end].split()[-1:]
+    return bool(word) and (word[0].count(".") > 1 or (len(word[0]) <= 5 and word[0][0].isupper()))
+
+
+def _sentences(text: str) -> Iterator[tuple[str, bool]]:
+    """Stretches up to a sentence mark or line end, and whether they end in a mark."""
+    text, start = text.rstrip(), 0
+    for m in _SPLIT.finditer(text):
+        at, line = m.start(), "\n" in m.group()
+        if not line and at > start and _shortened(text, start, at):
+            continue
+        yield text[start:at], _ends_sentence(text, start, at)
+        start = m.end()
+    yield text[start:], _ends_sentence(text, start, len(text))
+
+
+def _ends_sentence(text: str, start: int, end: int) -> bool:
+    tail = text[max(start, end - 6) : end]
+    return bool(_MARK.search(tail)) and not _shortened(text, start, end)
+
+
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """Sentences, or lines where lines end before a sentence does, and whether a mark vouches for each.
 
     Runs of links or tags stand alone, and what goes on for long without an end is cut into parts
     of a few words, so that a sentence set into a run does not hide it.
     """
-    out: list[str] = []
-    for piece in _SPLIT.split(text):
-        for part in _RUN.split(piece) if "#" in piece or "@" in piece or "/" in piece or "www." in piece or ".htm" in piece or ("$" in piece and _TAG.search(piece)) else (piece,):
+    out: list[tuple[str, bool]] = []
+    for piece, ended in _sentences(text):
+        runs = _RUN.split(piece) if "#" in piece or "@" in piece or "/" in piece or "www." in piece or ".htm" in piece or ("$" in piece and _TAG.search(piece)) else (piece,)
+        for k, part in enumerate(runs):
             words = part.split()
+            marked = ended and k + 1 == len(runs)
             if len(words) <= LONG_WORDS:
                 if words:
-                    out.append(part.strip())
+                    out += [(q, marked) for q in _even(part.strip())]
             else:
-                out += [" ".join(words[i : i + PART_WORDS]) for i in range(0, len(words), PART_WORDS)]
-    return [q for p in out for q in _even(p)]
+                for i in range(0, len(words), PART_WORDS):
+                    near = marked and len(words) - i <= VOUCHED_WORDS
+                    out += [(q, near) for q in _even(" ".join(words[i : i + PART_WORDS]))]
+    return out
 
 
 def masked(piece: str) -> str:
@@ -106,17 +133,20 @@ def masked(piece: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def _shape(token: str) -> str:
-    if token[0].isdigit():
+    if token.isalpha():
+        if token.islower():
+            return token if len(token) <= GLUE_LETTERS else "x"
+        if token.isupper():
+            return "A"
+        return "X" if token[:1].isupper() else token  # scripts of one case keep their words
+    if token.isdigit():
         return "9"
-    if token[0].isalpha():
-        low = token.lower()
-        return low if low in FUNCTION_WORDS else "x"
-    return {"\x01": "L", "\x02": "H"}.get(token, token)
+    return {"\x01": "L", "\x02": "H"}.get(token, "C" if len(token) > 1 else token)
 
 
 def shapes(mask: str) -> tuple[list[str], list[str]]:
-    """Tokens of a masked piece, and their shapes: function words and marks as they are, all else by kind."""
-    tokens = _SHAPED.findall(mask)
+    """Tokens of a masked piece, and their shapes: short lower-case words and marks as they are, all else by kind."""
+    tokens = _TOKEN.findall(mask)
     return tokens, list(map(_shape, tokens))
 
 
@@ -124,22 +154,21 @@ def shape_of(piece: str) -> str:
     return " ".join(shapes(masked(piece))[1])
 
 
-def is_loose(piece: str) -> bool:
+def is_loose(piece: str, vouched: bool | None = None) -> bool:
     """Neither a sentence nor a row of an exhibit list or of figures."""
     mask = masked(piece)
-    return _is_loose(piece, mask, *shapes(mask))
+    return _is_loose(piece, mask, shapes(mask)[0], _ends_sentence(piece, 0, len(piece)) if vouched is None else vouched)
 
 
-def _is_loose(piece: str, mask: str, tokens: list[str], kinds: list[str]) -> bool:
-    content = [t.lower() for t, k in zip(tokens, kinds, strict=True) if k == "x"]
-    glue = sum(map(FUNCTION_WORDS.__contains__, kinds))
-    words = len(content) + glue
-    if mask is not piece and words < 8 and len(mask.replace("\x01", "").replace("\x02", "")) < 0.6 * len(piece):
+def _is_loose(piece: str, mask: str, tokens: list[str], vouched: bool) -> bool:
+    if mask is not piece and len(mask.replace("\x01", "").replace("\x02", "")) < 0.6 * len(piece) and sum(map(str.isalpha, tokens)) < 8:
         return True
     if _LISTED.match(piece):
         return False
-    if not words or glue >= FUNCTION_SHARE * words and not _repeats(content):
+    if vouched and not _repeats([t.lower() for t in tokens if len(t) >= GLUE_LETTERS and t.isalpha()]):
         return False
+    if not _HAS_DIGIT.search(piece):
+        return True
     parts = piece.split()
     return sum(map(bool, map(_FIGURE.fullmatch, parts))) < 0.4 * len(parts)
 
@@ -155,7 +184,7 @@ def _repeats(content: list[str]) -> bool:
 def ratio(text: str, of: int | None = None) -> float:
     """Deflated bytes of ``text`` by its own bytes, or by ``of`` bytes it stands for."""
     data = text.encode("utf-8", "replace")
-    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    z = zlib.compressobj(6, zlib.DEFLATED, -12, 4)  # a window above any block's length, small tables
     return (len(z.compress(data)) + len(z.flush())) / max(1, of or len(data))
 
 
@@ -163,17 +192,22 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
     """(chars, ratio of the text, ratio of the shapes, loose chars) of each block of whole pieces.
 
     Loose pieces and sentences fill blocks of their own, so that a few sentences set into a list
-    do not hide how redundant the list is.
+    do not hide how redundant the list is. A sentence said again in the same text is loose.
     """
-    parts = pieces(text)
-    marks, kinds = [], []
-    for part in parts:
+    parts, marks, kinds = [], [], []
+    said: set[str] = set()
+    for part, vouched in pieces(text):
         mask = masked(part)
-        tokens, own = shapes(mask)
-        kinds.append(" ".join(own))
-        marks.append(_is_loose(part, mask, tokens, own))
-    for i, part in enumerate(parts):
-        if not marks[i] and len(part.split()) < SHORT_WORDS and not _LISTED.match(part) and all(marks[max(0, i - 1) : i] + marks[i + 1 : i + 2] or [False]):
+        tokens = _TOKEN.findall(mask)
+        if vouched:
+            key = part.lower()
+            vouched = key not in said
+            said.add(key)
+        parts.append(part)
+        kinds.append(" ".join(map(_shape, tokens)))
+        marks.append(_is_loose(part, mask, tokens, vouched))
+    for i in range(1, len(parts)) if any(marks) else ():
+        if not marks[i] and marks[i - 1] and (i + 1 == len(parts) or marks[i + 1]) and parts[i].count(" ") < SHORT_WORDS - 1 and not _LISTED.match(parts[i]):
             marks[i] = True
     out: list[tuple[int, float, float, int]] = []
     for mark in (True, False):
@@ -189,12 +223,10 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
                 c, raw, shape, loose = out[-1]
                 out[-1] = (c + size, raw, shape, loose + size * mark)
             elif last or size >= BLOCK_CHARS:
-                block = "\n".join(parts[h] for h in held)
-                out.append((size, ratio(block), ratio("\n".join(kinds[h] for h in held), len(block)), size * mark))
+                block = "\n".join([parts[h] for h in held])
+                out.append((size, ratio(block), ratio("\n".join([kinds[h] for h in held]), len(block)), size * mark))
                 held, size = [], 0
     return out
-
-
 def _even(piece: str) -> list[str]:
     if len(piece) <= BLOCK_CHARS:
         return [piece]
@@ -228,17 +260,11 @@ def language(c: Column) -> Column:
 
 
 def _norms(measured: DataFrame) -> DataFrame:
-    """norm_raw and norm_shape of each language and length class.
-
-    A language without known function words has no sentences to go by: all its blocks count, its
-    shapes are compared with each other only (its prose is all content words, as lists are
-    elsewhere), and the fixed bound does not hold for it.
-    """
-    known = F.col("lang").isin(*KNOWN)
-    counts = ~known | (F.col("loose") == 0)
+    """norm_raw and norm_shape of each language and length class, from blocks of sentences."""
+    sentences = F.col("loose") == 0
     prose = measured.groupBy("lang", "size", "chars", "loose", "raw", "shape").agg(F.lit(1).alias("one"))  # copies count once
-    own = prose.groupBy("lang", "size").agg(*[F.percentile_approx(F.when(counts, F.col(c)), 0.5, 1000).alias(f"own_{c}") for c in USUAL], F.count_if(counts).alias("n"))
-    anywhere = prose.where(known & counts).groupBy("size").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"any_{c}") for c in USUAL], F.count(F.lit(1)).alias("any_n"))
+    own = prose.groupBy("lang", "size").agg(*[F.percentile_approx(F.when(sentences, F.col(c)), 0.5, 1000).alias(f"own_{c}") for c in USUAL], F.count_if(sentences).alias("n"))
+    anywhere = prose.where(sentences).groupBy("size").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"any_{c}") for c in USUAL], F.count(F.lit(1)).alias("any_n"))
 
     def blend(median: Column, n: Column, rest: Column) -> Column:
         return (F.coalesce(median * n, F.lit(0.0)) + USUAL_BLOCKS * rest) / (F.coalesce(n, F.lit(0)) + USUAL_BLOCKS)
@@ -247,7 +273,7 @@ def _norms(measured: DataFrame) -> DataFrame:
     for c, usual in USUAL.items():
         fixed = F.element_at(F.array(*map(F.lit, usual)), F.col("size") + 1)
         norm = blend(F.col(f"own_{c}"), F.col("n"), blend(F.col(f"any_{c}"), F.col("any_n"), fixed))
-        both = both.withColumn(f"norm_{c}", F.when(known, F.greatest(norm, LEAST_SHARE * fixed)).otherwise(norm if c == "raw" else F.col(f"own_{c}")))
+        both = both.withColumn(f"norm_{c}", F.greatest(norm, LEAST_SHARE * fixed))
     return both.select("lang", "size", "norm_raw", "norm_shape")
 
 

@@ -79,7 +79,7 @@ def test_measures():
     assert pieces("") == [] and blocks("") == []
     assert is_loose("payday loan; gold price; payday loan; gold price") and not is_loose("The board of the company is in the region.")
     assert not is_loose("3.1  Broader payments agreement dated 2018, filed herewith") and is_loose("https://www.a.example/b")
-    assert shape_of("See #tag and https://a.example/x for 3 cats") == "x H and L for 9 x"
+    assert shape_of("See #tag and https://a.example/x for 3 cats") == "X H and L for 9 cats"
     long = "word " * 100_000
     assert sum(b[0] for b in blocks(long)) > 400_000
 
@@ -127,3 +127,33 @@ def test_prose_of_other_languages_is_kept(spark):
     italian = [" ".join(f"Gli {rnd.choice(words)} della {rnd.choice(words)} sono cresciuti nel {rnd.choice(words)} dopo {rnd.randrange(99)} {rnd.choice(words)}." for _ in range(12)) for _ in range(200)]
     rows = [(i, t, "it", 1, 0.0) for i, t in enumerate(italian)] + [(1000 + i, prose(rnd, 9), "en", 1, 0.0) for i in range(300)]
     assert spam_documents(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+OTHER_PROSE = {
+    "it": "La società ha chiuso l'esercizio con ricavi in lieve crescita, nonostante il rallentamento della domanda nel secondo semestre. Il consiglio di amministrazione propone agli azionisti un dividendo inferiore a quello dell'anno scorso. I costi dell'energia restano elevati e pesano soprattutto sugli stabilimenti del nord. Nei prossimi mesi la direzione intende ridurre il debito e vendere due immobili non più utilizzati. I revisori non hanno espresso rilievi sul bilancio.",
+    "pl": "Spółka zakończyła rok obrotowy z niewielkim wzrostem przychodów, mimo słabszego popytu w drugiej połowie roku. Zarząd proponuje wypłatę niższej dywidendy niż przed rokiem. Koszty energii pozostają wysokie i obciążają głównie zakłady na północy kraju. W najbliższych miesiącach kierownictwo chce zmniejszyć zadłużenie oraz sprzedać dwie nieużywane nieruchomości. Biegły rewident nie zgłosił zastrzeżeń do sprawozdania.",
+    "ru": "Компания завершила год с небольшим ростом выручки, несмотря на слабый спрос во втором полугодии. Совет директоров предлагает выплатить дивиденды ниже прошлогодних. Расходы на энергию остаются высокими и давят прежде всего на северные заводы. В ближайшие месяцы руководство намерено сократить долг и продать два неиспользуемых здания. Аудиторы не высказали замечаний к отчётности.",
+    "zh": "公司本年度收入略有增长，尽管下半年需求放缓。董事会建议派发低于去年的股息。能源成本仍然很高，主要影响北方的工厂。未来几个月，管理层打算减少债务，并出售两处闲置的房产。审计师对财务报表没有提出保留意见。",
+}
+
+
+def test_prose_of_any_language_alone_is_kept(spark):
+    rows = [(i, t, lang, 1, 0.0) for i, (lang, t) in enumerate(OTHER_PROSE.items())]
+    bare = OTHER_PROSE["it"].replace(".", "").replace(",", "")
+    rows.append((10, bare, "it", 1, 0.0))  # loose without any mark, but not redundant enough
+    got = {r.doc_id: r.spam_share for r in spam_share(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 5 and got.pop(10) < 0.5 and max(got.values()) < 0.1, got
+
+
+def test_spam_of_other_languages_is_found(spark):
+    k = ["tanie pożyczki online", "kredyt bez bik", "chwilówki przez internet"]
+    rnd = random.Random(3)
+    polish = ", ".join(rnd.choice(k) for _ in range(60))
+    russian = "\n".join(f"Купить {rnd.choice(['акции', 'золото', 'кредит'])} дёшево {rnd.randrange(9999)}" for _ in range(40))
+    rows = [(1, polish, "pl", 1, 0.0), (2, russian, "ru", 1, 0.0), (3, OTHER_PROSE["pl"], "pl", 1, 0.0)]
+    assert {r.doc_id for r in spam_documents(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 2}
+
+
+def test_long_anchors_are_links():
+    page = "\n".join(f'<a href="https://a.example/{"p/" * 400}{i}">{"gold price " * 40}{i}</a>' for i in range(20))
+    assert all(is_loose(p, v) for p, v in pieces(page))
