@@ -67,6 +67,7 @@ _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
 _RUN = re.compile(rf"({_ITEM}(?:[\s|,;>*–-]+{_ITEM})+)", re.I)
 _LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:\d{1,3}\.\d{1,3}|[ivx\d]{1,3}\.|\([ivx\d]{1,4}\))\s+\S")
 _FIGURE = re.compile(r"[$€£]?\(?\d[\d.,]*\)?%?")
+_CONTENT = re.compile(rf"\w{{{GLUE_LETTERS},}}")
 _HAS_DIGIT = re.compile(r"\d")
 
 BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, loose int, chars int"
@@ -74,27 +75,25 @@ BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, lo
 
 def _shortened(text: str, start: int, end: int) -> bool:
     """Whether the text ends, at ``end``, in a shortened word: initials, or a short capitalised word with a full stop."""
-    if text[end - 1] != ".":
-        return False
     word = text[max(start, end - 12) : end].split()[-1:]
-    return bool(word) and (word[0].count(".") > 1 or (len(word[0]) <= 5 and word[0][0].isupper()))
+    return bool(word) and word[0][-1] == "." and (word[0].count(".") > 1 or (len(word[0]) <= 5 and word[0][0].isupper()))
 
 
 def _sentences(text: str) -> Iterator[tuple[str, bool]]:
     """Stretches up to a sentence mark or line end, and whether they end in a mark."""
     text, start = text.rstrip(), 0
     for m in _SPLIT.finditer(text):
-        at, line = m.start(), "\n" in m.group()
-        if not line and at > start and _shortened(text, start, at):
+        at = m.start()
+        short = at > start and text[at - 1] == "." and _shortened(text, start, at)
+        if short and "\n" not in m.group():
             continue
-        yield text[start:at], _ends_sentence(text, start, at)
+        yield text[start:at], not short and _MARK.search(text, max(start, at - 6), at) is not None
         start = m.end()
     yield text[start:], _ends_sentence(text, start, len(text))
 
 
 def _ends_sentence(text: str, start: int, end: int) -> bool:
-    tail = text[max(start, end - 6) : end]
-    return bool(_MARK.search(tail)) and not _shortened(text, start, end)
+    return _MARK.search(text, max(start, end - 6), end) is not None and not _shortened(text, start, end)
 
 
 def pieces(text: str) -> list[tuple[str, bool]]:
@@ -165,7 +164,7 @@ def _is_loose(piece: str, mask: str, tokens: list[str], vouched: bool) -> bool:
         return True
     if _LISTED.match(piece):
         return False
-    if vouched and not _repeats([t.lower() for t in tokens if len(t) >= GLUE_LETTERS and t.isalpha()]):
+    if vouched and not _repeats(_CONTENT.findall(mask.lower())):
         return False
     if not _HAS_DIGIT.search(piece):
         return True
