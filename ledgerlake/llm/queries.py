@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import pack_key, unpack_key
 from ledgerlake.llm.fusion import FILLED, Fusion
-from ledgerlake.llm.leakage import leaked_items
+from ledgerlake.llm.leakage import MATCH, N, leaked_items
 from ledgerlake.llm.mixing import mix, token_count
 from ledgerlake.llm.spam import language, spam_share
 from ledgerlake.session import spread
@@ -48,18 +48,19 @@ SELECT hk AS sat_concept_value_hk, name AS concept_name, CAST(value * 100 AS BIG
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair that shares a seed, with its exact coverage and its alignment score."""
+    """Every item a document gives away, word for word or edited, with its exact coverage and its alignment."""
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).where(F.col("covered_words") * 3 > F.col("item_words")).select("doc_id", "item_id").distinct()
+    """Aligned pairs whose exact coverage is above a third."""
+    return p8_leaks(spark, d).where((F.col("alignment_score") >= MATCH * N) & (F.col("covered_words") * 3 > F.col("item_words"))).select("doc_id", "item_id").distinct()
 
 
 P8_SQL = r"""
 WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id AS id, text FROM eval_items WHERE text IS NOT NULL),
 t AS (SELECT 'd' AS kind, * FROM d UNION ALL SELECT 'i', * FROM i),
-w AS (SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(text, '(?i)<[^<>]{1,200}>|&(?:#\d{1,6}|[a-z]{2,8});|[*_`~]{1,3}', ' ', 'g')), '(\d),(\d)', '\1\2', 'g'), '([\p{L}\p{N}])[''’]([\p{L}\p{N}])', '\1\2', 'g'), '[\p{L}\p{N}]+') AS w FROM t),
+w AS (SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(text, '(?i)</?[a-z!?][^<>]*>|&(?:#x?[0-9a-f]+|[a-z][a-z0-9]*);|[*_`~]+', ' ', 'g')), '(\d),(\d)', '\1\2', 'g'), '([\p{L}\p{N}])[''’]([\p{L}\p{N}])', '\1\2', 'g'), '[\p{L}\p{N}]+') AS w FROM t),
 g AS (SELECT kind, id, len(w) AS size, p, list_slice(w, p, p + 7) AS gram FROM w, unnest(range(1, CAST(len(w) AS BIGINT) - 6)) AS x(p)),
 m AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.size, i.p FROM (SELECT DISTINCT id, gram FROM g WHERE kind = 'd') d JOIN (SELECT * FROM g WHERE kind = 'i') i ON d.gram = i.gram),
 c AS (SELECT doc_id, item_id, size, count(DISTINCT p + k) AS n FROM m, unnest(range(0, 8)) AS y(k) GROUP BY 1, 2, 3)

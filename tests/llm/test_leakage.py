@@ -51,7 +51,8 @@ def run(spark, docs, items):
 
 
 def test_random_copies_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(L, "RARE_LEAST", 3)
+    monkeypatch.setattr(L, "RARE_DOCUMENTS", 3)
+    monkeypatch.setattr(L, "OWN_ITEMS", 5)
     rnd = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
     intro = "answer the question that follows using only this passage"
@@ -92,9 +93,60 @@ def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
     assert run(spark, docs, items) == whole and len(whole) == 9
 
 
-def test_edited_copy_scores_high():
-    ix = ItemIndex.of([(1, " ".join(f"a{i}" for i in range(40)))])
-    edited = " ".join("zz" if i % 9 == 8 else f"a{i}" for i in range(40))
-    ids, codes = ix.read(edited)
-    row, windows = L.pair_row(ix, 0, ids, codes)
-    assert L.score([(row, ix.ids[0], windows)])[0][6] > 0.7  # alignment over the edits
+def test_markup_of_any_length_is_stripped(spark):
+    item = " ".join(f"a{i}" for i in range(30))
+    text = " ".join(f'a{i}<span class="{"c" * 2000}">' if i % 3 == 0 else f"a{i} &{'n' * 50};" for i in range(30))
+    assert words(text) == item.split()
+    assert run(spark, [(1, text)], [(1, item)]) == {(1, 1): (30, 30)}
+    assert words("if a < 5 words and b > 3 then") == "if a 5 words and b 3 then".split()  # no tag
+
+
+def test_every_seventh_word_changed_is_found(spark):
+    item = [f"a{i}" for i in range(60)]
+    edited = " ".join("zz" if i % 7 == 6 else w for i, w in enumerate(item))
+    d = spark.createDataFrame([(1, f"x y {edited} z", 1, 2)], DOCS)
+    (r,) = leaked_items(d, spark.createDataFrame([(1, " ".join(item))], ITEMS)).collect()
+    assert (r.kind, r.covered_words, r.stretches) == ("edited", 0, 0) and r.alignment_share > 0.7
+
+
+def edit(rnd, w, vocabulary):
+    """A sixth of the words replaced, left out or added."""
+    out = []
+    for x in w:
+        k = rnd.random()
+        out += [] if k < 0.04 else [rnd.choice(vocabulary)] if k < 0.12 else [x, rnd.choice(vocabulary)] if k < 0.16 else [x]
+    return out
+
+
+def test_recall_of_edited_copies_and_no_strangers(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(i, [rnd.choice(vocabulary) for _ in range(rnd.randrange(30, 120))]) for i in range(200)]
+    docs = [(i, " ".join([*rnd.choices(vocabulary, k=50), *edit(rnd, w, vocabulary), *rnd.choices(vocabulary, k=50)])) for i, w in items]
+    docs += [(1000 + i, " ".join(rnd.choices(vocabulary, k=150))) for i in range(200)]
+    got = set(run(spark, docs, [(i, " ".join(w)) for i, w in items]))
+    assert len({(i, i) for i, _ in items} & got) >= 0.9 * len(items) and all(a == b for a, b in got)
+
+
+def test_pairs_do_not_depend_on_the_number_of_documents(spark):
+    item = " ".join(f"a{i}" for i in range(40))
+    few = [(1, f"x {item} y")]
+    assert run(spark, few, [(1, item)]).keys() == {k for k in run(spark, [*few, *((100 + i, f"t{i} u v") for i in range(3000))], [(1, item)])}
+
+
+def test_a_copy_in_most_documents_is_found(spark, monkeypatch):
+    monkeypatch.setattr(L, "RARE_DOCUMENTS", 10)
+    item = " ".join(f"a{i}" for i in range(40))
+    assert len(run(spark, [(i, f"x{i} {item} y") for i in range(60)], [(1, item)])) == 60  # none of its seeds is rare
+
+
+def test_index_of_a_whole_block_is_small():
+    import resource
+
+    rnd = random.Random(1)
+    vocabulary = [f"term{i}" for i in range(50_000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ix = ItemIndex.of((i, " ".join(rnd.choices(vocabulary, k=130))) for i in range(17_500))  # about 20 million characters
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    arrays = sum(getattr(ix, f).nbytes for f in ("ids", "at", "seed_codes", "post_at", "post_items", "need", "seed", "seed_at"))
+    assert arrays < 120e6 and grown < 900, (arrays, grown)
