@@ -29,10 +29,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Whole surviving records with filled fields and the posterior of their figure."""
+    """Whole surviving records with filled fields, the posterior of their figure and what votes alone would take."""
     return _fusion(spark, d, *FILLED).filled().withColumn("sat_concept_value_hk", unpack_key("sat_concept_value_hk"))
 
 
+def p7_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Surviving records whose empty fields had one candidate each, so that no vote decided."""
+    whole = p7_survivors(spark, d).where(F.size("disputed_fields") == 0)
+    return whole.select("sat_concept_value_hk", "rows", "canonical_concept", "concept_name", "value", *FILLED, F.array_join(F.array_sort("filled_fields"), ",").alias("filled"))
+
+
 P7_SQL = r"""
 WITH pref AS (SELECT canonical_concept, lower(trim(concept_name)) AS tag, any_value(concept_name) AS name, min(preference_rank) AS rank, any_value(collapse_rule) AS rule
   FROM canonical_concept_tag_preference GROUP BY 1, 2),
@@ -44,6 +50,18 @@ c AS (SELECT r.hk, r.value, p.name, row_number() OVER (PARTITION BY r.hk ORDER B
 SELECT hk AS sat_concept_value_hk, name AS concept_name, CAST(value * 100 AS BIGINT) AS value_cents FROM c WHERE n = 1
 """
 
+_FIELD = lambda f: f"CASE WHEN o.{f} IS NULL THEN a.{f} ELSE o.{f} END AS {f}"
+P7_FIELDS_SQL = (
+    P7_SQL[: P7_SQL.rindex("SELECT hk AS")].replace("SELECT r.hk, r.value, p.name", "SELECT r.hk, r.value, r.canonical_concept, p.name, r.tag").replace("AS tag FROM sat_concept_value)", f"AS tag, {', '.join(FILLED)} FROM sat_concept_value)")
+    + f""", w AS (SELECT * FROM c WHERE n = 1),
+o AS (SELECT w.hk, w.value, w.name, w.canonical_concept, {', '.join(f'max(r.{f}) AS {f}' for f in FILLED)} FROM w JOIN r ON r.hk = w.hk AND r.tag = w.tag AND r.value = w.value AND r.canonical_concept = w.canonical_concept GROUP BY 1, 2, 3, 4),
+a AS (SELECT hk, count(*) AS rows, {', '.join(f'min({f}) AS {f}, count(DISTINCT {f}) AS n_{f}' for f in FILLED)} FROM r GROUP BY 1)
+SELECT o.hk AS sat_concept_value_hk, a.rows, o.canonical_concept, o.name AS concept_name, o.value, {', '.join(map(_FIELD, FILLED))},
+  concat_ws(',', {', '.join(f"CASE WHEN o.{f} IS NULL AND a.{f} IS NOT NULL THEN '{f}' END" for f in sorted(FILLED))}) AS filled
+FROM o JOIN a ON o.hk = a.hk WHERE {' AND '.join(f'(o.{f} IS NOT NULL OR a.n_{f} <= 1)' for f in FILLED)}
+"""
+)
+
 # --- 8 evaluation texts leaking into training text
 
 
@@ -114,6 +132,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_survivors": p7_survivors,
+    "p7_fields": p7_fields,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_drawn": p9_drawn,
@@ -122,4 +141,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_share": p10_share,
 }
 
-ORACLE_SQL: dict[str, str] = {"p7_found": P7_SQL, "p8_found": P8_SQL}
+ORACLE_SQL: dict[str, str] = {"p7_found": P7_SQL, "p7_fields": P7_FIELDS_SQL, "p8_found": P8_SQL}
