@@ -4,11 +4,13 @@ Method (hierarchical budgeting): leaves hang below domain and language in a tree
 handed down by weight. A leaf takes at most its tokens times the allowed repeats; what it
 cannot take goes to its siblings first and only what they cannot take goes up to the ancestors.
 Each leaf then takes whole epochs of its records and, of one more epoch in an order seeded anew,
-the prefix that fills its budget.
+the prefix that fills its budget. A prefix ends with a whole record; what a leaf leaves or takes too
+much is carried to the next leaf of its source, so a source misses its budget by half a record at most.
 
-Scale: tokens are counted once and kept as numbers. The tree has one row per leaf. The prefix is
-found from token sums over 65,536 ranges of the order per leaf; only the range in which the budget
-ends is ordered record by record.
+Scale: tokens are counted once and kept as numbers. The tree has one row per leaf, at most
+``LEAF_LIMIT``, broadcast and collected. The prefix is found from token sums over 65,536 ranges of
+the order per leaf; only the range in which the budget ends is ordered record by record. Records are
+never shuffled but for that range.
 """
 
 from __future__ import annotations
@@ -77,13 +79,13 @@ class Node:
         given = {id(c): 0.0 for c in self.children}
         while open_ and left > 1e-9:
             weight = sum(c.weight for c in open_)
-            full = [c for c in open_ if left * c.weight / weight >= c.capacity]
-            for c in full or open_:
-                given[id(c)] = c.capacity if full else left * c.weight / weight
+            full = {id(c): c.capacity for c in open_ if left * c.weight / weight >= c.capacity}
             if not full:
+                given.update((id(c), left * c.weight / weight) for c in open_)
                 break
-            left -= sum(c.capacity for c in full)
-            open_ = [c for c in open_ if c not in full]
+            given.update(full)
+            left -= sum(full.values())
+            open_ = [c for c in open_ if id(c) not in full]
         for c in self.children:
             c.spend(given[id(c)])
 
@@ -107,7 +109,7 @@ def plan_budgets(leaves: list[tuple[tuple, float, int, int]], total: int | None)
         # The most that can be spent with no leaf filled before its share is reached.
         low, high = 0.0, root.capacity
         live = [p for p, _, _, _ in leaves if at[p].capacity > 0 and at[p].weight > 0]
-        for _ in range(100):
+        for _ in range(60):
             mid = (low + high) / 2
             root.spend(mid)
             if all(at[p].budget < at[p].capacity * (1 - 1e-12) for p in live):
@@ -119,6 +121,22 @@ def plan_budgets(leaves: list[tuple[tuple, float, int, int]], total: int | None)
     return {p: int(at[p].budget) for p, _, _, _ in leaves}
 
 
+def carried(budgets: list[tuple[str, int, int, int]]) -> list[bool]:
+    """Whether each leaf takes one more record than fits: (source, rest, taken, next record's tokens) in order of leaves.
+
+    What a leaf leaves open is carried to the source's next leaf; one more record is taken as soon as
+    that comes nearer to what is owed.
+    """
+    owed: dict[str, int] = {}
+    out = []
+    for source, rest, taken, next_ in budgets:
+        owed[source] = owed.get(source, 0) + rest - taken
+        more = next_ > 0 and 2 * owed[source] > next_
+        owed[source] -= next_ if more else 0
+        out.append(more)
+    return out
+
+
 def mix(records: DataFrame, record_id: str, path: list[str], tokens: str, targets: DataFrame, share_of: str, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Draw records so that sources meet their target shares of the tokens.
 
@@ -127,6 +145,10 @@ def mix(records: DataFrame, record_id: str, path: list[str], tokens: str, target
     over its leaves by their tokens. Result: the drawn records (id, path, tokens, copies >= 1) and
     one row per target with planned and actual shares.
 
+    ``total`` is the size of the result in tokens: a leaf too small for its share gives what it has,
+    max_repeats times, and the rest comes from its siblings, then from its ancestors' other children.
+    Without it the largest total is taken at which nothing is short.
+
     Sources without a target, and records without tokens or source, are never drawn; targets
     without records get nothing and their share goes to siblings, then up the tree. No record is
     taken more than ``max_repeats`` times. Of repeated targets the greatest share counts. Ties in
@@ -140,8 +162,9 @@ def mix(records: DataFrame, record_id: str, path: list[str], tokens: str, target
     if len(goals) > LEAF_LIMIT:
         raise ValueError(f"more than {LEAF_LIMIT} targets")
     wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in sorted(goals, key=lambda r: (r[1] or 0, r[2] or 0))}
-    found = rows.groupBy(*path).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col(share_of).isin(list(wanted)) if wanted else F.lit(False))
-    sizes = found.limit(LEAF_LIMIT + 1).collect()
+    names = spark.createDataFrame([(s,) for s in wanted], f"`{share_of}` string")
+    found = rows.groupBy(*path).agg(F.sum("n_tokens").alias("t")).join(F.broadcast(names), share_of, "left_semi")  # LEAF_LIMIT rows at most
+    sizes = sorted(found.limit(LEAF_LIMIT + 1).collect(), key=lambda r: tuple(r[p] for p in path))
     if len(sizes) > LEAF_LIMIT:
         raise ValueError(f"more than {LEAF_LIMIT} leaves; use a coarser path")
     of_source: dict[str, int] = {}
@@ -149,31 +172,34 @@ def mix(records: DataFrame, record_id: str, path: list[str], tokens: str, target
         of_source[r[share_of]] = of_source.get(r[share_of], 0) + r.t
     leaves = [(tuple(r[p] for p in path), wanted[r[share_of]][0] * r.t / of_source[r[share_of]], r.t, wanted[r[share_of]][1]) for r in sizes]
     budgets = plan_budgets(leaves, total)
-    plan = spark.createDataFrame(
-        [(*p, t, min(b // t, reps), b - min(b // t, reps) * t if b // t < reps else 0, b) for (p, _, t, reps), b in ((x, budgets[x[0]]) for x in leaves)],
-        ", ".join(f"`{p}` string" for p in path) + ", leaf_tokens long, epochs long, rest long, budget long",
-    )  # one row per leaf
+    plan = []
+    for no, (p, _, t, most) in enumerate(leaves):
+        epochs = min(budgets[p] // t, most)
+        plan.append((*p, no, epochs, budgets[p] - epochs * t if epochs < most else 0))
+    of_leaf = spark.createDataFrame(plan, ", ".join(f"`{p}` string" for p in path) + ", leaf int, epochs long, rest long")
     h = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("record_id"))
-    ranged = rows.join(F.broadcast(plan), path).withColumn("h", h).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
-    sums = ranged.where("rest > 0").groupBy(*path, "range", "rest").agg(F.sum("n_tokens").alias("s"))
-    upto = Window.partitionBy(*path).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a leaf
-    ends = sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).where("before < rest AND before + s >= rest").select(*path, F.col("range").alias("end_range"), "before")
-    marked = ranged.join(ends, path, "left")
-    inside = marked.where("rest > 0 AND range = end_range")
-    run = Window.partitionBy(*path).orderBy(F.col("h") + F.lit(0), "record_id")
-    edge = inside.withColumn("cum", F.col("before") + F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    # The record at which the budget ends is taken if that comes nearer to it.
-    near = (F.col("cum") <= F.col("rest")) | ((F.col("cum") - F.col("n_tokens") < F.col("rest")) & (F.col("cum") - F.col("rest") < F.col("rest") - (F.col("cum") - F.col("n_tokens"))))
-    keep = ["record_id", *path, "n_tokens", "epochs"]
-    whole = marked.where("rest = 0 OR end_range IS NULL OR range <> end_range").withColumn("more", (F.col("rest") > 0) & (F.col("range") < F.coalesce("end_range", F.lit(-1))))
-    drawn = (
-        whole.select(*keep, "more").unionByName(edge.select(*keep, near.alias("more")))
-        .withColumn("copies", F.col("epochs") + F.col("more").cast("long"))
-        .where("copies > 0")
-        .select(F.col("record_id").alias(record_id), *path, "n_tokens", "copies")
-    )
+    ranged = rows.join(F.broadcast(of_leaf), path).withColumn("h", h).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
+    sums = ranged.where("rest > 0").groupBy("leaf", "range", "rest").agg(F.sum("n_tokens").alias("s"))
+    upto = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a leaf
+    ends = cut(sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).where("before <= rest AND before + s > rest").select("leaf", F.col("range").alias("end_range"), "before"))
+    # The records of the range in which a leaf's budget ends, and the last one that fits and the next.
+    inside = ranged.join(F.broadcast(ends), "leaf").where("range = end_range")  # one row a leaf
+    run = Window.partitionBy("leaf").orderBy("h", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct("h", "record_id")
+    fits = F.col("cum") <= F.col("rest")
+    edges = inside.withColumn("cum", F.col("before") + F.sum("n_tokens").over(run)).groupBy("leaf").agg(
+        F.coalesce(F.max(F.when(fits, F.col("cum"))), F.min("before")).alias("taken"), F.max(F.when(fits, place)).alias("last"), F.min(F.when(~fits, F.struct("h", "record_id", "n_tokens"))).alias("next")
+    ).orderBy("leaf").collect()  # one row a leaf
+    more = carried([(leaves[e.leaf][0][path.index(share_of)], plan[e.leaf][-1], e.taken, e.next.n_tokens if e.next else 0) for e in edges])
+    last = [(e.leaf, (e.next.h, e.next.record_id) if m else e["last"] and tuple(e["last"])) for e, m in zip(edges, more, strict=True)]
+    kind = rows.schema["record_id"].dataType.simpleString()
+    cuts = ends.join(spark.createDataFrame(last, f"leaf int, last struct<h: bigint, record_id: {kind}>"), "leaf")
+    marked = ranged.join(F.broadcast(cuts), "leaf", "left")  # one row a leaf
+    within = (F.col("range") < F.col("end_range")) | ((F.col("range") == F.col("end_range")) & F.col("last").isNotNull() & (place <= F.col("last")))
+    extra = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("end_range").isNull(), F.lit(1)).otherwise(F.coalesce(within, F.lit(False)).cast("int"))
+    drawn = marked.withColumn("copies", F.col("epochs") + extra).where("copies > 0").select(F.col("record_id").alias(record_id), *path, "n_tokens", "copies")
     planned: dict[str, int] = {}
-    for (p, _, _, _) in leaves:
+    for p, _, _, _ in leaves:
         s = p[path.index(share_of)]
         planned[s] = planned.get(s, 0) + budgets[p]
     goal = spark.createDataFrame([(s, w, reps, planned.get(s, 0)) for s, (w, reps) in wanted.items()], f"`{share_of}` string, target_share double, max_repeats int, planned_tokens long")

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import pack_key, unpack_key
+from ledgerlake.functions.text import pack_key, ten_digits, unpack_key
 from ledgerlake.llm.fusion import FILLED, Fusion
 from ledgerlake.llm.leakage import MATCH, N, leaked_items
 from ledgerlake.llm.mixing import mix, token_count
 from ledgerlake.llm.spam import language, spam_share
-from ledgerlake.session import spread
+from ledgerlake.session import cut, spread
 from ledgerlake.sources.tables import table
 
 # --- 7 best representative of each duplicate group
@@ -94,22 +94,23 @@ def source_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.btrim(c, F.lit(" \t\r\n"))), r"[\s_-]+", "_")
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
-    source = source_key("source")
-    records = docs.select(
-        "doc_id",
-        F.substring_index(source, "_", -1).alias("domain"),  # the kind of text: report, crawl, release, ...
-        language(F.col("lang")).alias("lang"),
-        source.alias("source"),
-        token_count(F.col("text")).alias("tokens"),
-    )
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their tokens and their place in the tree: sector of the company (domain), language, source."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "cik", "source", "lang", "text"))
+    counted = docs.select("doc_id", ten_digits("cik").alias("cik"), language(F.col("lang")).alias("lang"), source_key("source").alias("source"), token_count(F.col("text")).alias("tokens"))
+    s = table(spark, d, "sp100_company_sector").select(ten_digits("cik").alias("cik"), F.upper(F.btrim("gics_sector")).alias("domain")).where("cik IS NOT NULL")
+    return counted.join(s.groupBy("cik").agg(F.min("domain").alias("domain")), "cik", "left").withColumn("domain", F.coalesce("domain", F.lit("NONE")))
+
+
+def _mix(spark: SparkSession, d: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    records = cut(_records(spark, d))
     targets = table(spark, d, "mix_targets").select(source_key("source").alias("source"), "target_share", "max_repeats")
-    return mix(records, "doc_id", ["domain", "lang", "source"], "tokens", targets, "source", seed=20)
+    total = (records.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0) if once else None  # LEAF_LIMIT targets at most
+    return mix(records, "doc_id", ["domain", "lang", "source"], "tokens", targets, "source", total=total, seed=20)
 
 
 def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
-    """The drawn documents with their number of copies."""
+    """The drawn documents with their number of copies, at the largest total at which no source is short."""
     return _mix(spark, d)[0]
 
 
@@ -118,6 +119,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_filled_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents at a total of all tokens of the sources asked for, so that small sources are short."""
+    return _mix(spark, d, once=True)[0]
+
+
+def p9_filled_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Its shares: what short leaves lack comes from their siblings, then from further up."""
+    return _mix(spark, d, once=True)[1]
+
+
 # --- 10 keyword-stuffed and link-list pages
 
 
@@ -137,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leaks": p8_leaks,
     "p9_drawn": p9_drawn,
     "p9_shares": p9_shares,
+    "p9_filled_drawn": p9_filled_drawn,
+    "p9_filled_shares": p9_filled_shares,
     "p10_found": p10_found,
     "p10_share": p10_share,
 }

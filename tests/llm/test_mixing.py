@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlake.llm.mixing import encoding, TOKENIZER, mix, plan_budgets, token_count
+from ledgerlake.llm.mixing import TOKENIZER, carried, encoding, mix, plan_budgets, token_count
 
 RECORDS = "doc_id long, domain string, lang string, source string, tokens long, h int, range int"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -47,7 +47,7 @@ def test_shares_meet_targets_within_a_record(spark):
     assert all(1 <= r.copies <= caps[r.source] for r in drawn)
     assert len({r.doc_id for r in drawn}) == len(drawn) and {9001, 9002, 9003}.isdisjoint({r.doc_id for r in drawn})
     for s, share, _ in targets:
-        assert abs(report[s].actual_share - share) < 0.01
+        assert abs(report[s].actual_share - share) < 0.001
     small = sum(r[4] for r in rows if r[3] == "small")
     assert max(r.copies for r in drawn if r.source == "small") == 3 and report["small"].tokens <= 3 * small
     again, _ = draw(spark, rows, targets)
@@ -75,3 +75,64 @@ def test_token_count(spark):
     texts = ["hello world", "", None, "ünï\ud800code"[:3], "a" * 50_000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(token_count(__import__("pyspark.sql.functions", fromlist=["col"]).col("text"))).collect()]
     assert got == [len(encoding(TOKENIZER).encode_ordinary(t)) if t else 0 for t in texts]
+
+
+def test_rounding_is_carried_to_the_next_leaf_of_a_source():
+    leaves = [("a", 10, 4, 9), ("a", 10, 8, 5), ("b", 3, 0, 9), ("a", 10, 9, 7)]
+    assert carried(leaves) == [True, False, False, False]
+    rnd = random.Random(4)
+    many = [("s", rest := rnd.randrange(500), rest - rnd.randrange(0, min(rest, 60) + 1), 60) for _ in range(400)]
+    taken = sum(t + (n if m else 0) for (_, _, t, n), m in zip(many, carried(many), strict=True))
+    assert abs(taken - sum(r for _, r, _, _ in many)) <= 30
+
+
+def test_whole_mix_against_an_exact_computation(spark):
+    """Every copy of every record, recomputed record by record from the same seeded order."""
+    from pyspark.sql import functions as F
+
+    rows = make(1200)
+    targets = {"big": (0.3, 1), "mid": (0.45, 2), "small": (0.25, 4)}
+    total = sum(r[4] for r in rows)
+    drawn, report = draw(spark, rows, [(s, *t) for s, t in targets.items()], total=total, seed=5)
+    leaf = {}
+    for r in rows:
+        leaf.setdefault((r[1], r[2], r[3]), []).append((r[0], r[4]))
+    tokens = {p: sum(n for _, n in x) for p, x in leaf.items()}
+    of = {s: sum(t for p, t in tokens.items() if p[2] == s) for s in targets}
+    budget = plan_budgets([(p, targets[p[2]][0] * t / of[p[2]], t, targets[p[2]][1]) for p, t in sorted(tokens.items())], total)
+    assert sum(budget[p] < targets[p[2]][0] * total * tokens[p] / of[p[2]] - 1 for p in budget) >= 2  # two leaves are short
+    hashes = {}
+    for k in range(5):
+        for r in spark.createDataFrame([(r[0],) for r in rows], "i long").select("i", F.xxhash64(F.lit(5), F.lit(k).cast("long"), "i").alias("h")).collect():
+            hashes[k, r.i] = r.h
+    want, owed = {}, {}
+    for p in sorted(leaf):
+        most, s = targets[p[2]][1], p[2]
+        epochs = min(budget[p] // tokens[p], most)
+        rest = budget[p] - epochs * tokens[p] if epochs < most else 0
+        copies = {i: epochs for i, _ in leaf[p]}
+        if rest:
+            order = sorted(leaf[p], key=lambda x: (hashes[epochs, x[0]] % 2**64 >> 48, hashes[epochs, x[0]], x[0]))
+            used = 0
+            while used + order[0][1] <= rest:
+                i, n = order.pop(0)
+                copies[i], used = copies[i] + 1, used + n
+            owed[s] = owed.get(s, 0) + rest - used
+            if 2 * owed[s] > order[0][1]:
+                copies[order[0][0]] += 1
+                owed[s] -= order[0][1]
+        want |= {i: c for i, c in copies.items() if c}
+    assert {r.doc_id: r.copies for r in drawn} == want
+    assert sum(r.tokens for r in report.values()) == sum(n * want.get(i, 0) for x in leaf.values() for i, n in x)
+
+
+def test_real_shares(spark):
+    import os
+
+    from ledgerlake.llm import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    rows = queries.p9_filled_shares(spark, "/root/testdata/sf0.001").collect()
+    short = [r for r in rows if r.tokens and r.planned_share < r.target_share - 1e-6]
+    assert short and all(abs(r.actual_share - r.planned_share) < 0.02 for r in rows)  # some dozens of texts
