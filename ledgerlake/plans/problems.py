@@ -296,12 +296,15 @@ SELECT DISTINCT hk AS pit_link_filing_concept_period_hk, coalesce(kpk, 'none') A
 
 
 def p6_history(spark: SparkSession, d: str) -> DataFrame:
-    """Name versions of every company, loaded in two batches: all but the last tenth of the time
-    span first, then the rest as an update that rebuilds the chains it touches."""
+    """Name versions of every company, loaded in two batches: the second holds the last tenth of the
+    time span and, late, the middle third of a tenth of the companies; it rebuilds the chains it touches."""
     raw = raw_changes(table(spark, d, "sat_company_metadata"), F.col("hub_company_hk"), F.unix_micros("load_datetime"), F.col("entity_name"), X.same_name("entity_name"))
     span = raw.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
-    split = F.lit(0 if span.a is None else span.b - (span.b - span.a) // 10)
-    store = HistoryStore(spark).apply(raw.where(F.col("us") < split)).apply(raw.where(F.col("us") >= split))
+    low, high = (0, 0) if span.a is None else (span.a, span.b)
+    at = [F.lit(low + (high - low) * k // 30) for k in (10, 20, 27)]
+    second = (F.col("us") >= at[2]) | ((F.col("us") >= at[0]) & (F.col("us") < at[1]) & (F.pmod(F.xxhash64("k"), F.lit(10)) == 0))
+    store = HistoryStore(spark).apply(raw.where(~second)).apply(raw.where(second))
+    store.vacuum()
     return store.chains().select(F.col("k").alias("hub_company_hk"), F.col("value").alias("entity_name"), "valid_from_us", F.coalesce("valid_to_us", F.lit(-1).cast("long")).alias("valid_to_us"))
 
 

@@ -7,7 +7,6 @@ functions f).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from ledgerlake.functions import text as X
 from ledgerlake.functions.hashing import hashdiff, key_hash
 from ledgerlake.operators.marts import guarded_growth, latest_complete_year, peer_statistics
 from ledgerlake.operators.vault import asof_expand, collapse, latest_rows
-from ledgerlake.session import shared_dir
+from ledgerlake.session import file_system, scratch
 from ledgerlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +65,7 @@ def _(t):
 
 def s6_partition_pruning(spark: SparkSession, d: str) -> DataFrame:
     """A partitioned Parquet sink and a scan that reads the wanted folders only."""
-    at = f"{shared_dir(spark)}/filings-{uuid.uuid4().hex}"
+    at = f"{scratch(spark, 'filings')}/table"
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("filed_year"), F.col("o_orderstatus").alias("status"))
     o.repartition("filed_year").write.partitionBy("filed_year", "status").parquet(at)
     back = spark.read.schema("o_orderkey long, o_totalprice double, filed_year string, status string").parquet(at)
@@ -83,7 +82,7 @@ def s12_incremental_append(spark: SparkSession, d: str) -> DataFrame:
     from ledgerlake.plans.warehouse import LOAD_TS
 
     rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("cik"), "o_orderdate")
-    at = f"{shared_dir(spark)}/hub-{uuid.uuid4().hex}"
+    at = f"{scratch(spark, 'hub')}/table"
     for batch in (rows.where("o_orderdate < '1998-01-01'"), rows, rows):
         old = spark.read.parquet(at) if batch is not None and _exists(spark, at) else None
         load_hub(batch, old, "cik", "hub_hk", LOAD_TS, "orders").write.mode("append").parquet(at)
@@ -91,8 +90,8 @@ def s12_incremental_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, make = file_system(spark, path)
+    return fs.exists(make(path))
 
 
 QUERIES["s12_incremental_append"] = s12_incremental_append

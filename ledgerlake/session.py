@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,14 @@ def make_session(name: str = "ledgerlake", master: str = "local[*]", **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     )
+    if master.startswith("local["):  # one process: as many partitions as threads; a cluster keeps its own or Spark's default
+        threads = master[6:-1].split(",")[0]
+        builder = builder.config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8) if threads == "*" else threads)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -56,19 +60,39 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local mode) an own folder is made, and it is used for checkpoints from then on.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and
+    everything runs in one process (tests, local mode) an own folder is made, and it is used for
+    checkpoints from then on.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ledgerlake-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        sc.setCheckpointDir(named)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and its path class."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for intermediate tables; removed when the driver ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = file_system(spark, at)
+    fs.mkdirs(path(at))
+    fs.deleteOnExit(path(at))
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage (survives lost executors)."""
     shared_dir(df.sparkSession)
