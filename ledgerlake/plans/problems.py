@@ -12,7 +12,7 @@ from ledgerlake.operators.history import HistoryStore, raw_changes
 from ledgerlake.operators.known_at import DAY_US, known_at
 from ledgerlake.operators.nested import flatten_documents
 from ledgerlake.operators.orphans import orphan_references
-from ledgerlake.operators.profile import column_profile
+from ledgerlake.operators.profile import NUMBER_PROFILE, column_profile
 from ledgerlake.operators.snapshots import snapshot_changes
 from ledgerlake.session import cut, spread
 from ledgerlake.sources.tables import table
@@ -121,7 +121,7 @@ PROFILED = ["revenue", "net_income", "gross_margin", "as_of_date"]
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of every column and load of mart_financial_health."""
-    return _profile(spark, d).withColumn("ks_distance", F.round("ks_distance", 9))
+    return _profile(spark, d).select(*NUMBER_PROFILE).withColumn("ks_distance", F.round("ks_distance", 9))
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
@@ -205,6 +205,60 @@ SELECT base.*, coalesce(vals, 0) AS distinct_values, coalesce(top_rows, 0) AS to
 FROM base LEFT JOIN tops USING (column_name, load_key) LEFT JOIN q USING (column_name, load_key) LEFT JOIN ks USING (column_name, load_key)
 """
 
+#: Tables whose every column is profiled: the text form of their loads, and patterns their texts should match.
+_HASH = "^[0-9A-F]{64}$"
+WHOLE_TABLES = {
+    "mart_financial_health": ("yyyy-MM-dd", {"mart_financial_health_hk": _HASH, "cik": "^[0-9]{10}$"}),
+    "sat_filing_metadata": ("yyyy-MM", {"sat_filing_metadata_hk": _HASH, "hashdiff": _HASH, "hub_filing_hk": _HASH, "accession_number": "^[0-9]{10}-[0-9]{2}-[0-9]{6}$", "form_type": "^[0-9]{1,2}-[A-Z](/A)?$"}),
+}
+_P3_COLUMNS = ["rows", "nulls", "nans", "infinite", "distinct_values", "top_rows", "min_value", "max_value", "q50", "min_text", "max_text", "median_text", "blanks", "min_length", "max_length", "patterns", "top_pattern", "top_pattern_rows", "pattern_violations"]
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every column, text columns included, of two tables: load by load."""
+    out = None
+    for name, (loads, patterns) in WHOLE_TABLES.items():
+        one = column_profile(table(spark, d, name), F.date_format("load_datetime", loads), patterns=patterns)
+        one = one.select(F.lit(name).alias("table_name"), "column_name", "load_key", *_P3_COLUMNS, F.round("ks_distance", 9).alias("ks_distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Kind of each column in the SQL: number, day, time or text.
+_P3_KINDS = {
+    "mart_financial_health": {c: "text" for c in ("mart_financial_health_hk", "cik", "entity_name", "record_source")}
+    | {"as_of_date": "day", "period_end_date": "day", "load_datetime": "time"}
+    | {c: "number" for c in ("fiscal_year", "revenue", "gross_profit", "operating_income", "net_income", "assets", "liabilities", "stockholders_equity", "cash_and_equivalents", "operating_cash_flow", "gross_margin", "operating_margin", "net_margin", "return_on_assets", "return_on_equity", "debt_to_equity", "operating_cf_margin", "cash_to_assets", "is_latest_complete_fy")},
+    "sat_filing_metadata": {c: "text" for c in ("sat_filing_metadata_hk", "hashdiff", "hub_filing_hk", "accession_number", "form_type", "record_source")} | {"filed_date": "day", "load_datetime": "time"},
+}
+
+
+def _p3_cells(name: str) -> str:
+    loads, patterns = WHOLE_TABLES[name]
+    form = {"number": "CAST({c} AS DOUBLE)", "day": "CAST(date_diff('day', DATE '1970-01-01', {c}) AS DOUBLE)", "time": "CAST(epoch_us({c}) AS DOUBLE)", "text": "CASE WHEN {c} IS NOT NULL THEN 0.0 END"}
+    items = ", ".join(f"{{'c': '{c}', 'k': '{k}', 'v': {form[k].format(c=c)}, 't': {c if k == 'text' else 'CAST(NULL AS VARCHAR)'}, 'p': {f"regexp_matches({c}, '{patterns[c]}')" if c in patterns else 'true'}}}" for c, k in _P3_KINDS[name].items())
+    sql = loads.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d")
+    return f"SELECT '{name}' AS table_name, u.c AS column_name, strftime(load_datetime AT TIME ZONE 'UTC', '{sql}') AS load_key, u.k AS kind, u.v AS v, u.t AS t, u.p AS p FROM {name}, unnest([{items}]) AS x(u) WHERE load_datetime IS NOT NULL"
+
+
+P3_COLUMNS_SQL = "WITH cells AS (" + " UNION ALL ".join(map(_p3_cells, WHOLE_TABLES)) + r""" ),
+f AS (SELECT table_name, column_name, load_key, kind, v, coalesce(t, '') AS t, count(*) AS n FROM cells WHERE isfinite(v) GROUP BY 1, 2, 3, 4, 5, 6),
+tot AS (SELECT table_name, column_name, load_key, CAST(sum(n) AS BIGINT) AS total, lag(CAST(sum(n) AS BIGINT)) OVER (PARTITION BY table_name, column_name ORDER BY load_key) AS last_total, lag(load_key) OVER (PARTITION BY table_name, column_name ORDER BY load_key) AS last_key FROM f GROUP BY 1, 2, 3),
+pairing AS (SELECT t.table_name, t.column_name, t.load_key, t.total, t.last_total, f.v, f.t, sum(CASE WHEN f.load_key = t.load_key THEN f.n ELSE 0 END) AS a, sum(CASE WHEN f.load_key = t.last_key THEN f.n ELSE 0 END) AS b
+  FROM tot t JOIN f ON f.table_name = t.table_name AND f.column_name = t.column_name AND f.load_key IN (t.load_key, t.last_key) WHERE t.last_key IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7),
+ks AS (SELECT table_name, column_name, load_key, round(max(abs(ca / total - cb / last_total)), 9) AS ks_distance FROM (SELECT *, CAST(sum(a) OVER w AS DOUBLE) AS ca, CAST(sum(b) OVER w AS DOUBLE) AS cb FROM pairing WINDOW w AS (PARTITION BY table_name, column_name, load_key ORDER BY v, t)) GROUP BY 1, 2, 3),
+q AS (SELECT table_name, column_name, load_key, list_sort(list(v)) AS l, list_sort(list(t)) AS lt, count(*) AS n FROM cells WHERE isfinite(v) GROUP BY 1, 2, 3),
+tops AS (SELECT table_name, column_name, load_key, max(n) AS top_rows, count(*) AS vals FROM (SELECT table_name, column_name, load_key, v, t, count(*) AS n FROM cells WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3),
+shape AS (SELECT table_name, column_name, load_key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\p{Lu}+', 'A', 'g'), '\p{Ll}+', 'a', 'g'), '\p{Nd}+', '9', 'g'), '\s+', ' ', 'g'), '[Aa9]*(?:[Aa]9|9[Aa])[Aa9]*', 'X', 'g') AS pattern, count(*) AS n FROM cells WHERE t IS NOT NULL GROUP BY 1, 2, 3, 4),
+shapes AS (SELECT table_name, column_name, load_key, count(*) AS patterns, (max({'n': n, 'p': pattern})).p AS top_pattern, max(n) AS top_pattern_rows FROM shape GROUP BY 1, 2, 3),
+base AS (SELECT table_name, column_name, load_key, count(*) AS rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(*) FILTER (WHERE isnan(v)) AS nans, count(*) FILTER (WHERE isinf(v)) AS infinite,
+  min(v) FILTER (WHERE isfinite(v) AND kind <> 'text') AS min_value, max(v) FILTER (WHERE isfinite(v) AND kind <> 'text') AS max_value, min(t) AS min_text, max(t) AS max_text, count(*) FILTER (WHERE trim(t) = '') AS blanks,
+  CAST(min(length(t)) AS INTEGER) AS min_length, CAST(max(length(t)) AS INTEGER) AS max_length, count(*) FILTER (WHERE t IS NOT NULL AND NOT p) AS pattern_violations FROM cells GROUP BY 1, 2, 3)
+SELECT base.*, coalesce(vals, 0) AS distinct_values, coalesce(top_rows, 0) AS top_rows, CASE WHEN min_text IS NULL THEN (l[CAST(floor((n - 1) * 0.5) AS BIGINT) + 1] + l[CAST(ceil((n - 1) * 0.5) AS BIGINT) + 1]) / 2 END AS q50,
+  CASE WHEN min_text IS NOT NULL THEN lt[CAST(floor((n - 1) * 0.5) AS BIGINT) + 1] END AS median_text, coalesce(patterns, 0) AS patterns, top_pattern, coalesce(top_pattern_rows, 0) AS top_pattern_rows, ks_distance
+FROM base LEFT JOIN tops USING (table_name, column_name, load_key) LEFT JOIN q USING (table_name, column_name, load_key) LEFT JOIN ks USING (table_name, column_name, load_key) LEFT JOIN shapes USING (table_name, column_name, load_key)
+"""
+
 # --- 4 deeply nested semi-structured records
 
 
@@ -332,6 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_profile": p3_profile,
+    "p3_columns": p3_columns,
     "p4_found": p4_found,
     "p4_documents": p4_documents,
     "p4_tags": p4_tags,
@@ -348,6 +403,7 @@ ORACLE_SQL: dict[str, str] = {
     "p2_found": P2_SQL,
     "p3_found": P3_SQL,
     "p3_profile": P3_PROFILE_SQL,
+    "p3_columns": P3_COLUMNS_SQL,
     "p4_found": P4_SQL,
     "p4_entries": P4_ENTRIES_SQL
     + "SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, unit, entry_no, "

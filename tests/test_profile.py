@@ -42,4 +42,27 @@ def test_empty_table_null_load_and_dates(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', DATE '2020-01-03'), ('a', DATE '2020-01-01'), (NULL, DATE '2020-01-01') AS t(load, d)")
     r = column_profile(df, F.col("load"), ["d"]).first()
     assert (r.rows, r.q50) == (2, 18263.0)
-    assert profile.MAX_PARTITIONS * 100 < 1_000_000
+
+
+def test_any_column_type_and_text(spark, monkeypatch):
+    monkeypatch.setattr(profile, "LONG_TEXT", 20)
+    monkeypatch.setattr(profile, "GRID_CELLS", 1)
+    rnd = random.Random(3)
+    texts = ["AB-12", "ab", "  ", "", "x" * 40, "x" * 40 + "y", "É9", None]
+    rows = [(k, rnd.choice(texts), i % 3 == 0, (1 << 60) + i % 4, [i % 2], b"\x01" if i % 2 else None, {"a": i % 5}) for k in "abc" for i in range(200)]
+    rows += [("b2", None, None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "load string, t string, f boolean, big long, arr array<int>, bin binary, m map<string,int>")
+    out = {(r.column_name, r.load_key): r for r in column_profile(df, F.col("load"), patterns={"t": "^[A-Z]{2}-[0-9]+$"}).collect()}
+    assert {c for c, _ in out} == set(df.columns)
+    for k in "abc":
+        mine = [r[1] for r in rows if r[0] == k and r[1] is not None]
+        r = out["t", k]
+        assert (r.distinct_values, r.nulls, r.min_text, r.q50, r.min_value) == (len(set(mine)), 200 - len(mine), "", None, None)
+        assert r.blanks == sum(not t.strip() for t in mine) and (r.min_length, r.max_length) == (0, 41)
+        assert r.pattern_violations == sum(t != "AB-12" for t in mine) and r.patterns == 6
+        assert r.median_text == sorted(mine)[(len(mine) - 1) // 2][:20]
+        assert (out["big", k].distinct_values, out["f", k].distinct_values, out["arr", k].distinct_values, out["bin", k].nulls, out["m", k].distinct_values) == (4, 2, 2, 100, 5)
+    a, c = ([r[1] for r in rows if r[0] == k and r[1] is not None] for k in "bc")
+    ks = max(abs(sum(x <= t for x in a) / len(a) - sum(x <= t for x in c) / len(c)) for t in set(a + c))
+    r = out["t", "c"]  # the load before has no values at all: the last one with values counts
+    assert r.previous_load == "b2" and abs(r.ks_distance - ks) < 1e-9 and out["t", "b2"].distinct_values == 0
