@@ -37,6 +37,7 @@ def _asof(schema: pa.Schema, event_columns: list[str], carry: list[str], k: str,
         try:
             con.execute("SET threads = 1")
             con.execute("SET memory_limit = '600MB'")
+            con.execute("SET temp_directory = ''")  # nothing spills to the worker's own disk; a bucket is sized to fit
             con.register("events", events)
             con.register("versions", versions)
             return con.sql(sql).to_arrow_table().cast(schema)

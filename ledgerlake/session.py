@@ -111,7 +111,7 @@ def buckets_for(*dfs: DataFrame, target_mb: float = 8.0, rows: int = 0, target_r
     spark = dfs[0].sparkSession
     least = each * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = sum(plan_bytes(d) or 0 for d in dfs)
-    return int(max(least, min(200_000, max(size / (target_mb * 1e6), rows / target_rows))))
+    return int(max(least, size / (target_mb * 1e6), rows / target_rows))
 
 
 def spread(df: DataFrame) -> DataFrame:
