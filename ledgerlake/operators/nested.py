@@ -1,160 +1,229 @@
-"""Nested filing documents turned into related flat tables.
+"""Nested records turned into related flat tables.
 
-Each document is indexed structurally (see ``functions.jsonindex``); taxonomies, tags, units and
-entries are spans between marks of one nesting depth. All rows carry the links to their parents
-(document, taxonomy, tag, unit) and their place, so the tables join back without loss.
+Each document is indexed structurally (see ``functions.jsonindex``); nodes are spans between marks
+of one nesting depth. A table is given by the path to its nodes: member names, ``*`` for every member
+(its name becomes a column) and ``[]`` for every object of an array (its place becomes a column; an
+object in place of the array counts as an array of one). All rows carry the links to their document
+and the names and places on their path, so the tables join back without loss.
 
-Scale: one pass over the documents, no shuffle, memory bound by one Arrow batch; each document
-is read once for whichever table is wanted.
+Scale: one pass over the documents and no shuffle of its own; each document is indexed once, for
+whichever table is wanted. Memory is bound by one Arrow batch (64 MB of text and one document), the
+index of one document and ``FRAME_ROWS`` rows of output beside that document's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.jsonindex import StructuralIndex, is_valid
+from ledgerlake.functions.jsonindex import StructuralIndex
 
 _OBJECT, _ARRAY = ord("{"), ord("[")
 ENTRY_FIELDS = ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame")
+#: Rows of a frame handed to Spark, but for a single document that has more.
+FRAME_ROWS = 50_000
 
-DOCUMENT_SCHEMA = "doc_key string, cik string, extract_date string, is_valid boolean, entity_name string, document_cik string, n_taxonomies int"
-TAG_SCHEMA = "doc_key string, cik string, extract_date string, taxonomy string, concept_name string, label string, description string, n_units int"
-ENTRY_SCHEMA = "doc_key string, cik string, extract_date string, taxonomy string, concept_name string, unit string, entry_no int, " + ", ".join(f"`{f}` string" for f in ENTRY_FIELDS)
 
+@dataclass(frozen=True)
+class Table:
+    """One flat table: the objects at the end of ``path``.
 
-class DocumentRows:
-    """Documents, tags and entries of one valid document."""
+    ``path`` is of (step, column) pairs; column None keeps no column (member names need none).
+    ``fields`` maps a column to the member whose scalar it takes (text as written; objects and
+    arrays give NULL), ``counts`` a column to the member whose own members or elements it counts, and
+    whether only objects among them.
+    """
+
+    path: tuple[tuple[str, str | None], ...]
+    fields: dict[str, str] = field(default_factory=dict)
+    counts: dict[str, tuple[str, bool]] = field(default_factory=dict)
+
+    def columns(self) -> list[tuple[str, str]]:
+        keys = [(c, "int" if step == "[]" else "string") for step, c in self.path if c]
+        return keys + [(c, "string") for c in self.fields] + [(c, "int") for c in self.counts]
+
+
+_TAXONOMY = (("facts", None), ("*", "taxonomy"))
+_TAG = (*_TAXONOMY, ("*", "concept_name"))
+#: The tables of a filing document.
+FILING_TABLES = {
+    "documents": Table((), {"entity_name": "entityName", "document_cik": "cik"}, {"n_taxonomies": ("facts", True)}),
+    "tags": Table(_TAG, {"label": "label", "description": "description"}, {"n_units": ("units", False)}),
+    "entries": Table((*_TAG, ("units", None), ("*", "unit"), ("[]", "entry_no")), {f: f for f in ENTRY_FIELDS}),
+}
+
+
+@dataclass
+class _Nodes:
+    """Objects and arrays of one depth, in order of place, with the columns gathered on the way to them."""
+
+    level: int
+    start: np.ndarray
+    end: np.ndarray
+    keys: list[list]
+
+    def only(self, keep: np.ndarray, first: np.ndarray, kind: int) -> _Nodes:
+        at = np.flatnonzero(keep & (first == kind))
+        return _Nodes(self.level, self.start[at], self.end[at], [[k[i] for i in at] for k in self.keys])
+
+
+def rows_of(ix: StructuralIndex, table: Table, wanted: tuple[str, ...] | None = None) -> list[list]:
+    """Columns of a table's rows in one valid document; of ``fields`` only ``wanted`` are read."""
+    root = ix.tokens[:1]
+    nodes = [_Nodes(0, root, np.array([ix.bytes.size]), [])]
+    for step, column in table.path:
+        nodes = [n for group in nodes for n in _down(ix, group, step, bool(column)) if n.start.size]
+    nodes = [n.only(np.ones(n.start.size, dtype=bool), ix.bytes[n.start], _OBJECT) for n in nodes]
+    out: list[list] = [[] for _ in table.columns()]
+    for n in nodes:
+        if n.start.size:
+            for have, more in zip(out, _read(ix, n, table, wanted), strict=True):
+                have.extend(more)
+    return out
+
+
+def _down(ix: StructuralIndex, n: _Nodes, step: str, named: bool) -> list[_Nodes]:
+    first = ix.bytes[n.start]
+    every = np.ones(n.start.size, dtype=bool)
+    objects = n.only(every, first, _OBJECT)
+    if step == "[]":
+        arrays = n.only(every, first, _ARRAY)
+        out = []
+        if arrays.start.size:
+            start, end, owner, place = ix.elements(n.level + 1, (arrays.start, arrays.end))
+            keys = [[k[i] for i in owner] for k in arrays.keys]
+            out.append(_Nodes(n.level + 1, start, end, [*keys, place.tolist()] if named else keys))
+        objects.keys = [*objects.keys, [0] * objects.start.size] if named else objects.keys
+        return [*out, objects]
+    if not objects.start.size:
+        return []
+    m, owner = ix.members(n.level + 1, (objects.start, objects.end))
+    if step == "*":
+        m, owner, names = ix.last_of_name(m, owner)
+    else:
+        m, owner = _last(*_pick(m, owner, ix.which(m, (step,)) == 0))
+        names = []
+    keep = np.flatnonzero((m.first == _OBJECT) | (m.first == _ARRAY))
+    keys = [[k[i] for i in owner[keep]] for k in objects.keys]
+    return [_Nodes(n.level + 1, m.open[keep], m.end[keep], [*keys, [names[i] for i in keep]] if named and step == "*" else keys)]
+
+
+def _pick(m, owner: np.ndarray, keep: np.ndarray):
+    at = np.flatnonzero(keep)
+    return m.pick(at), owner[at]
+
+
+def _last(m, owner: np.ndarray):
+    """Of members of one name the last of each owner."""
+    return _pick(m, owner, np.r_[owner[1:] != owner[:-1], True]) if owner.size else (m, owner)
+
+
+def _read(ix: StructuralIndex, n: _Nodes, table: Table, wanted: tuple[str, ...] | None) -> list[list]:
+    """Columns of the rows of one group of objects."""
+    size = n.start.size
+    names = tuple(dict.fromkeys(v for c, v in table.fields.items() if wanted is None or c in wanted)) + tuple(dict.fromkeys(v for v, _ in table.counts.values()))
+    values: dict[str, list] = {v: [None] * size for v in names}
+    m, owner = ix.members(n.level + 1, (n.start, n.end))
+    which = ix.which(m, names)
+    counted = {v for v, _ in table.counts.values()}
+    for i in np.flatnonzero(which >= 0).tolist():  # in order of place: of repeated names the last counts
+        name = names[which[i]]
+        nested = m.first[i] == _OBJECT or m.first[i] == _ARRAY
+        values[name][owner[i]] = (int(m.open[i]), int(m.end[i])) if name in counted else None if nested else ix.scalar(int(m.open[i]), int(m.end[i]))
+    fields = [values[v] if wanted is None or c in wanted else [None] * size for c, v in table.fields.items()]
+    counts = [_counts(ix, n.level + 1, values[v], objects) for v, objects in table.counts.values()]
+    return [*n.keys, *fields, *counts]
+
+
+def _counts(ix: StructuralIndex, level: int, spans: list, objects: bool) -> list[int]:
+    out = [0] * len(spans)
+    held = [i for i, s in enumerate(spans) if s is not None]
+    for kind in (_OBJECT, _ARRAY):
+        own = [i for i in held if ix.bytes[spans[i][0]] == kind]
+        if not own:
+            continue
+        box = (np.array([spans[i][0] for i in own]), np.array([spans[i][1] for i in own]))
+        if kind == _ARRAY:
+            owner = ix.elements(level + 1, box)[2]
+        else:
+            m, owner = ix.members(level + 1, box)
+            m, owner, _ = ix.last_of_name(m, owner)
+            owner = owner[m.first == _OBJECT] if objects else owner
+        for k, c in zip(*np.unique(owner, return_counts=True), strict=True):
+            out[own[int(k)]] = int(c)
+    return out
+
+
+def _flatten(table: Table, keys: list[str], invalid: bool, wanted: tuple[str, ...] | None):
+    names = [*keys, *(["is_valid"] if invalid else []), *[c for c, _ in table.columns()]]
+    whole = [c for c, kind in table.columns() if kind == "int"]
+
+    def frame(held: list[list]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(h, dtype="Int64" if c in whole else object) for c, h in zip(names, held, strict=True)})
 
-    def __init__(self, text: str, fields: tuple[str, ...] = ENTRY_FIELDS):
-        self.fields = fields
-        self.ix = ix = StructuralIndex(text.encode("utf-8", "replace"))
-        self.cover: dict[str, str | None] = {}
-        self.tags: list[list] = []
-        self.entries: list[list] = []
-        self.n_taxonomies = 0
-        start = ix.next_solid[0]
-        if ix.bytes[start] != _OBJECT:
-            return
-        top, owner, names = ix.last_of_name(*ix.members(1))
-        for i, n in enumerate(names):
-            if n in ("cik", "entityName") and top.first[i] not in (_OBJECT, _ARRAY):
-                self.cover[n] = ix.scalar(int(top.open[i]), int(top.end[i]))
-        facts = [i for i, n in enumerate(names) if n == "facts" and top.first[i] == _OBJECT]
-        if not facts:
-            return
-        taxonomies = self._objects(2, top.open[facts], top.end[facts])
-        self.n_taxonomies = len(taxonomies[2])
-        self._read_tags(taxonomies)
-
-    def _objects(self, level: int, starts: np.ndarray, ends: np.ndarray):
-        """Members of the objects in the spans whose value is an object itself."""
-        ix = self.ix
-        m, owner, names = ix.last_of_name(*ix.members(level, (starts, ends)))
-        return ix.only(m, owner, names, m.first == _OBJECT)
-
-    def _read_tags(self, taxonomies) -> None:
-        ix = self.ix
-        tax, _, tax_names = taxonomies
-        if not tax_names:
-            return
-        tag, tag_owner, tag_names = self._objects(3, tax.open, tax.end)
-        self.tags = [[tax_names[o], n, None, None, 0] for o, n in zip(tag_owner, tag_names, strict=True)]
-        if not tag_names:
-            return
-        part, part_owner, part_names = ix.last_of_name(*ix.members(4, (tag.open, tag.end)))
-        units = []
-        for i, (o, n) in enumerate(zip(part_owner, part_names, strict=True)):
-            if n == "units" and part.first[i] == _OBJECT:
-                units.append(i)
-            elif n in ("label", "description") and part.first[i] not in (_OBJECT, _ARRAY):
-                self.tags[o][2 if n == "label" else 3] = ix.scalar(int(part.open[i]), int(part.end[i]))
-        if not units:
-            return
-        unit, unit_owner, unit_names = ix.last_of_name(*ix.members(5, (part.open[units], part.end[units])))
-        above = part_owner[units]
-        for o in unit_owner:
-            self.tags[above[o]][4] += 1
-        unit, unit_owner, unit_names = ix.only(unit, unit_owner, unit_names, (unit.first == _ARRAY) | (unit.first == _OBJECT))
-        self._read_entries(unit, above[unit_owner], unit_names)
-
-    def _read_entries(self, unit, tag_of: np.ndarray, unit_names: list[str]) -> None:
-        ix = self.ix
-        for level, first in ((7, _ARRAY), (6, _OBJECT)):
-            own = np.flatnonzero(unit.first == first)
-            if not own.size:
-                continue
-            starts, ends = unit.open[own], unit.end[own]
-            opens = ix.pos[(ix.level == level) & (ix.kind == 1)]
-            opens = opens[ix.bytes[opens] == _OBJECT]
-            o = np.searchsorted(starts, opens, side="right") - 1
-            keep = o >= 0
-            keep[keep] = opens[keep] < ends[o[keep]]
-            opens, o = opens[keep], o[keep]
-            if not opens.size:
-                continue
-            if first == _ARRAY:  # the place in the array is the number of its commas passed
-                commas = ix.pos[(ix.level == 6) & (ix.kind == 2)]
-                place = np.searchsorted(commas, opens) - np.searchsorted(commas, starts[o])
-            else:
-                place = np.zeros(opens.size, dtype=np.int64)
-            closes = ix.pos[(ix.level == level) & (ix.kind == -1)]
-            shut = closes[np.searchsorted(closes, opens)] + 1
-            base = len(self.entries)
-            self.entries += [[*self.tags[tag_of[own[k]]][:2], unit_names[own[k]], int(n), {}] for k, n in zip(o, place, strict=True)]
-            m, owner = ix.members(level, (opens, shut))
-            field = ix.which(m, self.fields)
-            for i in np.flatnonzero(field >= 0).tolist():
-                values, name = self.entries[base + owner[i]][4], self.fields[field[i]]
-                if m.first[i] in (_OBJECT, _ARRAY):
-                    values.pop(name, None)  # of repeated names the last counts
-                else:
-                    values[name] = ix.scalar(int(m.open[i]), int(m.end[i]))
-
-
-def _rows(kind: str, fields: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list] = [[] for _ in names]
         for pdf in batches:
-            out: list[tuple] = []
-            for key, cik, date, text in zip(pdf["doc_key"], pdf["cik"], pdf["extract_date"], pdf["json_text"], strict=True):
-                valid = isinstance(text, str) and is_valid(text)
-                if kind == "documents":
-                    d = DocumentRows(text) if valid else None
-                    out.append((key, cik, date, valid, d and d.cover.get("entityName"), d and d.cover.get("cik"), d.n_taxonomies if d else 0))
-                elif valid:
-                    d = DocumentRows(text, fields)
-                    if kind == "tags":
-                        out += [(key, cik, date, *t) for t in d.tags]
-                    else:
-                        out += [(key, cik, date, *e[:4], *map(e[4].get, ENTRY_FIELDS)) for e in d.entries]
-            names = [c.split()[0].strip("`") for c in _SCHEMAS[kind].split(", ")]
-            yield pd.DataFrame(out, columns=names)
+            for *own, text in zip(*[pdf[k] for k in keys], pdf["text"], strict=True):
+                ix = StructuralIndex(text.encode("utf-8", "replace")) if isinstance(text, str) else None
+                valid = ix is not None and ix.valid
+                rows = rows_of(ix, table, wanted) if valid else [[] for _ in table.columns()]
+                n = len(rows[0]) if rows else 0
+                if invalid and not n:  # a document without any object is a row of its own
+                    n, rows = 1, [[0 if c in whole else None] for c, _ in table.columns()]
+                for have, more in zip(held, [*[[k] * n for k in own], *([[valid] * n] if invalid else []), *rows], strict=True):
+                    have.extend(more)
+                if len(held[0]) >= FRAME_ROWS:
+                    yield frame(held)
+                    held = [[] for _ in names]
+        yield frame(held)
 
     return run
 
 
-_SCHEMAS = {"documents": DOCUMENT_SCHEMA, "tags": TAG_SCHEMA, "entries": ENTRY_SCHEMA}
+def flatten_nested(df: DataFrame, table: Table, text: str, keys: list[str], invalid: bool = False, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """One flat table of nested documents, with the columns ``keys`` of each document's row.
+
+    Only text that is one valid JSON value gives rows; with ``invalid`` every other document gives one
+    row too, and ``is_valid`` tells which. Missing levels and levels of another type give no rows.
+    Where an object repeats a name its last member counts. NULL and non-object elements take a place
+    but give no row. Values are text as written; JSON null and absent fields are NULL. Of the
+    table's fields only ``wanted`` are read, the others' columns are NULL.
+    """
+    kinds = dict(df.dtypes)
+    schema = [f"`{k}` {kinds[k]}" for k in keys] + (["is_valid boolean"] if invalid else []) + [f"`{c}` {t}" for c, t in table.columns()]
+    return df.select(*keys, F.col(text).alias("text")).mapInPandas(_flatten(table, keys, invalid, wanted), ", ".join(schema))
 
 
 def flatten_documents(df: DataFrame, kind: str, text: str = "json_text", cik: Column | None = None, extract_date: Column | None = None, fields: tuple[str, ...] = ENTRY_FIELDS) -> DataFrame:
-    """One of the flat tables of nested documents: ``documents``, ``tags`` or ``entries``.
+    """One of the flat tables of filing documents: ``documents``, ``tags`` or ``entries``.
 
     ``doc_key`` is a hash of company, date and text and links the three tables; a repeated
-    delivery of the same text has the same key. Only text that is one valid JSON value gives tags
-    and entries (NULL, empty, cut-off or otherwise broken text gives a document row with
-    ``is_valid`` false). Missing levels and levels of another type give no rows. Where an object
-    repeats a name its last member counts. An object in place of an array of entries counts as
-    an array of one; NULL and non-object elements take a place but give no row. Values are text
-    as written; JSON null and absent fields are NULL. Only ``fields`` of the entries are read, the
-    others' columns are NULL.
+    delivery of the same text has the same key. NULL, empty, cut-off or otherwise broken text gives a
+    document row with ``is_valid`` false and nothing else; see ``flatten_nested`` for the rest. Only
+    ``fields`` of the entries are read, the others' columns are NULL.
     """
     one = df.select(
         (cik if cik is not None else F.col("cik")).alias("cik"),
         (extract_date if extract_date is not None else F.col("extract_date")).alias("extract_date"),
         F.col(text).alias("json_text"),
     ).select(F.sha2(F.concat_ws("|", "cik", "extract_date", "json_text"), 256).alias("doc_key"), "*")
-    return one.mapInPandas(_rows(kind, fields), _SCHEMAS[kind])
+    return flatten_nested(one, FILING_TABLES[kind], "json_text", ["doc_key", "cik", "extract_date"], kind == "documents", fields if kind == "entries" else None)
+
+
+class DocumentRows:
+    """Documents, tags and entries of one valid filing document, for use outside Spark."""
+
+    def __init__(self, text: str, fields: tuple[str, ...] = ENTRY_FIELDS):
+        ix = StructuralIndex(text.encode("utf-8", "replace"))
+        cover = [c[0] if c else None for c in rows_of(ix, FILING_TABLES["documents"])]
+        self.cover = {k: v for k, v in zip(("entityName", "cik"), cover, strict=False) if v is not None}
+        self.n_taxonomies = cover[2] or 0
+        self.tags = list(map(list, zip(*rows_of(ix, FILING_TABLES["tags"]), strict=True)))
+        columns = rows_of(ix, FILING_TABLES["entries"], fields)
+        self.entries = [[*r[:4], {f: v for f, v in zip(ENTRY_FIELDS, r[4:], strict=True) if v is not None}] for r in zip(*columns, strict=True)]

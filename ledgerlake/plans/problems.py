@@ -301,6 +301,21 @@ SELECT DISTINCT cik, extract_date, taxonomy, concept_name, unit, entry_no, coale
 
 P4_ENTRIES_SQL = P4_SQL[: P4_SQL.index("SELECT DISTINCT")].replace("AS cik, extract_date, CAST", "AS cik, extract_date, sha256(concat_ws('|', lpad(ltrim(regexp_extract(cik, '(\\d+)', 1), '0'), 10, '0'), extract_date, json_text)) AS doc_key, CAST").replace("SELECT cik, extract_date", "SELECT doc_key, cik, extract_date")
 
+_P4_DOC = r"SELECT lpad(ltrim(regexp_extract(cik, '(\d+)', 1), '0'), 10, '0') AS cik, extract_date, sha256(concat_ws('|', lpad(ltrim(regexp_extract(cik, '(\d+)', 1), '0'), 10, '0'), extract_date, json_text)) AS doc_key, coalesce(json_valid(json_text), false) AS is_valid, CASE WHEN json_valid(json_text) THEN CAST(json_text AS JSON) END AS j FROM sec_edgar_companyfacts_raw"
+_P4_TEXT = "CASE WHEN json_type({j}, '$.{f}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string({j}, '$.{f}') END AS {n}"
+P4_DOCUMENTS_SQL = f"""
+WITH doc AS ({_P4_DOC}),
+tax AS (SELECT doc_key, count(DISTINCT t.key) AS n FROM doc, json_each(j, '$.facts') t WHERE json_type(j, '$.facts') = 'OBJECT' AND json_type(t.value) = 'OBJECT' GROUP BY 1)
+SELECT DISTINCT doc.doc_key, cik, extract_date, is_valid, {_P4_TEXT.format(j='j', f='entityName', n='entity_name')}, {_P4_TEXT.format(j='j', f='cik', n='document_cik')}, CAST(coalesce(tax.n, 0) AS INTEGER) AS n_taxonomies
+FROM doc LEFT JOIN tax ON doc.doc_key = tax.doc_key
+"""
+P4_TAGS_SQL = f"""
+WITH doc AS ({_P4_DOC}),
+tax AS (SELECT doc_key, cik, extract_date, t.key AS taxonomy, t.value AS v FROM doc, json_each(j, '$.facts') t WHERE json_type(j, '$.facts') = 'OBJECT'),
+tag AS (SELECT doc_key, cik, extract_date, taxonomy, t.key AS concept_name, t.value AS g FROM tax, json_each(v) t WHERE json_type(v) = 'OBJECT' AND json_type(t.value) = 'OBJECT')
+SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, {_P4_TEXT.format(j='g', f='label', n='label')}, {_P4_TEXT.format(j='g', f='description', n='description')}, CASE WHEN json_type(g, '$.units') = 'OBJECT' THEN CAST(len(json_keys(g, '$.units')) AS INTEGER) ELSE 0 END AS n_units FROM tag
+"""
+
 # --- 5 attributes as known at event time
 
 
@@ -405,6 +420,8 @@ ORACLE_SQL: dict[str, str] = {
     "p3_profile": P3_PROFILE_SQL,
     "p3_columns": P3_COLUMNS_SQL,
     "p4_found": P4_SQL,
+    "p4_documents": P4_DOCUMENTS_SQL,
+    "p4_tags": P4_TAGS_SQL,
     "p4_entries": P4_ENTRIES_SQL
     + "SELECT DISTINCT doc_key, cik, extract_date, taxonomy, concept_name, unit, entry_no, "
     + ", ".join(f"json_extract_string(e, '$.{f}') AS \"{f}\"" for f in ("start", "end", "accn", "fy", "fp", "form", "filed", "frame"))

@@ -51,7 +51,7 @@ def test_values_escapes_and_repeated_names():
     assert d.cover == {"cik": "12", "entityName": "N"}
     assert d.entries == [["t", "A", "EUR", 0, {"accn": "z"}]]  # the last of two members A
     one = text.replace(',"A":{"units":{"EUR":{"accn":"z"}}}', "")
-    assert DocumentRows(one).entries == [["t", "A", "USD", 1, {"accn": "1", "val": "1.50", "fp": None}], ["t", "A", "USD", 3, {"val": "aé"}]]
+    assert DocumentRows(one).entries == [["t", "A", "USD", 1, {"accn": "1", "val": "1.50"}], ["t", "A", "USD", 3, {"val": "aé"}]]
     assert DocumentRows(one).tags == [["t", "A", 'say "x": [1,{', None, 1]]
 
 
@@ -76,11 +76,66 @@ def test_a_very_long_document():
     assert len(DocumentRows(text).entries) == 20_000
 
 
+def by_parser(text):
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=refuse)
+    except ValueError:
+        return False
+    return True
+
+
+@given(st.text(alphabet='{}[]:,"\\ \n0123e-+.ntfalsru\x01é', max_size=14))
+@settings(max_examples=3000, deadline=None)
+def test_validity_is_the_parsers(text):
+    assert is_valid(text) == by_parser(text)
+
+
+@given(document, st.data())
+@settings(max_examples=400, deadline=None)
+def test_validity_of_damaged_documents(doc, data):
+    text = json.dumps(doc)
+    at = data.draw(st.integers(0, len(text)))
+    text = text[:at] + data.draw(st.sampled_from(["", ",", "]", "}", '"', "\\", ":", "1", "[", "null "])) + text[at + data.draw(st.integers(0, 2)) :]
+    assert is_valid(text) == by_parser(text)
+
+
+def test_another_shape_of_document(spark):
+    from ledgerlake.operators.nested import Table, flatten_nested
+
+    shop = {"orders": [{"id": 7, "lines": [{"sku": "a", "tags": {"x": {"w": 1}, "y": {"w": 2}}}, None, {"sku": "b"}]}, {"id": 8, "lines": {"sku": "c", "tags": {"z": {"w": None}}}}, 5]}
+    df = spark.createDataFrame([(1, json.dumps(shop)), (2, "[]"), (3, "{"), (4, None)], "n int, body string")
+    orders = Table((("orders", None), ("[]", "order_no")), {"id": "id"}, {"n_lines": ("lines", False)})
+    lines = Table((*orders.path, ("lines", None), ("[]", "line_no")), {"sku": "sku"})
+    tags = Table((*lines.path, ("tags", None), ("*", "tag")), {"weight": "w"})
+    rows = lambda t: sorted(map(tuple, flatten_nested(df, t, "body", ["n"]).collect()), key=repr)
+    assert rows(orders) == [(1, 0, "7", 2), (1, 1, "8", 2)]
+    assert rows(lines) == [(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 0, "c")]
+    assert rows(tags) == [(1, 0, 0, "x", "1"), (1, 0, 0, "y", "2"), (1, 1, 0, "z", None)]
+
+
+def test_memory_of_long_documents_is_flat():
+    import resource
+
+    from ledgerlake.operators.nested import FILING_TABLES, _flatten
+
+    text = json.dumps({"facts": {"t": {f"T{i}": {"units": {"USD": [{"accn": f"{j:020d}", "val": j, "end": "2020-01-01"} for j in range(50)]}} for i in range(1200)}}})
+    assert len(text) > 3_700_000
+    import pandas as pd
+
+    run = _flatten(FILING_TABLES["entries"], ["k"], False, None)
+    rows, seen = 0, []
+    for frame in run(pd.DataFrame({"k": ["a"], "text": [text]}) for _ in range(12)):
+        rows += len(frame)
+        seen.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+    assert rows == 12 * 60_000 and seen[-1] - seen[1] < 60_000, seen  # KB
+
+
 def test_long_numbers_and_deep_brackets_are_json():
     import random
 
-    from ledgerlake.functions.jsonindex import _is_valid_deep
-
     deep = "[" * 100_000 + "]" * 100_000
     body = '"units":{"USD":[{"accn":"a1","val":%s}]}'
     for value in ("9" * 5_000, deep, '{"a":' * 50_000 + "1" + "}" * 50_000):
@@ -97,5 +152,5 @@ def test_long_numbers_and_deep_brackets_are_json():
             i = rnd.randrange(len(t))
             t[i] = rnd.choice(["", rnd.choice('{}[],:"\\0e-. \x01\n'), t[i] * 2])
         t = "".join(t)
-        assert _is_valid_deep(t) == is_valid(t), t
-    assert not any(map(_is_valid_deep, ("", " ", "01", "NaN", "-", "1 2", "{,}", "[1 2]", '{"a"}', "\ufeff1")))
+        assert is_valid(t) == by_parser(t), t
+    assert not any(map(is_valid, ("", " ", "01", "NaN", "-", "1 2", "{,}", "[1 2]", '{"a"}', "\ufeff1")))
