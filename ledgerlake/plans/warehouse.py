@@ -138,23 +138,32 @@ class Build:
         return latest_rows(self.sat_filing_metadata.select("hub_filing_hk", "load_datetime", "filed_date"), ["hub_filing_hk"]).select("hub_filing_hk", "filed_date")
 
     @cached_property
-    def visible(self) -> DataFrame:
-        rows = self.link_filing_concept_period.join(self.filed, "hub_filing_hk")
-        return asof_expand(rows, AS_OF_DATES, "filed_date")
+    def dated(self) -> DataFrame:
+        """Each link with its filing date: one row per link, no as-of dates yet."""
+        return self.link_filing_concept_period.drop("load_datetime", "record_source").join(self.filed, "hub_filing_hk").where("filed_date IS NOT NULL")
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        """The dated links with their company-filing link."""
+        return self.dated.join(self.link_company_filing.select("link_company_filing_hk", "hub_company_hk", "hub_filing_hk"), ["hub_company_hk", "hub_filing_hk"])
+
+    @cached_property
+    def current_values(self) -> DataFrame:
+        """The value now in force per link."""
+        values = latest_rows(self.sat_concept_value.select("link_filing_concept_period_hk", "load_datetime", "sat_concept_value_hk", "value", "unit"), ["link_filing_concept_period_hk"])
+        return values.withColumnsRenamed({"sat_concept_value_hk": "sat_concept_value_pk", "load_datetime": "sat_concept_value_ldts"})
 
     @cached_property
     def pit(self) -> DataFrame:
         """Each link at each date it was visible, with the coordinates of its value."""
-        values = latest_rows(self.sat_concept_value.select("link_filing_concept_period_hk", "load_datetime", "sat_concept_value_hk"), ["link_filing_concept_period_hk"])
-        values = values.select("link_filing_concept_period_hk", F.col("sat_concept_value_hk").alias("sat_concept_value_pk"), F.col("load_datetime").alias("sat_concept_value_ldts"))
-        rows = self.visible.select("link_filing_concept_period_hk", "as_of_date").join(values, "link_filing_concept_period_hk", "left")
+        links = self.dated.select("link_filing_concept_period_hk", "filed_date").join(self.current_values, "link_filing_concept_period_hk", "left")
+        rows = asof_expand(links, AS_OF_DATES, "filed_date")
         return rows.select(key_hash("link_filing_concept_period_hk", "as_of_date").alias("pit_link_filing_concept_period_hk"), "link_filing_concept_period_hk", "as_of_date", "sat_concept_value_pk", "sat_concept_value_ldts")
 
     @cached_property
     def bridge(self) -> DataFrame:
         """The walk company - filing - concept at each date."""
-        pair = self.link_company_filing.select("link_company_filing_hk", "hub_company_hk", "hub_filing_hk")
-        rows = self.visible.join(pair, ["hub_company_hk", "hub_filing_hk"])
+        rows = asof_expand(self.paired, AS_OF_DATES, "filed_date")
         return rows.select(
             key_hash("hub_company_hk", "link_company_filing_hk", "link_filing_concept_period_hk", "as_of_date").alias("bridge_company_concept_period_hk"),
             "hub_company_hk", "hub_filing_hk", "hub_concept_hk", "link_company_filing_hk", "link_filing_concept_period_hk", "period_end_date", "fiscal_year", "fiscal_period", "as_of_date",
@@ -163,19 +172,15 @@ class Build:
     @cached_property
     def panel(self) -> DataFrame:
         """Annual figures per company, date, year and concept; the year is that of the period's end."""
-        b = self.bridge.where("fiscal_period = 'FY' OR fiscal_period IS NULL").select("link_filing_concept_period_hk", "as_of_date", "hub_company_hk")
-        p = self.pit.where("sat_concept_value_pk IS NOT NULL").select("link_filing_concept_period_hk", "as_of_date", F.col("sat_concept_value_ldts").alias("load_datetime"))
-        s = self.sat_concept_value.select("link_filing_concept_period_hk", "load_datetime", "accession_number", "canonical_concept", "period_start_date", "period_end_date", F.col("value").alias("value_numeric"), "unit")
+        return cut(self.panel_rows())
+
+    def panel_rows(self) -> DataFrame:
+        """The panel as a plan: everything is joined at the grain of links, which are expanded to dates last."""
         annual = F.col("canonical_concept").isin(*M.POINT_IN_TIME) | M.annual_span()
-        names = self.hub_company.select("hub_company_hk", "cik").join(self.current_names.select("hub_company_hk", "entity_name"), "hub_company_hk")
-        rows = (
-            b.join(p, ["link_filing_concept_period_hk", "as_of_date"]).join(s, ["link_filing_concept_period_hk", "load_datetime"])
-            .where(F.col("canonical_concept").isin(*PANEL_CONCEPTS) & annual)
-            .withColumn("fiscal_year", F.year("period_end_date"))
-            .join(names, "hub_company_hk")
-            .select("cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "accession_number", "period_end_date", "period_start_date", "value_numeric", "unit")
-        )
-        return cut(rows)
+        names = self.hub_company.select("hub_company_hk").join(self.current_names.select("hub_company_hk", "entity_name"), "hub_company_hk")
+        links = self.paired.where("fiscal_period = 'FY' OR fiscal_period IS NULL").where(F.col("canonical_concept").isin(*PANEL_CONCEPTS) & annual)
+        rows = links.withColumn("fiscal_year", F.year("period_end_date")).join(self.current_values, "link_filing_concept_period_hk").join(names, "hub_company_hk")
+        return asof_expand(rows, AS_OF_DATES, "filed_date").select("cik", "entity_name", "as_of_date", "fiscal_year", "canonical_concept", "accession_number", "period_end_date", "period_start_date", F.col("value").alias("value_numeric"), "unit")
 
     def deduped(self, *concepts: str, spanned: bool = False) -> DataFrame:
         rows = self.panel.where(F.col("canonical_concept").isin(*concepts))
@@ -204,7 +209,7 @@ class Build:
 
     @cached_property
     def peer_benchmark(self) -> DataFrame:
-        rows = self.deduped("revenue", "net_income", "assets").join(F.broadcast(self.sectors), "cik", "left")
+        rows = self.deduped("revenue", "net_income", "assets").join(self.sectors, "cik", "left")
         rows = rows.withColumns({c: F.coalesce(c, F.lit("UNCATEGORIZED")) for c in ("gics_sector", "gics_industry_group")})
         p = M.peer_statistics(rows, ["as_of_date", "fiscal_year", "canonical_concept", "gics_sector"], "value_numeric")
         return p.select(
@@ -348,7 +353,7 @@ def d12_as_of_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d13_pit(spark: SparkSession, d: str) -> DataFrame:
-    return Build(spark, d).pit.drop("sat_concept_value_ldts")
+    return Build(spark, d).pit.withColumn("sat_concept_value_ldts", ts_text("sat_concept_value_ldts"))
 
 
 def d18_growth_forecast(spark: SparkSession, d: str) -> DataFrame:
@@ -373,6 +378,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(attr)
 
 ORACLE_SQL: dict[str, str] = {n: CHAIN_SQL + f"SELECT * FROM {cte}" for n, (_, cte) in _TABLES.items()} | {
     "d12_dim_as_of_dates": CHAIN_SQL + "SELECT as_of_date, CAST(year(as_of_date) AS INTEGER) AS as_of_year FROM dates",
-    "d13_pit_link_filing_concept_period": CHAIN_SQL + "SELECT * FROM pit",
+    "d13_pit_link_filing_concept_period": CHAIN_SQL + "SELECT pit.*, s.load_datetime AS sat_concept_value_ldts FROM pit LEFT JOIN sat_value s ON s.sat_concept_value_hk = pit.sat_concept_value_pk",
     "d18_growth_history": CHAIN_SQL + "SELECT upper(sha256(cik || '||' || canonical_concept || '||' || fiscal_year::VARCHAR || '||' || as_of_date::VARCHAR || '||historical')) AS mart_growth_forecast_hk, cik, entity_name, as_of_date, fiscal_year, canonical_concept, value_numeric, 'historical' AS row_kind FROM pl_trend WHERE canonical_concept = 'revenue'",
 }

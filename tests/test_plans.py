@@ -49,3 +49,19 @@ def test_aggregations_combine_before_the_shuffle(spark):
 def test_visibility_is_no_join(spark):
     text = plan(relational.QUERIES["pred08_visibility"](spark, DATA))
     assert "Join" not in text and "Exchange" not in text and "Generate explode" in text
+
+
+def test_dates_are_expanded_last(spark):
+    from ledgerlake.plans.warehouse import Build
+
+    build = Build(spark, DATA)
+    for df in (build.panel_rows(), build.pit, build.bridge):
+        text = plan(df)
+        above = text[: text.index("Generate explode")]
+        assert "Exchange" not in above and "Join" not in above
+
+
+def test_sectors_are_not_forced_to_broadcast(spark):
+    from ledgerlake.plans.warehouse import Build
+
+    assert "ResolvedHint" not in Build(spark, DATA).peer_benchmark._jdf.queryExecution().logical().toString()
