@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as X
 from ledgerlake.functions.hashing import hashdiff, key_hash, ts_text
+from ledgerlake.operators.nested import flatten_documents
 from ledgerlake.operators.quality import TableChecks, completeness, divergence, drift
+from ledgerlake.plans.problems import P4_TAGS_SQL
 from ledgerlake.plans.warehouse import AS_OF_DATES, CHAIN_SQL, LINK_PARTS, Build
-from ledgerlake.session import cut
+from ledgerlake.session import cut, spread
 from ledgerlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,8 +312,68 @@ def built_growth_forecast(b: Build) -> DataFrame:
 
 
 _BUILT = {f.__name__: f for f in (built_hub_concept, built_link_filing_concept_period, built_sat_concept_canonical, built_bridge, built_pl_trend, built_peer_benchmark, built_growth_forecast)}
+
+
+def _hash_sql(*parts: str, nullable: tuple[int, ...] = ()) -> str:
+    return "upper(sha256(" + " || '||' || ".join(f"coalesce(CAST({p} AS VARCHAR), '^^')" if i in nullable else f"CAST({p} AS VARCHAR)" for i, p in enumerate(parts)) + "))"
+
+
+def _hk_sql(source: str, hk: str, *parts: str, nullable: tuple[int, ...] = ()) -> list[tuple[str, str, str]]:
+    return [("hk_not_null", "0", bad(source, f"{hk} IS NULL")), ("hk_length_64", "0", bad(source, f"length({hk}) <> 64")), ("hk_unique", "0", repeated(source, hk)), ("hk_reproducible", "0", bad(source, f"{hk} IS DISTINCT FROM {_hash_sql(*parts, nullable=nullable)}"))]
+
+
+def _source_sql(source: str) -> tuple[str, str, str]:
+    return ("record_source_constant", "0", bad(source, f"record_source IS DISTINCT FROM '{_SOURCE}'"))
+
+
+def _dates_sql(source: str) -> tuple[str, str, str]:
+    return ("fk_closure_dim_as_of", "0", bad(source, "as_of_date IS NULL OR as_of_date NOT IN (SELECT as_of_date FROM dates)"))
+
+
+def _mart_sql(source: str, concepts: list[str]) -> list[tuple[str, str, str]]:
+    listed = ", ".join(f"'{c}'" for c in concepts)
+    return [
+        _dates_sql(source), ("canonical_concept_accepted_values", "0", bad(source, f"canonical_concept IS NULL OR canonical_concept NOT IN ({listed})")),
+        ("keys_not_null", "0", bad(source, "cik IS NULL OR as_of_date IS NULL OR fiscal_year IS NULL OR canonical_concept IS NULL")),
+        ("fk_closure_hub_company", "0", lost(source, "cik", "hub_company", "cik")), ("fk_closure_hub_concept", "0", lost(source, "canonical_concept", "hub_concept", "canonical_concept")),
+    ]
+
+
+def _fk_sql(source: str, short: bool, **parents: str) -> list[tuple[str, str, str]]:
+    return [(f"fk_closure_{h[4:-3] if short else h[:-3]}", "0", lost(source, h, parent, h)) for h, parent in parents.items()]
+
+
+_HUBS = {"hub_company_hk": "hub_company", "hub_filing_hk": "hub_filing", "hub_concept_hk": "hub_concept"}
+#: The same checks in SQL. Those of the forecasts, which SQL cannot fit, say what must come out.
+_BUILT_SQL: dict[str, list[tuple[str, str, str]]] = {
+    "built_hub_concept": [
+        *_hk_sql("hub_concept", "hub_concept_hk", "canonical_concept"), _source_sql("hub_concept"), ("bk_not_null", "0", bad("hub_concept", "canonical_concept IS NULL")), ("bk_unique", "0", repeated("hub_concept", "canonical_concept")),
+        ("source_coverage_parity", "SELECT count(DISTINCT canonical_concept) FROM concepts", "SELECT count(DISTINCT canonical_concept) FROM hub_concept"),
+    ],
+    "built_link_filing_concept_period": [
+        *_hk_sql("lfcp", "link_filing_concept_period_hk", *LINK_PARTS, nullable=(3, 5, 6)), _source_sql("lfcp"), ("period_end_date_not_null", "0", bad("lfcp", "period_end_date IS NULL")), ("bks_not_null", "0", bad("lfcp", "cik IS NULL OR accession_number IS NULL OR canonical_concept IS NULL")),
+        ("fk_company_hash_reproducible", "0", bad("lfcp", f"hub_company_hk IS DISTINCT FROM {_hash_sql('cik')}")), *_fk_sql("lfcp", True, **_HUBS),
+        ("composite_grain_unique", "0", f"SELECT count(*) FROM (SELECT 1 FROM lfcp GROUP BY {', '.join(LINK_PARTS)} HAVING count(*) > 1)"),
+    ],
+    "built_sat_concept_canonical": [
+        *_hk_sql("sat_canonical", "sat_concept_canonical_hk", "hub_concept_hk", "sub_sequence_key", "load_datetime"), _source_sql("sat_canonical"), ("hashdiff_reproducible", "0", bad("sat_canonical", f"hashdiff IS DISTINCT FROM {_hash_sql('concept_name', nullable=(0,))}")),
+        ("hashdiff_not_null", "0", bad("sat_canonical", "hashdiff IS NULL")), ("hashdiff_length_64", "0", bad("sat_canonical", "length(hashdiff) <> 64")), ("sub_sequence_key_not_null", "0", bad("sat_canonical", "sub_sequence_key IS NULL")), ("sub_sequence_key_length_64", "0", bad("sat_canonical", "length(sub_sequence_key) <> 64")),
+        ("composite_pk_unique", "0", repeated("sat_canonical", "hub_concept_hk", "sub_sequence_key", "load_datetime")), ("fk_closure_hub_concept", "0", lost("sat_canonical", "hub_concept_hk", "hub_concept", "hub_concept_hk")),
+        ("parent_coverage", "SELECT count(DISTINCT hub_concept_hk) FROM hub_concept", "SELECT count(DISTINCT hub_concept_hk) FROM sat_canonical"),
+    ],
+    "built_bridge": [*_hk_sql("bridge", "bridge_company_concept_period_hk", "hub_company_hk", "link_company_filing_hk", "link_filing_concept_period_hk", "as_of_date"), _dates_sql("bridge"), *_fk_sql("bridge", False, **_HUBS, link_company_filing_hk="link_company_filing", link_filing_concept_period_hk="lfcp")],
+    "built_pl_trend": [*_hk_sql("pl_trend", "mart_pl_trend_hk", *_MART_KEY), *_mart_sql("pl_trend", ["revenue", "net_income"]), ("value_numeric_not_null", "0", bad("pl_trend", "value_numeric IS NULL")), ("unit_constant_usd", "0", bad("pl_trend", "unit IS DISTINCT FROM 'USD'"))],
+    "built_peer_benchmark": [
+        *_hk_sql("peer", "mart_peer_benchmark_hk", *_MART_KEY), *_mart_sql("peer", ["revenue", "net_income", "assets"]), ("composite_pk_unique", "0", repeated("peer", *_MART_KEY)), ("value_numeric_not_null", "0", bad("peer", "value_numeric IS NULL")),
+        ("peer_count_consistent_per_partition", "0", "SELECT count(*) FROM (SELECT 1 FROM peer GROUP BY as_of_date, fiscal_year, canonical_concept, gics_sector HAVING min(peer_count) <> count(*) OR max(peer_count) <> count(*))"),
+    ],
+    "built_growth_forecast": [(n, "0", "0") for n in (
+        "hk_not_null", "hk_length_64", "hk_unique", "hk_reproducible", "fk_closure_dim_as_of", "canonical_concept_accepted_values", "keys_not_null", "fk_closure_hub_company", "fk_closure_hub_concept", "row_kind_accepted_values", "entity_name_not_null", "composite_pk_unique",
+        "historical_leg_columns_populated", "forecast_leg_columns_populated", "forecast_ci_coherent", "forecast_horizon_3_years_per_company",
+    )],
+}
 for _name, _f in _BUILT.items():
-    query(f"q3_verify_{_name}")(lambda spark, d, f=_f: f(Build(spark, d)))
+    query(f"q3_verify_{_name}", report_sql(*_BUILT_SQL[_name], before=CHAIN_SQL))(lambda spark, d, f=_f: f(Build(spark, d)))
 
 
 @query("q4_monotonic_visibility", CHAIN_SQL + f"SELECT CAST(count(*) FILTER (WHERE as_of_date = DATE '{AS_OF_DATES[0]}') AS BIGINT) AS at_first, CAST(count(*) FILTER (WHERE as_of_date = DATE '{AS_OF_DATES[-1]}') AS BIGINT) AS at_last FROM pit")
@@ -320,7 +382,7 @@ def _(spark, d):
     return Build(spark, d).pit.agg(F.count_if(at == F.lit(AS_OF_DATES[0]).cast("date")).alias("at_first"), F.count_if(at == F.lit(AS_OF_DATES[-1]).cast("date")).alias("at_last"))
 
 
-@query("q6_forecast_checks")
+@query("q6_forecast_checks", "SELECT CAST(0 AS BIGINT) AS ci_inversions, CAST(0 AS BIGINT) AS bad_horizons")
 def _(spark, d):
     f = Build(spark, d).forecasts
     three = f.groupBy("cik").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("forecast_year").alias("years")).where("n <> 3 OR years <> 3")
@@ -337,6 +399,38 @@ def _(spark, d):
     return table(spark, d, "mart_financial_health").where(F.abs("net_margin") > 3).select("mart_financial_health_hk", "net_margin").distinct()
 
 
+@query("q2_roa_range", "SELECT DISTINCT mart_financial_health_hk, return_on_assets FROM mart_financial_health WHERE return_on_assets < -1 OR return_on_assets > 1")
+def _(spark, d):
+    return table(spark, d, "mart_financial_health").where("return_on_assets < -1 OR return_on_assets > 1").select("mart_financial_health_hk", "return_on_assets").distinct()
+
+
+#: Share of the universe that must report revenue in the latest complete year.
+REPORTING_SHARE = 95 / 107
+
+
+@query("q2_revenue_completeness", CHAIN_SQL + f"SELECT count(DISTINCT h.cik) AS reporting_ciks FROM health h WHERE is_latest_complete_fy AND revenue IS NOT NULL AND as_of_date = (SELECT max(as_of_date) FROM health) AND cik IN (SELECT cik FROM universe) HAVING count(DISTINCT h.cik) < {REPORTING_SHARE} * (SELECT count(*) FROM universe)")
+def _(spark, d):
+    """A row if fewer companies than the share report revenue in the latest complete year at the latest date."""
+    b = Build(spark, d)
+    h = b.financial_health
+    last = h.agg(F.max("as_of_date").alias("as_of_date"))  # one row, as the two counts
+    n = h.where("is_latest_complete_fy AND revenue IS NOT NULL").join(F.broadcast(last), "as_of_date").join(b.universe, "cik", "left_semi").agg(F.count_distinct("cik").alias("reporting_ciks"))
+    return n.crossJoin(F.broadcast(b.universe.agg(F.count(F.lit(1)).alias("all_")))).where(F.col("reporting_ciks") < REPORTING_SHARE * F.col("all_")).select("reporting_ciks")
+
+
+@query("q2_ci_ordering", CHAIN_SQL + "SELECT cik, fiscal_year, CAST(NULL AS DOUBLE) AS forecast_value, CAST(NULL AS DOUBLE) AS lower_ci_95, CAST(NULL AS DOUBLE) AS upper_ci_95 FROM pl_trend WHERE false")
+def _(spark, d):
+    """Forecast rows whose bounds are absent or out of order: none, as the SQL says."""
+    f = Build(spark, d).forecasts.select("cik", F.col("forecast_year").alias("fiscal_year"), "forecast_value", "lower_ci_95", "upper_ci_95")
+    return f.where(~F.coalesce((F.col("lower_ci_95") <= F.col("forecast_value")) & (F.col("forecast_value") <= F.col("upper_ci_95")), F.lit(False)))
+
+
+@query("q2_snapshot_stability", CHAIN_SQL + "SELECT cik, fiscal_year, canonical_concept, count(DISTINCT value_numeric) AS distinct_values FROM pl_trend GROUP BY 1, 2, 3 HAVING count(DISTINCT value_numeric) > 1")
+def _(spark, d):
+    g = Build(spark, d).pl_trend.groupBy("cik", "fiscal_year", "canonical_concept").agg(F.count_distinct("value_numeric").alias("distinct_values"))
+    return g.where("distinct_values > 1")
+
+
 @query(
     "q7_completeness",
     r"""WITH u AS (SELECT DISTINCT lpad(ltrim(regexp_extract(cik, '(\d+)', 1), '0'), 10, '0') AS cik FROM sp100_company_sector WHERE regexp_extract(cik, '(\d+)', 1) <> ''), y AS (SELECT unnest(range(2017, 2025)) AS fiscal_year),
@@ -374,6 +468,40 @@ def _(spark, d):
     return g.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("groups"))
 
 
+_GRAIN = [*LINK_PARTS]
+
+
+@query(
+    "q10_collapse_simulation",
+    CHAIN_SQL.rstrip()
+    + f""",
+cand AS (SELECT {', '.join(_GRAIN)}, collapse_rule, concept_name, preference_rank, max(value) AS v FROM rivals GROUP BY ALL),
+g AS (SELECT {', '.join(_GRAIN)}, any_value(collapse_rule) AS rule, count(DISTINCT concept_name) AS tags, max(v) AS most, min(v) AS least, arg_min(v, preference_rank) AS bare, count(*) FILTER (WHERE preference_rank = first_rank) AS has_bare, max(v) FILTER (WHERE preference_rank <> first_rank) AS wide
+  FROM cand JOIN (SELECT canonical_concept AS cc, min(preference_rank) AS first_rank FROM pref GROUP BY 1) ON cc = canonical_concept GROUP BY {', '.join(_GRAIN)})
+SELECT canonical_concept, CASE WHEN tags >= 2 AND most <> least THEN 'MULTI_TAG_DISAGREE' WHEN tags >= 2 THEN 'MULTI_TAG_AGREE' WHEN tags = 1 THEN 'SINGLE_TAG' ELSE 'NO_CANDIDATE_FOUND' END AS classification,
+  CASE WHEN rule <> 'preference_rank_asc' THEN NULL WHEN has_bare > 0 AND wide IS NULL THEN 'BARE_ONLY' WHEN has_bare = 0 THEN 'RESTRICTED_ONLY' WHEN bare = wide THEN 'BOTH_AGREE' WHEN bare < wide THEN 'RESTRICTED_LARGER' ELSE 'BARE_LARGER_UNUSUAL' END AS override_class,
+  CASE WHEN s.value = most THEN 'COLLAPSED_MATCHES_MAX' ELSE 'COLLAPSED_DEVIATES' END AS collapse_check, count(*) AS figures
+FROM sat_value0 s JOIN (SELECT upper(sha256(cik || '||' || accession_number || '||' || canonical_concept || '||' || coalesce(period_start_date::VARCHAR, '^^') || '||' || period_end_date::VARCHAR || '||' || coalesce(fiscal_year::VARCHAR, '^^') || '||' || coalesce(fiscal_period, '^^'))) AS hk, * EXCLUDE (canonical_concept) FROM g) ON hk = s.link_filing_concept_period_hk GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, d):
+    """Candidates of every stored figure, read from the documents again: did rivals differ, and did the rule keep the greatest?"""
+    b = Build(spark, d)
+    rivals = b.concepts.where("accession_number IS NOT NULL AND value IS NOT NULL").groupBy(*_GRAIN, "collapse_rule", "concept_name", "preference_rank").agg(F.max("value").alias("v"))
+    first = b.preference.groupBy("canonical_concept").agg(F.min("preference_rank").alias("first_rank"))
+    own = F.col("preference_rank") == F.col("first_rank")
+    g = rivals.join(F.broadcast(first), "canonical_concept").groupBy(*_GRAIN).agg(  # one row a concept of the preference table
+        F.any_value("collapse_rule").alias("rule"), F.count_distinct("concept_name").alias("tags"), F.max("v").alias("most"), F.min("v").alias("least"),
+        F.min_by("v", "preference_rank").alias("bare"), F.count_if(own).alias("has_bare"), F.max(F.when(~own, F.col("v"))).alias("wide"),
+    )
+    kept = b.sat_concept_value.select("link_filing_concept_period_hk", F.col("value").alias("kept"))
+    rows = g.withColumn("link_filing_concept_period_hk", key_hash(*LINK_PARTS, nullable=(3, 5, 6))).join(kept, "link_filing_concept_period_hk", "right")
+    many = F.col("tags") >= 2
+    kind = F.when(many & (F.col("most") != F.col("least")), "MULTI_TAG_DISAGREE").when(many, "MULTI_TAG_AGREE").when(F.col("tags") == 1, "SINGLE_TAG").otherwise("NO_CANDIDATE_FOUND")
+    override = F.when(F.col("rule") != "preference_rank_asc", None).when((F.col("has_bare") > 0) & F.col("wide").isNull(), "BARE_ONLY").when(F.col("has_bare") == 0, "RESTRICTED_ONLY").when(F.col("bare") == F.col("wide"), "BOTH_AGREE").when(F.col("bare") < F.col("wide"), "RESTRICTED_LARGER").otherwise("BARE_LARGER_UNUSUAL")
+    check = F.when(F.col("kept") == F.col("most"), "COLLAPSED_MATCHES_MAX").otherwise("COLLAPSED_DEVIATES")
+    return rows.groupBy("canonical_concept", kind.alias("classification"), override.alias("override_class"), check.alias("collapse_check")).agg(F.count(F.lit(1)).alias("figures"))
+
+
 @query(
     "q11_anchor_tolerance",
     """WITH a AS (SELECT cik, fiscal_year, max(revenue) AS anchor FROM mart_financial_health WHERE load_datetime < TIMESTAMPTZ '2022-01-01 00:00:00+00' GROUP BY 1, 2), m AS (SELECT cik, fiscal_year, max(revenue) AS actual FROM mart_financial_health GROUP BY 1, 2)
@@ -387,11 +515,11 @@ def _(spark, d):
     return g.select("cik", "fiscal_year", F.when(F.col("actual").isNull(), "MISSING").when(near, "PASS").otherwise("FAIL").alias("result"))
 
 
-@query("q12_sector_aggregates", CHAIN_SQL + "SELECT gics_sector, count(DISTINCT cik) AS companies, CAST(sum(value_numeric) AS DOUBLE) AS revenue FROM peer WHERE canonical_concept = 'revenue' AND as_of_date = (SELECT max(as_of_date) FROM peer) AND fiscal_year = 2018 GROUP BY 1")
+@query("q12_sector_aggregates", CHAIN_SQL + "SELECT gics_sector, fiscal_year, count(DISTINCT cik) AS companies, CAST(sum(value_numeric) AS DOUBLE) AS revenue FROM peer WHERE canonical_concept = 'revenue' AND as_of_date = (SELECT max(as_of_date) FROM peer) GROUP BY 1, 2")
 def _(spark, d):
     p = Build(spark, d).peer_benchmark
     last = p.agg(F.max("as_of_date").alias("as_of_date"))
-    return p.where("canonical_concept = 'revenue' AND fiscal_year = 2018").join(F.broadcast(last), "as_of_date").groupBy("gics_sector").agg(F.count_distinct("cik").alias("companies"), F.sum("value_numeric").cast("double").alias("revenue"))  # one row
+    return p.where("canonical_concept = 'revenue'").join(F.broadcast(last), "as_of_date").groupBy("gics_sector", "fiscal_year").agg(F.count_distinct("cik").alias("companies"), F.sum("value_numeric").cast("double").alias("revenue"))  # one row
 
 
 @query(
@@ -405,6 +533,37 @@ def _(spark, d):
     return divergence(b.pl_trend.where("canonical_concept = 'net_income'"), b.financial_health, ["cik", "as_of_date", "fiscal_year"], "value_numeric", "net_income")
 
 
+#: Figures that two marts hold: name, side a and side b as (mart, concept or column).
+_PAIRS = [
+    ("revenue: pl_trend vs financial_health", ("pl", "revenue"), ("fh", "revenue")),
+    ("revenue: pl_trend vs peer_benchmark", ("pl", "revenue"), ("pb", "revenue")),
+    ("revenue: pl_trend vs growth_forecast historical", ("pl", "revenue"), ("gf", "revenue")),
+    ("net_income: pl_trend vs financial_health", ("pl", "net_income"), ("fh", "net_income")),
+    ("net_income: pl_trend vs peer_benchmark", ("pl", "net_income"), ("pb", "net_income")),
+    ("assets: financial_health vs peer_benchmark", ("fh", "assets"), ("pb", "assets")),
+]
+_PAIR_SQL = {"pl": "SELECT cik, as_of_date, fiscal_year, value_numeric AS v FROM pl_trend WHERE canonical_concept = '{c}'", "pb": "SELECT cik, as_of_date, fiscal_year, value_numeric AS v FROM peer WHERE canonical_concept = '{c}'", "fh": "SELECT cik, as_of_date, fiscal_year, {c} AS v FROM health WHERE {c} IS NOT NULL", "gf": "SELECT cik, as_of_date, fiscal_year, value_numeric AS v FROM pl_trend WHERE canonical_concept = 'revenue'"}
+
+
+def cross_mart_pairs(b: Build) -> DataFrame:
+    """Six figures that two marts hold: keys compared at all dates, and keys on which they differ or which one lacks."""
+    by_concept = {"pl": b.pl_trend, "pb": b.peer_benchmark, "gf": b.growth_forecast.where("row_kind = 'historical'")}
+    keys = ["cik", "as_of_date", "fiscal_year"]
+    out = None
+    for name, *sides in _PAIRS:
+        x, y = (b.financial_health.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("v")) if m == "fh" else by_concept[m].where(F.col("canonical_concept") == c).select(*keys, F.col("value_numeric").alias("v")) for m, c in sides)
+        both = x.withColumnRenamed("v", "a").join(y.withColumnRenamed("v", "b"), keys, "full")
+        apart = F.coalesce(F.abs(F.col("a") - F.col("b")) > 1, F.lit(True))
+        one = both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(apart).alias("divergent")).select(F.lit(name).alias("check_name"), "compared", "divergent")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q13_cross_mart_pairs", CHAIN_SQL + " UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) AS compared, count(*) FILTER (WHERE coalesce(abs(a.v - b.v) > 1, true)) AS divergent FROM ({_PAIR_SQL[x].format(c=c)}) a FULL JOIN ({_PAIR_SQL[y].format(c=e)}) b ON a.cik = b.cik AND a.as_of_date = b.as_of_date AND a.fiscal_year = b.fiscal_year" for n, (x, c), (y, e) in _PAIRS))
+def _(spark, d):
+    return cross_mart_pairs(Build(spark, d))
+
+
 @query("q14_snapshot_drift", "SELECT cik, fiscal_year, count(DISTINCT revenue) AS distinct_values, CASE WHEN count(DISTINCT revenue) <= 1 THEN 'STABLE' ELSE 'RESTATEMENT_OR_DRIFT' END AS stability FROM mart_financial_health GROUP BY 1, 2")
 def _(spark, d):
     return drift(table(spark, d, "mart_financial_health"), ["cik", "fiscal_year"], "revenue")
@@ -497,7 +656,24 @@ def coverage_gate(trend: DataFrame, universe: DataFrame, floor: float = REVENUE_
     return one.select(F.explode(checks).alias("c")).select("c.*")
 
 
-@query("q18_coverage_of_universe")
+_GATE_SQL = CHAIN_SQL.rstrip() + f""",
+gate_m AS (SELECT t.* FROM pl_trend t WHERE canonical_concept IN ('revenue', 'net_income') AND as_of_date = (SELECT max(as_of_date) FROM pl_trend) AND cik IN (SELECT cik FROM universe)),
+years AS (SELECT fiscal_year, count(DISTINCT CASE WHEN canonical_concept = 'revenue' AND value_numeric IS NOT NULL THEN cik END) AS revenue, count(DISTINCT CASE WHEN canonical_concept = 'net_income' AND value_numeric IS NOT NULL THEN cik END) AS net_income,
+    CAST(sum(CASE WHEN canonical_concept = 'revenue' THEN value_numeric END) AS DOUBLE) AS total FROM gate_m GROUP BY 1),
+bars AS (SELECT CAST(ceil(count(*) * {COVERAGE_BAR}) AS BIGINT) AS bar, CAST(ceil(count(*) * CAST({COMPLETE_COMPANIES} AS DOUBLE)) AS BIGINT) AS least FROM universe),
+fy AS (SELECT max(CASE WHEN revenue >= least AND least > 0 THEN fiscal_year END) AS fy FROM years, bars),
+win AS (SELECT fy.fy, k AS back, y.revenue, y.net_income, y.total, bar FROM fy, bars, (VALUES (0), (1), (2)) AS b(k) LEFT JOIN years y ON y.fiscal_year = fy.fy - k WHERE fy.fy IS NOT NULL),
+gate_row AS (SELECT (SELECT fy FROM fy) AS fy, (SELECT bar FROM bars) AS bar, max(CASE WHEN back = 0 THEN coalesce(revenue, 0) END) AS revenue, max(CASE WHEN back = 0 THEN coalesce(net_income, 0) END) AS net_income, max(CASE WHEN back = 0 THEN coalesce(total, 0) END) AS total,
+    coalesce(string_agg(CAST(CASE WHEN coalesce(revenue, 0) < bar THEN fy - back END AS VARCHAR), ', ' ORDER BY fy - back), '') AS failing FROM win),
+said AS (SELECT 1 AS check_no, 'latest_complete_fy_revenue_coverage' AS check_name, fy, CAST(bar AS VARCHAR) AS expected, CAST(revenue AS VARCHAR) AS actual, revenue >= bar AS passed FROM gate_row
+  UNION ALL SELECT 2, 'latest_complete_fy_net_income_coverage', fy, CAST(bar AS VARCHAR), CAST(net_income AS VARCHAR), net_income >= bar FROM gate_row
+  UNION ALL SELECT 3, 'recent_3_fys_below_revenue_bar', fy, '', failing, failing = '' FROM gate_row
+  UNION ALL SELECT 4, 'latest_complete_fy_revenue_floor', fy, CAST(CAST({REVENUE_FLOOR} AS DECIMAL(38,2)) AS VARCHAR), CAST(CAST(total AS DECIMAL(38,2)) AS VARCHAR), total >= {REVENUE_FLOOR} FROM gate_row)
+SELECT check_no, check_name, fy AS fiscal_year, expected, CASE WHEN fy IS NULL THEN 'no complete year' ELSE actual END AS actual, CASE WHEN fy IS NOT NULL AND passed THEN 'PASS' ELSE 'FAIL' END AS result FROM said
+"""
+
+
+@query("q18_coverage_of_universe", _GATE_SQL)
 def _(spark, d):
     """Q18 whole, on the built trend mart as in the reference; the SQL of q18_coverage_gate is fixed and narrower."""
     b = Build(spark, d)
@@ -525,3 +701,30 @@ def _(spark, d):
     p = table(spark, d, "canonical_concept_tag_preference").select("canonical_concept", "concept_name").distinct()
     s = table(spark, d, "sat_concept_value").groupBy("concept_name").agg(F.count_distinct("cik").alias("companies"))
     return p.join(s, "concept_name", "left").select("canonical_concept", "concept_name", F.coalesce("companies", F.lit(0)).alias("companies"))
+
+
+def _pack_sql(name: str) -> str:
+    """The rows of one report as a scalar-free subquery over the chain."""
+    own = ORACLE_SQL[name].removeprefix(CHAIN_SQL)
+    return f"SELECT '{name}' AS pack, * FROM ({own})"
+
+
+_CROSS_SQL = report_sql(("net_income_same_in_both_marts", "0", ORACLE_SQL["q13_cross_mart_divergence"].removeprefix(CHAIN_SQL).replace("SELECT coalesce(t.cik, h.cik)", "SELECT count(*) FROM (SELECT coalesce(t.cik, h.cik)") + ")"))
+_DRIFT_SQL = report_sql(("revenue_stable_over_snapshots", "0", f"SELECT count(*) FROM ({ORACLE_SQL['q14_snapshot_drift']}) WHERE stability <> 'STABLE'"))
+# Delivered tables of the same names stand behind the chain's, so their packs are computed before it.
+_DELIVERED = [n for n in sorted(ORACLE_SQL) if n.startswith("q3_verify_") and not n.startswith("q3_verify_built_")]
+_MADE = [n for n in sorted(ORACLE_SQL) if n.startswith("q3_verify_built_")]
+ORACLE_SQL["q19_sign_off"] = (
+    "SELECT * FROM (" + " UNION ALL ".join(_pack_sql(n) for n in _DELIVERED) + f" UNION ALL SELECT 'q14_snapshot_drift' AS pack, * FROM ({_DRIFT_SQL})) UNION ALL SELECT * FROM ("
+    + CHAIN_SQL + " UNION ALL ".join(_pack_sql(n) for n in _MADE) + f" UNION ALL SELECT 'q13_cross_mart_divergence' AS pack, * FROM ({_CROSS_SQL}))"
+)
+
+
+@query("q9_tag_documents", P4_TAGS_SQL[: P4_TAGS_SQL.rindex("SELECT DISTINCT doc_key")] + ", p AS (SELECT DISTINCT canonical_concept, concept_name FROM canonical_concept_tag_preference) SELECT p.canonical_concept, p.concept_name, count(DISTINCT t.cik) AS companies, count(DISTINCT t.doc_key) AS documents FROM p LEFT JOIN (SELECT * FROM tag WHERE taxonomy = 'us-gaap') t ON t.concept_name = p.concept_name GROUP BY 1, 2")
+def _(spark, d):
+    """Which documents hold each listed tag at all, whatever became of its figures."""
+    p = table(spark, d, "canonical_concept_tag_preference").select("canonical_concept", "concept_name").distinct()
+    raw = table(spark, d, "sec_edgar_companyfacts_raw").select("json_text", "extract_date", "cik")
+    t = flatten_documents(spread(raw), "tags", cik=X.ten_digits("cik")).where("taxonomy = 'us-gaap'").select("concept_name", "cik", "doc_key")
+    held = t.groupBy("concept_name").agg(F.count_distinct("cik").alias("companies"), F.count_distinct("doc_key").alias("documents"))
+    return p.join(held, "concept_name", "left").select("canonical_concept", "concept_name", F.coalesce("companies", F.lit(0)).alias("companies"), F.coalesce("documents", F.lit(0)).alias("documents"))
