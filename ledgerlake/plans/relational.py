@@ -17,7 +17,8 @@ from ledgerlake.functions.hashing import hashdiff, key_hash
 from ledgerlake.operators.marts import guarded_growth, latest_complete_year, peer_statistics
 from ledgerlake.operators.vault import asof_expand, collapse, latest_rows
 from ledgerlake.session import file_system, scratch
-from ledgerlake.sources.tables import table
+from ledgerlake.sources.bronze import bronze_checks, write_documents, write_forecasts
+from ledgerlake.sources.tables import read_cover, read_documents, read_forecasts, read_seed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +90,78 @@ def s12_incremental_append(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(at).select("hub_hk", "cik")
 
 
+#: One document a company and snapshot: of several the greatest text.
+_DOCS_SQL = r"WITH doc AS (SELECT lpad(ltrim(regexp_extract(cik, '(\d+)', 1), '0'), 10, '0') AS cik, extract_date, max(json_text) AS t FROM sec_edgar_companyfacts_raw WHERE json_text <> '' AND regexp_extract(cik, '(\d+)', 1) <> '' AND extract_date IS NOT NULL GROUP BY 1, 2) "
+
+
+def _bronze(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The raw documents laid out as files, and where."""
+    raw = table(spark, d, "sec_edgar_companyfacts_raw").where("json_text <> '' AND extract_date IS NOT NULL").select(X.ten_digits("cik").alias("cik"), "extract_date", "json_text")
+    docs = raw.where("cik IS NOT NULL").groupBy("cik", "extract_date").agg(F.max("json_text").alias("json_text"))
+    at = f"{scratch(spark, 'bronze')}/raw"
+    write_documents(docs, at)
+    return at, docs
+
+
+def s5_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written to ``extract_date=/cik=`` folders and read back whole."""
+    back = read_documents(spark, _bronze(spark, d)[0])
+    return back.select("cik", F.col("extract_date").cast("string").alias("extract_date"), F.length(F.regexp_replace("json_text", r"\n\z", "")).alias("chars"))
+
+
+def s15_object_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks over the files' metadata: count, companies, dates, sizes, contents under several companies."""
+    at, docs = _bronze(spark, d)
+    return bronze_checks(spark, at, docs.count()).where("check_name <> '2_distinct_cik'")
+
+
+QUERIES["s5_text_scan"] = s5_text_scan
+ORACLE_SQL["s5_text_scan"] = _DOCS_SQL + r"SELECT cik, extract_date, CAST(length(t) AS INTEGER) AS chars FROM doc"
+QUERIES["s15_object_checks"] = s15_object_checks
+ORACLE_SQL["s15_object_checks"] = _DOCS_SQL + """SELECT *, CASE WHEN expected = actual THEN 'PASS' ELSE 'FAIL' END AS result FROM (
+    SELECT '1_file_count' AS check_name, CAST(count(*) AS VARCHAR) AS expected, CAST(count(*) AS VARCHAR) AS actual FROM doc
+    UNION ALL SELECT '3_dates_valid', '0', CAST(count(*) FILTER (WHERE TRY_CAST(extract_date AS DATE) IS NULL) AS VARCHAR) FROM doc UNION ALL SELECT '4_size_positive', '0', '0'
+    UNION ALL SELECT '5_no_shared_content', '0', CAST(count(*) AS VARCHAR) FROM (SELECT 1 FROM doc GROUP BY t HAVING count(DISTINCT cik) > 1))"""
+
+
+def s4_json_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Typed cover fields by a FAILFAST scan of JSON documents, one a line."""
+    at = f"{scratch(spark, 'cover')}/json"
+    c = table(spark, d, "sec_edgar_companyfacts").where("cik IS NOT NULL")
+    c.select(F.to_json(F.struct("cik", F.col("entityname").alias("entityName")))).write.text(at)
+    return read_cover(spark, at, lines=True).select("cik", "entityname").distinct()
+
+
+QUERIES["s4_json_scan"] = s4_json_scan
+ORACLE_SQL["s4_json_scan"] = "SELECT DISTINCT cik, entityname FROM sec_edgar_companyfacts WHERE cik IS NOT NULL"
+
+
+def s8_csv_seed(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV seed with header, quotes and a pinned schema."""
+    at = f"{scratch(spark, 'seed')}/csv"
+    columns = ["cik", "ticker", "entity_name", "gics_sector", "gics_industry_group"]
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, d, "sp100_company_sector").select(*columns).where("cik IS NOT NULL").write.options(**keep).csv(at, header=True, quote='"', escape='"', quoteAll=True)
+    return read_seed(spark, at, ", ".join(f"{c} string" for c in columns)).distinct()
+
+
+QUERIES["s8_csv_seed"] = s8_csv_seed
+ORACLE_SQL["s8_csv_seed"] = "SELECT DISTINCT cik, nullif(ticker, '') AS ticker, nullif(entity_name, '') AS entity_name, nullif(gics_sector, '') AS gics_sector, nullif(gics_industry_group, '') AS gics_industry_group FROM sp100_company_sector WHERE cik IS NOT NULL"
+
+
+def s13_partitioned_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Figures written by concept and date, partition columns read back as text."""
+    at = f"{scratch(spark, 'surface')}/parquet"
+    m = table(spark, d, "mart_financial_health").where("revenue IS NOT NULL AND as_of_date IS NOT NULL")
+    write_forecasts(m.select("cik", F.col("fiscal_year").alias("forecast_year"), F.col("revenue").alias("forecast_value"), F.lit("revenue").alias("canonical_concept"), F.col("as_of_date").cast("string").alias("as_of_date")), at)
+    back = read_forecasts(spark, at, "cik string, forecast_year int, forecast_value decimal(28,2), canonical_concept string, as_of_date string")
+    return back.groupBy("canonical_concept", "as_of_date").agg(F.count(F.lit(1)).alias("n"), F.sum("forecast_value").cast("double").alias("total"))
+
+
+QUERIES["s13_partitioned_sink"] = s13_partitioned_sink
+ORACLE_SQL["s13_partitioned_sink"] = "SELECT 'revenue' AS canonical_concept, CAST(as_of_date AS VARCHAR) AS as_of_date, count(*) AS n, CAST(sum(revenue) AS DOUBLE) AS total FROM mart_financial_health WHERE revenue IS NOT NULL AND as_of_date IS NOT NULL GROUP BY 2"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, make = file_system(spark, path)
     return fs.exists(make(path))
@@ -427,6 +500,12 @@ def _(t):
 # --- top-k and set operations
 
 
+@query("o1_case_order", "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderpriority DESC, o_totalprice DESC, o_orderkey LIMIT 25")
+def _(t):
+    rank = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return t("orders").orderBy(rank, F.desc("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
 @query("o2_top_one", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
 def _(t):
     return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)

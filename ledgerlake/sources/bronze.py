@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.session import file_system
 from ledgerlake.sources.tables import file_metadata
 
 RETRIED = frozenset({429, 500, 502, 503, 504})
@@ -41,21 +41,40 @@ def fetch_documents(ciks: list[int | str], get: Callable[[str], tuple[int, bytes
             sleep(2.0**attempt)
 
 
-def write_document(root: str, extract_date: str, cik: str, body: bytes) -> str:
-    """Write one document to its folder (a later one of the day replaces it); returns its SHA-256."""
-    folder = os.path.join(root, f"extract_date={extract_date}", f"cik={pad_cik(cik)}")
-    os.makedirs(folder, exist_ok=True)
-    draft = os.path.join(folder, "companyfacts.json.tmp")
-    with open(draft, "wb") as f:
-        f.write(body)
-    os.replace(draft, os.path.join(folder, "companyfacts.json"))
-    return hashlib.sha256(body).hexdigest()
+def write_document(spark: SparkSession, root: str, extract_date: str, cik: int | str, body: bytes, dry_run: bool = False) -> str:
+    """Write one document to its folder on any Hadoop file system (a later one of the day replaces it).
 
+    Returns its SHA-256, which is kept beside the document in a file that scans pass over. With
+    ``dry_run`` nothing is written.
+    """
+    digest = hashlib.sha256(body).hexdigest()
+    if dry_run:
+        return digest
+    folder = f"{root}/extract_date={extract_date}/cik={pad_cik(cik)}"
+    fs, path = file_system(spark, folder)
+    for name, data in (("companyfacts.json", body), ("_companyfacts.sha256", digest.encode())):
+        draft, final = path(f"{folder}/_{name}.tmp"), path(f"{folder}/{name}")
+        out = fs.create(draft, True)
+        out.write(bytearray(data))
+        out.close()
+        if fs.exists(final):
+            fs.delete(final, False)
+        fs.rename(draft, final)
+    return digest
 
-def write_forecasts(df: DataFrame, path: str) -> None:
-    """Forecasts partitioned by concept and date, one file a partition."""
+
+def write_documents(df: DataFrame, root: str) -> None:
+    """Many documents at once: extract_date, cik, json_text, one row a folder."""
+    df.select("extract_date", "cik", "json_text").repartition("extract_date", "cik").write.option("lineSep", "\n").partitionBy("extract_date", "cik").text(root)
+
+
+def write_forecasts(df: DataFrame, path: str, dry_run: bool = False) -> int:
+    """Forecasts partitioned by concept and date, one file a partition; returns the partitions (with ``dry_run`` only that)."""
     parts = ["canonical_concept", "as_of_date"]
-    df.repartition(*parts).write.mode("overwrite").option("compression", "snappy").partitionBy(*parts).parquet(path)
+    n = df.select(*parts).distinct().count()
+    if not dry_run:
+        df.repartition(*parts).write.mode("overwrite").option("compression", "snappy").partitionBy(*parts).parquet(path)
+    return n
 
 
 def bronze_checks(spark, path: str, expected: int) -> DataFrame:

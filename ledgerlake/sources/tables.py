@@ -16,10 +16,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json_text")
 
 
-def read_cover(spark: SparkSession, path: str) -> DataFrame:
-    """Typed cover fields of the documents; a malformed document is an error."""
+def read_cover(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Typed cover fields of the documents, one a file or with ``lines`` one a line; a malformed document is an error."""
     schema = T.StructType([T.StructField("cik", T.StringType()), T.StructField("entityName", T.StringType())])
-    df = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
     return df.withColumnRenamed("entityName", "entityname")
 
 

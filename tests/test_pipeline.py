@@ -84,9 +84,9 @@ def test_fetching_and_the_bronze_layout(spark, tmp_path):
     with pytest.raises(ValueError):
         list(fetch_documents([1], lambda url: (200, b"<html>"), "{cik}"))
     for cik, body in got.items():
-        write_document(str(tmp_path / "b"), "2026-01-01", cik, body)
+        write_document(spark, str(tmp_path / "b"), "2026-01-01", cik, body)
     assert [r.result for r in bronze_checks(spark, str(tmp_path / "b"), 2).collect()] == ["PASS"] * 5
-    write_document(str(tmp_path / "b"), "2026-01-01", "3", got["0000000001"])
+    write_document(spark, str(tmp_path / "b"), "2026-01-01", "3", got["0000000001"])
     assert {r.check_name: r.result for r in bronze_checks(spark, str(tmp_path / "b"), 3).collect()}["5_no_shared_content"] == "FAIL"
 
 
