@@ -1,13 +1,13 @@
 """What changed between consecutive full snapshots.
 
-Method: every snapshot row becomes signed cells (key, field, value) plus a presence marker,
--1 for the pair in which its snapshot is the earlier one and +1 for the pair in which it is
-the later. Cells are summed per (pair, key, field, value); only nonzero sums survive, and they
-classify the key (marker +1 added, -1 removed, no marker but cells of both signs changed) and
-name the changed fields.
+Method: every snapshot is unpivoted into cells (key, field, value) plus a presence marker. A cell's
+sign in a pair of consecutive snapshots is +1 where only the later one holds it and -1 where only
+the earlier one does; the sum over both is what remains. Nonzero sums classify the key (marker +1
+added, -1 removed, no marker but cells of both signs changed) and name the changed fields.
 
-Scale: unchanged cells cancel in the first aggregation (with map-side combine, so repeated rows
-and hot keys shrink before the shuffle); the second shuffle carries differences only.
+Scale: a cell is shuffled once, with the set of snapshots that hold it (at most one number a
+snapshot date; repeated rows and hot keys collapse before the shuffle). Its sums follow from that set
+alone, so a cell that stays is gone before any other step; later shuffles carry differences only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.session import cut
+
 _MARK = "\u0000present"
 
 
@@ -40,30 +42,22 @@ def snapshot_changes(df: DataFrame, key: Column, date: Column, fields: dict[str,
             *[F.struct(F.lit(f).alias("field"), (F.concat_ws("", F.when(fields[f].isNull(), F.lit("\u0000null")), fields[f].cast("string")) if null_transitions else fields[f].cast("string")).alias("value")) for f in names],
         ).alias("cells"),
     ).where(F.col("k").isNotNull() & F.col("d").isNotNull())
-    dates = rows.select("d").distinct()
     order = Window.orderBy("d")  # one row per snapshot date, a few thousand at most
-    pairs = dates.select("d", F.lag("d").over(order).alias("before"), F.lead("d").over(order).alias("after"))
-    signed = (
-        rows.join(F.broadcast(pairs), "d")
-        .select(
-            "k",
-            F.explode(
-                F.array(
-                    F.struct(F.col("before").alias("from_date"), F.col("d").alias("to_date"), F.lit(1).alias("sign")),
-                    F.struct(F.col("d").alias("from_date"), F.col("after").alias("to_date"), F.lit(-1).alias("sign")),
-                )
-            ).alias("p"),
-            "cells",
-        )
-        .where(F.col("p.from_date").isNotNull() & F.col("p.to_date").isNotNull())
-        .select("k", "p.from_date", "p.to_date", "p.sign", F.explode("cells").alias("c"))
+    dates = cut(rows.select("d").distinct().select("d", (F.row_number().over(order) - 1).alias("at"), F.lead("d").over(order).alias("after")))
+    cells = (
+        rows.join(F.broadcast(dates.select("d", "at")), "d")
+        .select("k", "at", F.explode("cells").alias("c"))
         .where(F.col("c.value").isNotNull())
+        .groupBy("k", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
+        .agg(F.collect_set("at").alias("held"))  # at most one number a snapshot date
     )
-    # Repeated rows must not add up: a cell counts once a side, so its sum is won - lost.
+    won = F.transform(F.array_except("held", F.transform("held", lambda x: x + 1)), lambda x: F.struct((x - 1).alias("at"), F.lit(1).alias("sum")))
+    lost = F.transform(F.array_except("held", F.transform("held", lambda x: x - 1)), lambda x: F.struct(x.alias("at"), F.lit(-1).alias("sum")))
+    pairs = dates.where("after IS NOT NULL").select("at", F.col("d").alias("from_date"), F.col("after").alias("to_date"))
     nonzero = (
-        signed.groupBy("k", "from_date", "to_date", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
-        .agg((F.max(F.when(F.col("sign") > 0, 1).otherwise(0)) - F.max(F.when(F.col("sign") < 0, 1).otherwise(0))).alias("sum"))
-        .where("sum <> 0")
+        cells.select("k", "field", F.explode(F.concat(won, lost)).alias("x"))
+        .select("k", "field", "x.at", "x.sum")
+        .join(F.broadcast(pairs), "at")  # the first date wins from nothing, the last loses to nothing: no pair
     )
     per_field = nonzero.groupBy("k", "from_date", "to_date", "field").agg(F.max("sum").alias("won"), F.min("sum").alias("lost"))
     both = (F.col("won") > 0) & (F.col("lost") < 0)
