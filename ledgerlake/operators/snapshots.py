@@ -5,9 +5,9 @@ sign in a pair of consecutive snapshots is +1 where only the later one holds it
 the earlier one does; the sum over both is what remains. Nonzero sums classify the key (marker +1
 added, -1 removed, no marker but cells of both signs changed) and name the changed fields.
 
-Scale: a cell is shuffled once, with the set of snapshots that hold it (at most one number a
-snapshot date; repeated rows and hot keys collapse before the shuffle). Its sums follow from that set
-alone, so a cell that stays is gone before any other step; later shuffles carry differences only.
+Scale: a cell is shuffled once, with the signs of 32 consecutive pairs as the bits of one number, which
+are or-ed before and after the shuffle (repeated rows and hot keys collapse before it). A cell that
+stays is gone before any other step; later shuffles carry differences only.
 """
 
 from __future__ import annotations
@@ -43,21 +43,35 @@ def snapshot_changes(df: DataFrame, key: Column, date: Column, fields: dict[str,
         ).alias("cells"),
     ).where(F.col("k").isNotNull() & F.col("d").isNotNull())
     order = Window.orderBy("d")  # one row per snapshot date, a few thousand at most
-    dates = cut(rows.select("d").distinct().select("d", (F.row_number().over(order) - 1).alias("at"), F.lead("d").over(order).alias("after")))
+    # A date is the later one of the pair before it and the earlier one of its own: bits below and above 32 of the pair's word.
+    at, bit = F.col("at"), lambda n: F.expr(f"shiftleft(1L, {n})")
+    word = F.floor(at / 32).cast("int")
+    split = F.array(F.struct((word - 1).alias("word"), bit("31").alias("bits")), F.struct(word.alias("word"), bit("32").alias("bits")))
+    one = F.array(F.struct(word.alias("word"), F.when(at > 0, bit("at % 32 - 1")).otherwise(F.lit(0).cast("long")).bitwiseOR(bit("32 + at % 32")).alias("bits")))
+    numbered = rows.select("d").distinct().select("d", (F.row_number().over(order) - 1).alias("at"), F.lead("d").over(order).alias("after"))
+    dates = cut(numbered.withColumn("words", F.when((at > 0) & (at % 32 == 0), split).otherwise(one)))
     cells = (
-        rows.join(F.broadcast(dates.select("d", "at")), "d")
-        .select("k", "at", F.explode("cells").alias("c"))
+        rows.join(F.broadcast(dates.select("d", "words")), "d")
+        .select("k", "cells", F.explode("words").alias("w"))
+        .select("k", "w.word", "w.bits", F.explode("cells").alias("c"))
         .where(F.col("c.value").isNotNull())
-        .groupBy("k", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
-        .agg(F.collect_set("at").alias("held"))  # at most one number a snapshot date
+        .groupBy("k", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "word")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    low = F.lit((1 << 32) - 1)
+    later, earlier = F.col("bits").bitwiseAND(low), F.shiftrightunsigned("bits", 32)
+    has = lambda c, i: F.getbit(F.col(c), i) == 1
+    signs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: has("differ", i)),
+        lambda i: F.struct((F.col("word") * 32 + i).alias("at"), F.when(has("later", i), 1).otherwise(-1).alias("sum")),
     )
-    won = F.transform(F.array_except("held", F.transform("held", lambda x: x + 1)), lambda x: F.struct((x - 1).alias("at"), F.lit(1).alias("sum")))
-    lost = F.transform(F.array_except("held", F.transform("held", lambda x: x - 1)), lambda x: F.struct(x.alias("at"), F.lit(-1).alias("sum")))
     pairs = dates.where("after IS NOT NULL").select("at", F.col("d").alias("from_date"), F.col("after").alias("to_date"))
     nonzero = (
-        cells.select("k", "field", F.explode(F.concat(won, lost)).alias("x"))
+        cells.select("k", "field", "word", later.alias("later"), later.bitwiseXOR(earlier).alias("differ"))
+        .where("differ <> 0")
+        .select("k", "field", F.explode(signs).alias("x"))
         .select("k", "field", "x.at", "x.sum")
-        .join(F.broadcast(pairs), "at")  # the first date wins from nothing, the last loses to nothing: no pair
+        .join(F.broadcast(pairs), "at")  # the last date has no pair of its own
     )
     per_field = nonzero.groupBy("k", "from_date", "to_date", "field").agg(F.max("sum").alias("won"), F.min("sum").alias("lost"))
     both = (F.col("won") > 0) & (F.col("lost") < 0)

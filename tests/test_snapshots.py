@@ -32,3 +32,27 @@ def test_clashing_column_names(spark):
     df = spark.createDataFrame([("1", "a", "N", 1, 2), ("1", "b", "M", 1, 2)], "k string, d string, name string, sum int, sign int")
     out = snapshot_changes(df, F.col("k"), F.col("d"), {"name": F.col("name"), "sum": F.col("sum")}).collect()
     assert [(r.change, r.changed_fields) for r in out] == [("changed", ["name"])]
+
+
+def test_many_dates_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    days = [f"d{i:03d}" for i in range(70)]  # more than two words of pairs
+    rows = [(str(k), d, rnd.choice(["x", "y", "z", None]), rnd.choice("PQ")) for k in range(12) for d in days if rnd.random() < 0.8 for _ in range(rnd.randrange(1, 3))]
+    held = {}
+    for k, d, *values in rows:
+        for f, v in zip(("name", "city"), values, strict=True):
+            if v is not None:
+                held.setdefault((k, d, f), set()).add(v)
+    there = {(k, d) for k, d, *_ in rows}
+    want = []
+    for a, b in zip(days, days[1:]):
+        for k in {k for k, _ in there}:
+            if ((k, a) in there) != ((k, b) in there):
+                want.append((k, b, "added" if (k, b) in there else "removed", ()))
+            else:
+                old, new = ({f: held.get((k, d, f), set()) for f in ("city", "name")} for d in (a, b))
+                fields = tuple(f for f in ("city", "name") if old[f] - new[f] and new[f] - old[f])
+                want += [(k, b, "changed", fields)] if fields else []
+    assert changes(spark, rows) == sorted(want)
