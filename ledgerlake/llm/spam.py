@@ -62,12 +62,12 @@ _TOKEN = re.compile(r"[\x01\x02]|\w+|[^\w\s]")
 #: Lower-case letters of the Latin, Greek and Cyrillic scripts.
 _LOWER = "a-zß-öø-ÿα-ώа-џ"
 _SPLIT = re.compile(rf"(?<=[.!?…])\s+(?=[^\W\d_{_LOWER}]|[\"'(\[<#¿¡«„“])|(?<=[。！？])|\n+")
+_MARKS, _CLOSERS = frozenset(".!?…。！？।؟"), frozenset("\"'”’»)]")
 _MARK = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*\s*$")
 _ITEM = rf"(?:{_ANCHOR.pattern}|{_LINK.pattern}|{_TAG.pattern})"
 _RUN = re.compile(rf"({_ITEM}(?:[\s|,;>*–-]+{_ITEM})+)", re.I)
 _LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:\d{1,3}\.\d{1,3}|[ivx\d]{1,3}\.|\([ivx\d]{1,4}\))\s+\S")
 _FIGURE = re.compile(r"[$€£]?\(?\d[\d.,]*\)?%?")
-_CONTENT = re.compile(rf"\w{{{GLUE_LETTERS},}}")
 _HAS_DIGIT = re.compile(r"\d")
 
 BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, loose int, chars int"
@@ -75,7 +75,10 @@ BLOCK_SCHEMA = "doc_id long, lang string, size int, raw double, shape double, lo
 
 def _shortened(text: str, start: int, end: int) -> bool:
     """Whether the text ends, at ``end``, in a shortened word: initials, or a short capitalised word with a full stop."""
-    word = text[max(start, end - 12) : end].split()[-1:]
+    at = max(start, text.rfind(" ", start, end) + 1, end - 12)
+    if end - at > 5 and text.find(".", at, end - 1) < 0:
+        return False
+    word = text[at:end].split()[-1:]
     return bool(word) and word[0][-1] == "." and (word[0].count(".") > 1 or (len(word[0]) <= 5 and word[0][0].isupper()))
 
 
@@ -83,11 +86,11 @@ def _sentences(text: str) -> Iterator[tuple[str, bool]]:
     """Stretches up to a sentence mark or line end, and whether they end in a mark."""
     text, start = text.rstrip(), 0
     for m in _SPLIT.finditer(text):
-        at = m.start()
-        short = at > start and text[at - 1] == "." and _shortened(text, start, at)
+        at, last = m.start(), text[m.start() - 1]
+        short = last == "." and at > start and _shortened(text, start, at)
         if short and "\n" not in m.group():
             continue
-        yield text[start:at], not short and _MARK.search(text, max(start, at - 6), at) is not None
+        yield text[start:at], not short and at > start and (last in _MARKS or (last in _CLOSERS and _ends_sentence(text, start, at)))
         start = m.end()
     yield text[start:], _ends_sentence(text, start, len(text))
 
@@ -96,6 +99,11 @@ def _ends_sentence(text: str, start: int, end: int) -> bool:
     return _MARK.search(text, max(start, end - 6), end) is not None and not _shortened(text, start, end)
 
 
+def has_links(text: str) -> bool:
+    """Whether a text may hold links, anchors or tags at all."""
+    return "#" in text or "@" in text or "/" in text or "](" in text or "www." in text or ".htm" in text or _TAG.search(text) is not None
+
+
 def pieces(text: str) -> list[tuple[str, bool]]:
     """Sentences, or lines where lines end before a sentence does, and whether a mark vouches for each.
 
@@ -103,14 +111,16 @@ def pieces(text: str) -> list[tuple[str, bool]]:
     of a few words, so that a sentence set into a run does not hide it.
     """
     out: list[tuple[str, bool]] = []
+    linked = has_links(text)
     for piece, ended in _sentences(text):
-        runs = _RUN.split(piece) if "#" in piece or "@" in piece or "/" in piece or "www." in piece or ".htm" in piece or ("$" in piece and _TAG.search(piece)) else (piece,)
+        runs = _RUN.split(piece) if linked and has_links(piece) else (piece,)
         for k, part in enumerate(runs):
             words = part.split()
             marked = ended and k + 1 == len(runs)
             if len(words) <= LONG_WORDS:
                 if words:
-                    out += [(q, marked) for q in _even(part.strip())]
+                    part = part.strip()
+                    out += [(part, marked)] if len(part) <= BLOCK_CHARS else [(q, marked) for q in _even(part)]
             else:
                 for i in range(0, len(words), PART_WORDS):
                     near = marked and len(words) - i <= VOUCHED_WORDS
@@ -164,7 +174,7 @@ def _is_loose(piece: str, mask: str, tokens: list[str], vouched: bool) -> bool:
         return True
     if _LISTED.match(piece):
         return False
-    if vouched and not _repeats(_CONTENT.findall(mask.lower())):
+    if vouched and not _repeats(tokens):
         return False
     if not _HAS_DIGIT.search(piece):
         return True
@@ -172,10 +182,14 @@ def _is_loose(piece: str, mask: str, tokens: list[str], vouched: bool) -> bool:
     return sum(map(bool, map(_FIGURE.fullmatch, parts))) < 0.4 * len(parts)
 
 
-def _repeats(content: list[str]) -> bool:
-    """Whether a sentence says the same words again and again."""
+def _repeats(tokens: list[str]) -> bool:
+    """Whether a sentence says the same longer words again and again."""
+    content = [t for t in tokens if len(t) >= GLUE_LETTERS]
+    if len(content) < 3:
+        return False
+    content[0] = content[0].lower()  # the capital of a sentence's beginning
     own = set(content)
-    if len(content) < 3 or len(own) == len(content):
+    if len(own) == len(content):
         return False
     return len(own) <= DISTINCT_SHARE * len(content) or max(map(content.count, own)) >= TOP_SHARE * len(content)
 
@@ -195,8 +209,9 @@ def blocks(text: str) -> list[tuple[int, float, float, int]]:
     """
     parts, marks, kinds = [], [], []
     said: set[str] = set()
+    linked = has_links(text)
     for part, vouched in pieces(text):
-        mask = masked(part)
+        mask = masked(part) if linked else part
         tokens = _TOKEN.findall(mask)
         if vouched:
             key = part.lower()
