@@ -58,6 +58,7 @@ DISTINCT_SHARE, TOP_SHARE = 0.67, 0.4
 _LINK = re.compile(r"(?<![\w./-])(?:(?:https?://|www\.)\S++|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*+|\b\.html?\b\S*+))", re.I)
 _ANCHOR = re.compile(r"<a\b[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^()\s]++\)", re.I)
 _TAG = re.compile(r"(?<!\w)[#@][^\W_][\w-]*|(?<!\w)\$[A-Z]{1,6}\b")
+_TICKER = re.compile(r"\$[A-Z]")
 _TOKEN = re.compile(r"[\x01\x02]|\w+|[^\w\s]")
 #: Lower-case letters of the Latin, Greek and Cyrillic scripts.
 _LOWER = "a-zß-öø-ÿα-ώа-џ"
@@ -101,7 +102,7 @@ def _ends_sentence(text: str, start: int, end: int) -> bool:
 
 def has_links(text: str) -> bool:
     """Whether a text may hold links, anchors or tags at all."""
-    return "#" in text or "@" in text or "/" in text or "](" in text or "www." in text or ".htm" in text or _TAG.search(text) is not None
+    return "#" in text or "@" in text or "/" in text or "](" in text or "www." in text or ".htm" in text or ("$" in text and _TICKER.search(text) is not None)
 
 
 def pieces(text: str) -> list[tuple[str, bool]]:
