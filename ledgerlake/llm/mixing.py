@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.session import cut
@@ -34,20 +34,22 @@ LEAF_LIMIT = 100_000
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
+    """Encoder of a byte-level vocabulary file's contents."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of the whole text; NULL text has none."""
+    """Tokens of the whole text; NULL text has none. The vocabulary is read where the driver runs and handed to the workers."""
+    with open(path, "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())  # a file of one or two MB
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        enc = encoding(shared.value)
         for s in batches:
             yield pd.Series([len(enc.encode_ordinary(t.encode("utf-8", "replace").decode())) if isinstance(t, str) else 0 for t in s], dtype="int64")
 
