@@ -25,6 +25,8 @@ from ledgerlake.functions.jsonindex import StructuralIndex
 
 _OBJECT, _ARRAY = ord("{"), ord("[")
 ENTRY_FIELDS = ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame")
+#: Bytes of small documents that are indexed together.
+GROUP_BYTES = 100_000
 #: Rows of a frame handed to Spark, but for a single document that has more.
 FRAME_ROWS = 50_000
 
@@ -72,14 +74,14 @@ class _Nodes:
         return _Nodes(self.level, self.start[at], self.end[at], [[k[i] for i in at] for k in self.keys])
 
 
-def rows_of(ix: StructuralIndex, table: Table, wanted: tuple[str, ...] | None = None) -> list[list]:
-    """Columns of a table's rows in one valid document; of ``fields`` only ``wanted`` are read."""
-    root = ix.tokens[:1]
-    nodes = [_Nodes(0, root, np.array([ix.bytes.size]), [])]
+def rows_of(ix: StructuralIndex, table: Table, wanted: tuple[str, ...] | None = None, roots: _Nodes | None = None) -> list[list]:
+    """Columns of a table's rows in one valid document, or behind the columns of ``roots``; of ``fields`` only ``wanted`` are read."""
+    roots = roots or _Nodes(0, ix.tokens[:1], np.array([ix.bytes.size]), [])
+    nodes = [roots]
     for step, column in table.path:
         nodes = [n for group in nodes for n in _down(ix, group, step, bool(column)) if n.start.size]
     nodes = [n.only(np.ones(n.start.size, dtype=bool), ix.bytes[n.start], _OBJECT) for n in nodes]
-    out: list[list] = [[] for _ in table.columns()]
+    out: list[list] = [[] for _ in range(len(roots.keys) + len(table.columns()))]
     for n in nodes:
         if n.start.size:
             for have, more in zip(out, _read(ix, n, table, wanted), strict=True):
@@ -87,6 +89,32 @@ def rows_of(ix: StructuralIndex, table: Table, wanted: tuple[str, ...] | None =
     return out
 
 
+def index_documents(texts: list[bytes], numbers: list[int]) -> Iterator[tuple[StructuralIndex, _Nodes]]:
+    """Indexes of the valid documents, small ones together, with the root and number of each.
+
+    Documents are joined to one array. If that is valid and its only commas of the first depth are
+    those between the documents, each of them is valid by itself; else each half is tried.
+    """
+    if len(numbers) == 1:
+        ix = StructuralIndex(texts[0])
+        if ix.valid:
+            yield ix, _Nodes(0, ix.tokens[:1], np.array([ix.bytes.size]), [numbers])
+        return
+    if not numbers:
+        return
+    ix = StructuralIndex(b"[" + b",".join(texts) + b"]")
+    size = np.array([len(t) for t in texts])
+    ends = np.cumsum(size + 1)  # the commas, and the closing bracket
+    if ix.valid:
+        own = ix.here(1)
+        if np.array_equal(ix.pos[own][ix.kind[own] == 2], ends[:-1]):
+            yield ix, _Nodes(1, ix.next_token(ends - size), ends, [numbers])
+            return
+    half = len(numbers) // 2
+    yield from index_documents(texts[:half], numbers[:half])
+    yield from index_documents(texts[half:], numbers[half:])
+
+
 def _down(ix: StructuralIndex, n: _Nodes, step: str, named: bool) -> list[_Nodes]:
     first = ix.bytes[n.start]
     every = np.ones(n.start.size, dtype=bool)
@@ -166,26 +194,60 @@ def _flatten(table: Table, keys: list[str], invalid: bool, wanted: tuple[str, ..
     def frame(held: list[list]) -> pd.DataFrame:
         return pd.DataFrame({c: pd.Series(h, dtype="Int64" if c in whole else object) for c, h in zip(names, held, strict=True)})
 
+    def rows(texts: list[bytes], numbers: list[int], own: list[list], missing: set[int]) -> Iterator[list[list]]:
+        for ix, roots in index_documents(texts, numbers):
+            document, *columns = rows_of(ix, table, wanted, roots)
+            valid = set(roots.keys[0]) - set(document) if invalid else ()
+            missing.difference_update(roots.keys[0])
+            yield [*[[k[i] for i in document] for k in own], *([[True] * len(document)] if invalid else []), *columns]
+            for i in valid:  # a document without any object is a row of its own
+                yield blank(own, i, True)
+
+    def blank(own: list[list], i: int, valid: bool) -> list[list]:
+        return [*[[k[i]] for k in own], [valid], *[[0 if c in whole else None] for c, _ in table.columns()]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list] = [[] for _ in names]
         for pdf in batches:
-            for *own, text in zip(*[pdf[k] for k in keys], pdf["text"], strict=True):
-                ix = StructuralIndex(text.encode("utf-8", "replace")) if isinstance(text, str) else None
-                valid = ix is not None and ix.valid
-                rows = rows_of(ix, table, wanted) if valid else [[] for _ in table.columns()]
-                n = len(rows[0]) if rows else 0
-                if invalid and not n:  # a document without any object is a row of its own
-                    n, rows = 1, [[0 if c in whole else None] for c, _ in table.columns()]
-                for have, more in zip(held, [*[[k] * n for k in own], *([[valid] * n] if invalid else []), *rows], strict=True):
+            own = [pdf[k].tolist() for k in keys]
+            missing = set(range(len(pdf)))
+            for texts, numbers in _groups(pdf["text"]):
+                for part in rows(texts, numbers, own, missing):
+                    for have, more in zip(held, part, strict=True):
+                        have.extend(more)
+                    if len(held[0]) >= FRAME_ROWS:
+                        yield frame(held)
+                        held = [[] for _ in names]
+            for i in sorted(missing) if invalid else ():
+                for have, more in zip(held, blank(own, i, False), strict=True):
                     have.extend(more)
-                if len(held[0]) >= FRAME_ROWS:
-                    yield frame(held)
-                    held = [[] for _ in names]
         yield frame(held)
 
     return run
 
 
+def _groups(texts: pd.Series) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Documents to index together: up to GROUP_BYTES of those that end as they begin; all others by themselves."""
+    group: list[bytes] = []
+    numbers: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        if not isinstance(text, str):
+            continue
+        data = text.encode("utf-8", "replace")
+        if len(data) > GROUP_BYTES or (data.lstrip()[:1], data.rstrip()[-1:]) not in ((b"{", b"}"), (b"[", b"]")):
+            yield [data], [i]
+            continue
+        if group and size + len(data) > GROUP_BYTES:
+            yield group, numbers
+            group, numbers, size = [], [], 0
+        group.append(data)
+        numbers.append(i)
+        size += len(data)
+    if group:
+        yield group, numbers
+
+
 def flatten_nested(df: DataFrame, table: Table, text: str, keys: list[str], invalid: bool = False, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """One flat table of nested documents, with the columns ``keys`` of each document's row.
 

@@ -116,6 +116,24 @@ def test_another_shape_of_document(spark):
     assert rows(tags) == [(1, 0, 0, "x", "1"), (1, 0, 0, "y", "2"), (1, 1, 0, "z", None)]
 
 
+@given(st.lists(st.one_of(document.map(json.dumps), st.sampled_from(["", "{}", "[]", "[1", "2]", '{"a":1},{"b":2}', '{"a":1', "}", "3", '"x"', " {} ", "[1],[2]", "{}]", "[{}", '{"facts":{"t":{"A":{"units":{"U":[{"accn":"1"}]}}}}}'])), max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_documents_indexed_together_give_the_same(texts):
+    import pandas as pd
+
+    from ledgerlake.operators.nested import FILING_TABLES, _flatten
+
+    for kind, invalid in (("entries", False), ("tags", False), ("documents", True)):
+        run = _flatten(FILING_TABLES[kind], ["k"], invalid, None)
+        rows = lambda parts: sorted((repr(tuple(r)) for f in run(iter(parts)) for r in f.astype(object).itertuples(index=False)))
+        whole = pd.DataFrame({"k": [str(i) for i in range(len(texts))], "text": pd.Series(texts, dtype=object)})
+        single = [whole.iloc[i : i + 1] for i in range(len(texts))]
+        assert rows([whole]) == rows(single)
+    if texts:
+        frames = list(_flatten(FILING_TABLES["documents"], ["k"], True, None)(iter([whole])))
+        assert {r.k: r.is_valid for f in frames for r in f.itertuples()} == {str(i): by_parser(t) for i, t in enumerate(texts)}
+
+
 def test_memory_of_long_documents_is_flat():
     import resource
 
