@@ -10,8 +10,8 @@ only those of the last delivery count. Rows without one belong to delivery 0, an
 values of one instant and delivery are all versions (all but the last of no length).
 
 Scale: a bucket holds about ``BUCKET_ROWS`` rows when the store is made, so an update costs what it
-touches, however large the store. An entity with more than a thousandth of all rows (and
-``HOT_ROWS``) is range-partitioned by time: its slices are even, and only one row a slice meets
+touches, however large the store. An entity with more than ``HOT_ROWS`` and a hundred-thousandth
+of all rows is range-partitioned by time: its slices are even, and only one row a slice meets
 in one task.
 """
 
@@ -29,6 +29,8 @@ from ledgerlake.session import cut, file_system, scratch
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 200_000
 #: Rows of an entity that one task takes at least before it counts as hot.
 HOT_ROWS = 200_000
+#: Hot entities are fewer than this, whatever the rows: about 5 MB collected and broadcast.
+MOST_HOT = 100_000
 #: A bucket's raw parts are merged into one when an update finds so many.
 MERGE_AT = 16
 
@@ -75,8 +77,8 @@ def build_history(raw: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     total = raw.count()
-    least = max(hot_rows, total // 1000)
-    hot = raw.groupBy("k").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > least).collect() if total > least else []  # fewer than 1,000 rows
+    least = max(hot_rows, total // MOST_HOT)
+    hot = raw.groupBy("k").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > least).collect() if total > least else []  # fewer than MOST_HOT rows
     if not hot:
         return _few(raw)
     keys = F.broadcast(raw.sparkSession.createDataFrame([(r.k,) for r in hot], raw.select("k").schema))

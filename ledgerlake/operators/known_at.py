@@ -6,8 +6,8 @@ that became available at the same instant) are resolved to one before the join.
 
 Scale: versions are reduced to the last one per entity and tick (by default a day, events being
 dated by days) before the bucket shuffle, so an entity has at most one version a day. An entity
-with more than a thousandth of all events (there are fewer than 1,000 such entities) has its
-events spread over several buckets, each with a copy of that entity's versions. Events with a NULL
+with more than HOT_ROWS and a hundred-thousandth of all events (there are fewer than 100,000 such
+entities) has its events spread over several buckets, each with a copy of that entity's versions. Events with a NULL
 key meet no version, so they are spread over all buckets.
 """
 
@@ -24,6 +24,8 @@ from ledgerlake.session import buckets_for
 DAY_US = 86_400_000_000
 #: Events of one entity that a single task takes at least before it counts as hot.
 HOT_ROWS = 200_000
+#: Hot entities are fewer than this, whatever the events: about 5 MB collected and broadcast.
+MOST_HOT = 100_000
 
 
 def _asof(schema: pa.Schema, event_columns: list[str], carry: list[str], k: str, before: str):
@@ -79,8 +81,8 @@ def known_at(events: DataFrame, versions: DataFrame, key: str, before_us: Column
         .select(k, "v_.*")
     )
     total = events.count()
-    hot_rows = max(HOT_ROWS, total // 1000)
-    hot = e.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than 1,000 rows
+    hot_rows = max(HOT_ROWS, total // MOST_HOT)
+    hot = e.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect() if total > hot_rows else []  # fewer than MOST_HOT rows
     n = buckets_for(versions, rows=total)
     if hot:
         spread = F.broadcast(events.sparkSession.createDataFrame([(r[k], -(-r.n // hot_rows)) for r in hot], f"{k} {dict(e.dtypes)[k]}, {copies} int"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.jsonindex import StructuralIndex
 
 _OBJECT, _ARRAY = ord("{"), ord("[")
+_TEXT = "\u0001text"  # no name a key column has
 ENTRY_FIELDS = ("start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame")
 #: Bytes of small documents that are indexed together.
 GROUP_BYTES = 100_000
@@ -211,7 +212,7 @@ def _flatten(table: Table, keys: list[str], invalid: bool, wanted: tuple[str, ..
         for pdf in batches:
             own = [pdf[k].tolist() for k in keys]
             missing = set(range(len(pdf)))
-            for texts, numbers in _groups(pdf["text"]):
+            for texts, numbers in _groups(pdf[_TEXT]):
                 for part in rows(texts, numbers, own, missing):
                     for have, more in zip(held, part, strict=True):
                         have.extend(more)
@@ -259,7 +260,7 @@ def flatten_nested(df: DataFrame, table: Table, text: str, keys: list[str], inva
     """
     kinds = dict(df.dtypes)
     schema = [f"`{k}` {kinds[k]}" for k in keys] + (["is_valid boolean"] if invalid else []) + [f"`{c}` {t}" for c, t in table.columns()]
-    return df.select(*keys, F.col(text).alias("text")).mapInPandas(_flatten(table, keys, invalid, wanted), ", ".join(schema))
+    return df.select(*keys, F.col(text).alias(_TEXT)).mapInPandas(_flatten(table, keys, invalid, wanted), ", ".join(schema))
 
 
 def flatten_documents(df: DataFrame, kind: str, text: str = "json_text", cik: Column | None = None, extract_date: Column | None = None, fields: tuple[str, ...] = ENTRY_FIELDS) -> DataFrame:

@@ -52,3 +52,47 @@ def test_forecast_groups(spark):
     rows = [("a", 2016 + i, 100.0 + i) for i in range(6)] + [("b", 2020, 1.0), (None, 2020, 1.0), ("c", 2020, None)]
     out = forecast(spark.createDataFrame(rows, "cik string, y int, v double"), "cik", "y", "v").collect()
     assert {r.key for r in out} == {"a"} and len(out) == 3
+
+
+def test_forecast_fixed_vectors():
+    years = lambda y: np.arange(2016, 2016 + len(y))
+    y = np.array([100, 120, 115, 140, 150, 149, 170], float)
+    rows = forecast_series(years(y), y)
+    # Without smoothing the trend model is the regression line, which fits this series best.
+    slope, level = np.polyfit(np.arange(7), y, 1)
+    assert np.allclose([r[1] for r in rows], level + slope * np.arange(7, 10), atol=1e-4)
+    assert np.allclose([r[2] for r in rows], [165.689873, 171.353107, 178.216514], atol=1e-4) and abs(rows[0][5] - 32.807166) < 1e-4
+    (a, b, c) = forecast_series(years([10, 12, 9]), np.array([10.0, 12.0, 9.0]))
+    phi = (a[1] - 9) / -3  # AR(1) on the differences 2 and -3
+    assert abs(phi + 0.925) < 1e-9 and np.allclose([b[1] - a[1], c[1] - b[1]], [-3 * phi**2, -3 * phi**3])
+    d = np.array([2.0, -3.0])
+    loss = lambda p: 2 * np.log((d[0] ** 2 * (1 - p**2) + (d[1] - p * d[0]) ** 2) / 2) - np.log(1 - p**2)
+    assert loss(phi) <= min(loss(p) for p in np.linspace(-0.98, 0.98, 197)) + 1e-3
+    flat = forecast_series(years([7, 8]), np.array([7.0, 8.0]))
+    assert [r[1] for r in flat] == [8.0, 8.0, 8.0] and np.allclose([r[3] - 8 for r in flat], 1.959963984540054 * np.sqrt([1, 2, 3]))
+
+
+def test_forecast_trend_model_is_the_best_of_its_kind():
+    from ledgerlake.operators.forecast import holt
+
+    rnd = np.random.default_rng(3)
+    for _ in range(5):
+        y = np.cumsum(rnd.normal(2, 5, 9)) + 50
+
+        def sse(alpha, beta, y=y):
+            def errors(level, trend, data):
+                out = []
+                for v in data:
+                    e = v - level - trend
+                    level, trend = level + trend + alpha * e, trend + alpha * beta * e
+                    out.append(e)
+                return np.array(out)
+
+            zero = np.zeros_like(y)
+            base = np.column_stack([errors(1, 0, zero), errors(0, 1, zero)])
+            x, *_ = np.linalg.lstsq(base, -errors(0, 0, y), rcond=None)
+            return float(((errors(0, 0, y) + base @ x) ** 2).sum())
+
+        least = min(sse(a, b) for a in np.linspace(0.02, 0.98, 25) for b in np.linspace(0.02, 0.98, 25))
+        found = y.size * np.exp((holt(y)[2] - 8) / y.size)
+        assert found <= 1.01 * least

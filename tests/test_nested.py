@@ -106,11 +106,11 @@ def test_another_shape_of_document(spark):
     from ledgerlake.operators.nested import Table, flatten_nested
 
     shop = {"orders": [{"id": 7, "lines": [{"sku": "a", "tags": {"x": {"w": 1}, "y": {"w": 2}}}, None, {"sku": "b"}]}, {"id": 8, "lines": {"sku": "c", "tags": {"z": {"w": None}}}}, 5]}
-    df = spark.createDataFrame([(1, json.dumps(shop)), (2, "[]"), (3, "{"), (4, None)], "n int, body string")
+    df = spark.createDataFrame([(1, json.dumps(shop)), (2, "[]"), (3, "{"), (4, None)], "text int, body string")
     orders = Table((("orders", None), ("[]", "order_no")), {"id": "id"}, {"n_lines": ("lines", False)})
     lines = Table((*orders.path, ("lines", None), ("[]", "line_no")), {"sku": "sku"})
     tags = Table((*lines.path, ("tags", None), ("*", "tag")), {"weight": "w"})
-    rows = lambda t: sorted(map(tuple, flatten_nested(df, t, "body", ["n"]).collect()), key=repr)
+    rows = lambda t: sorted(map(tuple, flatten_nested(df, t, "body", ["text"]).collect()), key=repr)
     assert rows(orders) == [(1, 0, "7", 2), (1, 1, "8", 2)]
     assert rows(lines) == [(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 0, "c")]
     assert rows(tags) == [(1, 0, 0, "x", "1"), (1, 0, 0, "y", "2"), (1, 1, 0, "z", None)]
@@ -121,12 +121,12 @@ def test_another_shape_of_document(spark):
 def test_documents_indexed_together_give_the_same(texts):
     import pandas as pd
 
-    from ledgerlake.operators.nested import FILING_TABLES, _flatten
+    from ledgerlake.operators.nested import _TEXT, FILING_TABLES, _flatten
 
     for kind, invalid in (("entries", False), ("tags", False), ("documents", True)):
         run = _flatten(FILING_TABLES[kind], ["k"], invalid, None)
         rows = lambda parts: sorted((repr(tuple(r)) for f in run(iter(parts)) for r in f.astype(object).itertuples(index=False)))
-        whole = pd.DataFrame({"k": [str(i) for i in range(len(texts))], "text": pd.Series(texts, dtype=object)})
+        whole = pd.DataFrame({"k": [str(i) for i in range(len(texts))], _TEXT: pd.Series(texts, dtype=object)})
         single = [whole.iloc[i : i + 1] for i in range(len(texts))]
         assert rows([whole]) == rows(single)
     if texts:
@@ -137,7 +137,7 @@ def test_documents_indexed_together_give_the_same(texts):
 def test_memory_of_long_documents_is_flat():
     import resource
 
-    from ledgerlake.operators.nested import FILING_TABLES, _flatten
+    from ledgerlake.operators.nested import _TEXT, FILING_TABLES, _flatten
 
     text = json.dumps({"facts": {"t": {f"T{i}": {"units": {"USD": [{"accn": f"{j:020d}", "val": j, "end": "2020-01-01"} for j in range(50)]}} for i in range(1200)}}})
     assert len(text) > 3_700_000
@@ -145,7 +145,7 @@ def test_memory_of_long_documents_is_flat():
 
     run = _flatten(FILING_TABLES["entries"], ["k"], False, None)
     rows, seen = 0, []
-    for frame in run(pd.DataFrame({"k": ["a"], "text": [text]}) for _ in range(12)):
+    for frame in run(pd.DataFrame({"k": ["a"], _TEXT: [text]}) for _ in range(12)):
         rows += len(frame)
         seen.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
     assert rows == 12 * 60_000 and seen[-1] - seen[1] < 60_000, seen  # KB
