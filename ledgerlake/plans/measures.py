@@ -130,7 +130,7 @@ def _(spark, d):
     return kpi.crossJoin(F.broadcast(one)).select("kpi", F.when(F.col("kpi") == "Revenue", millions("r")).when(F.col("kpi") == "Net Income", millions("i")).otherwise(F.col("c").cast("string")).alias("label"))  # one row
 
 
-#: The four key figures with their order on the page.
+#: The four key figures with their order on the page.
 KPIS = [("Total revenue", 1), ("Total net income", 2), ("Net margin", 3), ("Revenue YoY %", 4)]
 _KPI_SQL = "(VALUES " + ", ".join(f"('{k}', {n})" for k, n in KPIS) + ") AS k(kpi, sort)"
 

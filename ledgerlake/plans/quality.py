@@ -533,7 +533,7 @@ def _(spark, d):
     return divergence(b.pl_trend.where("canonical_concept = 'net_income'"), b.financial_health, ["cik", "as_of_date", "fiscal_year"], "value_numeric", "net_income")
 
 
-#: Figures that two marts hold: name, side a and side b as (mart, concept or column).
+#: Figures that two marts hold, by name, with side a and side b as (mart, concept or column).
 _PAIRS = [
     ("revenue: pl_trend vs financial_health", ("pl", "revenue"), ("fh", "revenue")),
     ("revenue: pl_trend vs peer_benchmark", ("pl", "revenue"), ("pb", "revenue")),
