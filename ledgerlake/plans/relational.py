@@ -106,7 +106,7 @@ def _bronze(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
 def s5_text_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents written to ``extract_date=/cik=`` folders and read back whole."""
     back = read_documents(spark, _bronze(spark, d)[0])
-    return back.select("cik", F.col("extract_date").cast("string").alias("extract_date"), F.length(F.regexp_replace("json_text", r"\n\z", "")).alias("chars"))
+    return back.select("cik", F.coalesce("extract_date", F.lit("")).alias("extract_date"), F.length(F.regexp_replace("json_text", r"\n\z", "")).alias("chars"))
 
 
 def s15_object_checks(spark: SparkSession, d: str) -> DataFrame:

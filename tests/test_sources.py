@@ -3,6 +3,7 @@ import json
 import pytest
 
 from ledgerlake.operators.nested import flatten_documents
+from ledgerlake.plans.relational import s5_text_scan
 from ledgerlake.sources.tables import file_metadata, read_cover, read_documents, read_forecasts, read_seed
 
 
@@ -39,3 +40,34 @@ def test_seed_and_forecast_files(spark, tmp_path):
     spark.createDataFrame([("1", 2.0, "revenue", "2026-01-01")], "cik string, forecast_value double, canonical_concept string, as_of_date string").write.partitionBy("canonical_concept", "as_of_date").parquet(str(tmp_path / "f"))
     back = read_forecasts(spark, str(tmp_path / "f"), "cik string, forecast_value double, canonical_concept string, as_of_date string")
     assert dict(back.dtypes)["as_of_date"] == "string" and back.first().as_of_date == "2026-01-01"
+
+
+def inferring(spark):
+    """A session that takes folder names for numbers and dates, as Spark's own defaults do."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
+    return other
+
+
+def test_folder_names_stay_text_in_any_session(spark, tmp_path):
+    write(tmp_path / "raw", "2026-01-01", "0000000001", "{}")
+    df = read_documents(inferring(spark), str(tmp_path / "raw"))
+    assert df.dtypes == [("json_text", "string"), ("extract_date", "string"), ("cik", "string")]
+    assert [tuple(r) for r in df.collect()] == [("{}", "2026-01-01", "0000000001")]
+
+
+def test_documents_that_lie_in_no_folders_are_not_passed_over(spark, tmp_path):
+    (tmp_path / "x.json").write_text("{}")
+    with pytest.raises(Exception, match="(?i)single column"):
+        read_documents(spark, str(tmp_path)).collect()
+
+
+def test_text_scan_in_any_session(spark, tmp_path):
+    raw = [("{}\n", "2026-1-1", "CIK0000000042"), ("a", "", "7"), ("b", "20260101", " 0007 "), ("", "2026-01-01", "9"), ("c", None, "9"), ("d", "2026-01-01", None)]
+    for name, rows in (("some", raw), ("none", [])):
+        spark.createDataFrame(rows, "json_text string, extract_date string, cik string").write.parquet(str(tmp_path / name / "sec_edgar_companyfacts_raw.parquet"))
+    other = inferring(spark)
+    some = s5_text_scan(other, str(tmp_path / "some"))
+    assert {tuple(r) for r in some.collect()} == {("0000000042", "2026-1-1", 3), ("0000000007", "", 1), ("0000000007", "20260101", 1)}
+    none = s5_text_scan(other, str(tmp_path / "none"))
+    assert none.dtypes == some.dtypes and none.count() == 0
